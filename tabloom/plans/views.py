@@ -88,8 +88,8 @@ RUNTIME_CASE = """CASE WHEN runtime < 0 THEN NULL WHEN runtime < 80 THEN '0–79
     WHEN runtime < 200 THEN '160–199' WHEN runtime IS NOT NULL THEN '200–∞' END"""
 BINNED_SQL = f"""SELECT *, {RATING_CASE} AS rating_bin, {REVENUE_CASE} AS revenue_bin,
     {RUNTIME_CASE} AS runtime_bin FROM ({FACTS_SQL})"""
-GENRE_LIST = "list_filter(list_transform(string_split(coalesce(genres_csv, ''), ','), x -> trim(x)), x -> x <> '')"
-COUNTRY_LIST = "list_filter(list_transform(string_split(coalesce(countries_csv, ''), ','), x -> trim(x)), x -> x <> '')"
+GENRE_LIST = "list_filter(list_transform(string_split(coalesce(genres_csv, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+COUNTRY_LIST = "list_filter(list_transform(string_split(coalesce(countries_csv, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
