@@ -93,8 +93,11 @@ def split_long(
     )
     # Collected so that every later reader sees the same borders, whatever is recomputed.
     table = bounds.select(*keys, "_b")
-    fixed = df.sparkSession.createDataFrame(table.collect(), table.schema)
-    blocked = attach_small(df, fixed, keys) if keys else df.withColumn("_b", fixed.scalar())
+    found = table.collect()
+    if keys:
+        blocked = attach_small(df, df.sparkSession.createDataFrame(found, table.schema), keys)
+    else:
+        blocked = df.withColumn("_b", F.lit(list(found[0]["_b"])))
     value = F.coalesce(_borders_below(F.col("_b"), F.col(order)), F.lit(0))
     return Split(blocked.withColumn(BLOCK, value).drop("_b"), keys, order, True)
 

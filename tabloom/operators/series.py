@@ -124,9 +124,8 @@ def newton_coefficients(
     ahead = od.with_following(od.split_long(indexed, keys, x, block_rows), [x, y], max_points)
     xs = [F.col(x)] + [F.col(f"{x}_{i}") for i in range(1, max_points)]
     ys = [F.col(y)] + [F.col(f"{y}_{i}") for i in range(1, max_points)]
-    known = [x for x in _difference(xs, ys)]
     too_long = F.raise_error(F.lit("series has too many points for one polynomial"))
-    coefs = F.when(F.col(f"{x}_{max_points}").isNotNull(), too_long).otherwise(F.array(*known))
+    coefs = F.when(F.col(f"{x}_{max_points}").isNotNull(), too_long).otherwise(F.array(*_difference(xs, ys)))
     return ahead.filter(F.col("idx") == 0).select(
         *keys,
         F.filter(F.array(*xs), lambda v: v.isNotNull()).alias("nodes"),
@@ -137,7 +136,7 @@ def newton_coefficients(
 def newton_value(nodes: Column, coefs: Column, at: Column) -> Column:
     """Newton form from the innermost bracket outwards."""
     pairs = F.reverse(F.arrays_zip(nodes.alias("x"), coefs.alias("c")))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc * (at - p["0"]) + p["1"])
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc * (at - p["x"]) + p["c"])
 
 
 def newton_interp(
@@ -175,17 +174,14 @@ def _simpson(df: DataFrame, keys: Sequence[str], x: str, y: str, period: int) ->
         weight, factor = F.when(end, 1.0).when(place % 2 == 1, 4.0).otherwise(2.0), F.lit(1.0 / 3)
     else:
         weight, factor = F.when(end, 1.0).when(place % 3 == 0, 2.0).otherwise(3.0), F.lit(3.0 / 8)
-    per = rows.groupBy(*keys).agg(
-        F.first("_n").alias("n"),
-        F.first("_h").alias("_h"),
-        F.sum(weight * F.col(y)).alias("_s"),
-        F.max(off).alias("_off"),
-        # Equal sums of places and of their squares, with none off the grid: each place once.
-        F.sum(place).alias("_p1"),
-        F.sum(place * place).alias("_p2"),
+    per = (
+        rows.groupBy(*keys, place.alias("_place"), "_n", "_h")
+        .agg(F.count("*").alias("_k"), F.sum(weight * F.col(y)).alias("_s"), F.max(off).alias("_off"))
+        .groupBy(*keys, F.col("_n").alias("n"), "_h")
+        .agg(F.sum("_s").alias("_s"), F.max("_off").alias("_off"), F.max("_k").alias("_k"))
     )
     m = F.col("n") - 1
-    uneven = F.col("_off") | (F.col("_p1") * 2 != m * (m + 1)) | (F.col("_p2") * 6 != m * (m + 1) * (2 * m + 1))
+    uneven = F.col("_off") | (F.col("_k") > 1)
     problem = (
         F.when(m < period, "too few samples")
         .when(m % period != 0, f"interval count is no multiple of {period}")

@@ -147,9 +147,9 @@ def inverse_cdf(df: DataFrame, u: Column, hist: DataFrame, out: str = "draw") ->
     """
     packed = F.sort_array(F.collect_list(F.struct("lo", "center", "cdf")))
     table = cumulative(hist).agg(packed).scalar()
-    reached = F.filter(table, lambda b: u <= b["cdf"])
-    top = F.element_at(table, -1)
-    return df.withColumn(out, F.coalesce(F.try_element_at(reached, F.lit(1))["center"], top["center"]))
+    reached = F.filter("_cdf", lambda b: u <= b["cdf"])
+    hit = F.coalesce(F.try_element_at(reached, F.lit(1)), F.element_at("_cdf", -1))
+    return df.withColumn("_cdf", table).withColumn(out, hit["center"]).drop("_cdf")
 
 
 def counts_with_pct(df: DataFrame, column: str) -> DataFrame:
@@ -157,11 +157,16 @@ def counts_with_pct(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("pct", F.col("count") / counts.agg(F.sum("count")).scalar())
 
 
-def crosstab(df: DataFrame, actual: str, predicted: str, labels: Sequence) -> DataFrame:
-    """One row per actual class, one column per predicted class, in the given label order."""
-    spark = df.sparkSession
+def crosstab(
+    df: DataFrame, actual: str, predicted: str, labels: Sequence, actual_labels: Sequence | None = None
+) -> DataFrame:
+    """One row per actual class, one column per predicted class, in the given label order.
+
+    ``actual_labels`` is for tables whose two sides have different classes.
+    """
     kind = df.schema[actual].dataType.simpleString()
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], f"_pos int, {actual} {kind}")
+    order = list(enumerate(actual_labels if actual_labels is not None else labels))
+    rows = df.sparkSession.createDataFrame(order, f"_pos int, {actual} {kind}")
     wide = df.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(actual))
     full = F.broadcast(rows).join(wide, actual, "left").na.fill(0)
     return full.orderBy("_pos").select(actual, *[F.col(f"`{x}`").alias(f"pred_{x}") for x in labels])

@@ -162,8 +162,11 @@ def route_subscriptions(spark, sf_dir):
 
 
 def raw_events(spark, sf_dir):
+    return events_of_raw(raw_view(spark, sf_dir))
+
+
+def events_of_raw(raw):
     """Events of all raw rows, good or bad, with the reason why a row is bad."""
-    raw = raw_view(spark, sf_dir)
     typed = ro.with_bins(ro.clean_movies(raw.withColumnRenamed("id", "raw_id"), AS_OF_YEAR))
     typed = typed.withColumns(
         {"id": cl.strict_int64(F.col("raw_id")), "title": cl.safe_string(F.col("title"))}
@@ -172,7 +175,7 @@ def raw_events(spark, sf_dir):
     return ev.with_dead_letters(events, F.col("reason"), event_time())
 
 
-_FAULT_SQL = f"""SELECT row_key, CASE WHEN v IS NULL OR isinf(v) OR v <> floor(v) THEN 'invalid id'
+_FAULT_SQL = f"""SELECT row_key, v, CASE WHEN v IS NULL OR isinf(v) OR v <> floor(v) THEN 'invalid id'
     WHEN trim(title) = '' THEN 'missing title' END AS reason
     FROM (SELECT *, try_cast(id AS DOUBLE) AS v FROM ({RAW_SQL}))"""
 
@@ -189,6 +192,7 @@ def dead_letter(spark, sf_dir):
 
 @query("replay_dead_letter", f"""
     SELECT row_key, 'movie-events-raw' AS topic, false AS has_notes FROM ({_FAULT_SQL}) WHERE reason = 'missing title'
+      AND v NOT IN (SELECT v FROM ({_FAULT_SQL}) WHERE reason IS NULL)
 """)
 def replay_dead_letter(spark, sf_dir):
     events = raw_events(spark, sf_dir)

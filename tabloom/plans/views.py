@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabloom.functions import clean as cl
+from tabloom.operators.rollup import with_bins
 from tabloom.plans.registry import table
 
 AS_OF_YEAR = 2024
@@ -92,18 +95,9 @@ GENRE_LIST = "list_filter(list_transform(string_split(coalesce(genres_csv, ''),
 COUNTRY_LIST = "list_filter(list_transform(string_split(coalesce(countries_csv, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
 
 
-def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exprs = [f"{e.replace('//', 'div')} AS {n}" for n, e in RAW.items()]
-    return table(spark, sf_dir, "orders").selectExpr(*exprs)
-
-
-def facts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from tabloom.functions import clean as cl
-    from tabloom.operators.rollup import with_bins
-
-    df = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in FACTS.items()])
+def as_facts(orders: DataFrame) -> DataFrame:
+    """Typed film facts from order rows; works on batch and on streaming input."""
+    df = orders.selectExpr(*[f"{e} AS {n}" for n, e in FACTS.items()])
     year = cl.release_year(F.col("release_date"), AS_OF_YEAR)
     df = df.withColumns(
         {
@@ -114,3 +108,15 @@ def facts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return with_bins(df.drop("genres_csv", "countries_csv"))
+
+
+def as_raw(orders: DataFrame) -> DataFrame:
+    return orders.selectExpr(*[f"{e.replace('//', 'div')} AS {n}" for n, e in RAW.items()])
+
+
+def facts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_facts(table(spark, sf_dir, "orders"))
+
+
+def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_raw(table(spark, sf_dir, "orders"))
