@@ -18,6 +18,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.sources.inline import inline_table
+
 MAX_CLASSES = 1000
 
 
@@ -116,7 +118,7 @@ def linreg_terms(model, features: Sequence[str], test_errors: DataFrame) -> Data
     """(term, value): intercept, one coefficient per column, and the test error."""
     terms = [("intercept", float(model.intercept))]
     terms += [(f, float(c)) for f, c in zip(features, model.coefficients)]
-    rows = test_errors.sparkSession.createDataFrame(terms, "term string, value double")
+    rows = inline_table(test_errors.sparkSession, terms, "term string, value double")
     return rows.unionByName(test_errors.select(F.lit("rmse").alias("term"), F.col("rmse").alias("value")))
 
 
@@ -189,7 +191,7 @@ def grid_shuffle(
 def _scores(df: DataFrame, grid, scores: Sequence[float]) -> DataFrame:
     best = max(scores)
     rows = [(_settings(g), float(s), bool(s == best)) for g, s in zip(grid, scores)]
-    return df.sparkSession.createDataFrame(rows, "params string, score double, is_best boolean")
+    return inline_table(df.sparkSession, rows, "params string, score double, is_best boolean")
 
 
 def mlp(label: str, inputs: int, classes: int = 2, hidden: Sequence[int] = (6, 6), **params):

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabloom.sources.inline import inline_table
+
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 2_000_000
 BLOCK = "_block"
@@ -95,7 +97,7 @@ def split_long(
     table = bounds.select(*keys, "_b")
     found = table.collect()
     if keys:
-        blocked = attach_small(df, df.sparkSession.createDataFrame(found, table.schema), keys)
+        blocked = attach_small(df, inline_table(df.sparkSession, found, table.schema), keys)
     else:
         blocked = df.withColumn("_b", F.lit(list(found[0]["_b"])))
     value = F.coalesce(_borders_below(F.col("_b"), F.col(order)), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import binning as bn
 from tabloom.functions import clean as cl
+from tabloom.sources.inline import inline_table
 
 # Columns of the facts table, and per rollup the dimension column.
 NUMBER_FIELDS = ["vote_average", "vote_count", "revenue", "runtime", "budget", "popularity"]
@@ -139,7 +140,7 @@ def all_rollups(facts: DataFrame) -> DataFrame:
         ]
         for label in bins.labels
     ]
-    zero = spark.createDataFrame(labels, "aggregation_type string, dimension string").withColumn(
+    zero = inline_table(spark, labels, "aggregation_type string, dimension string").withColumn(
         "movie_count", F.lit(0).cast("bigint")
     )
     return (

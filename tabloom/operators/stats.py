@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.operators.ordered import BLOCK_ROWS, running_sums, split_long
+from tabloom.sources.inline import inline_table
 
 # Fixed value: normal quantile of a two-sided 95 % interval.
 Z95 = 1.96
@@ -79,7 +80,7 @@ def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     inside = c.between(float(edges[0]), float(edges[-1]))
     counts = df.filter(inside).groupBy(code.alias("code")).agg(F.count("*").alias("n"))
     rows = [(i, float(a), float(b), (a + b) / 2.0) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-    bins = df.sparkSession.createDataFrame(rows, "code int, lo double, hi double, center double")
+    bins = inline_table(df.sparkSession, rows, "code int, lo double, hi double, center double")
     return (
         F.broadcast(bins).join(counts, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     )
@@ -166,7 +167,7 @@ def crosstab(
     """
     kind = df.schema[actual].dataType.simpleString()
     order = list(enumerate(actual_labels if actual_labels is not None else labels))
-    rows = df.sparkSession.createDataFrame(order, f"_pos int, {actual} {kind}")
+    rows = inline_table(df.sparkSession, order, f"_pos int, {actual} {kind}")
     wide = df.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(actual))
     full = F.broadcast(rows).join(wide, actual, "left").na.fill(0)
     return full.orderBy("_pos").select(actual, *[F.col(f"`{x}`").alias(f"pred_{x}") for x in labels])
@@ -240,7 +241,7 @@ def roc_points(df: DataFrame, label: str, score: str, block_rows: int = BLOCK_RO
         F.try_divide(F.col("fp"), total["n"]).alias("fpr"),
         F.try_divide(F.col("tp"), total["p"]).alias("tpr"),
     )
-    start = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], points.schema)
+    start = inline_table(df.sparkSession, [(None, 0.0, 0.0)], points.schema)
     return start.unionByName(points)
 
 

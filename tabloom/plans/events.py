@@ -10,6 +10,7 @@ from tabloom.operators import rollup as ro
 from tabloom.plans.clean import _REVENUE_TIER, _RATING_TIER
 from tabloom.plans.registry import query, table
 from tabloom.plans.rollups import all_rollups, rollups_sql, _GENRES_SQL
+from tabloom.sources.inline import inline_table
 from tabloom.plans.views import AS_OF_YEAR, BINNED_SQL, COUNTRY_LIST, GENRE_LIST, RAW_SQL, facts_view, raw_view
 
 EVENT_TIME = "2024-09-20 13:19:00"
@@ -329,4 +330,4 @@ def validate_inputs(spark, sf_dir):
             "part": (table(spark, sf_dir, "part"), ["p_partkey", "p_color"]),
         }
     )
-    return spark.createDataFrame(found, "check string, ok boolean")
+    return inline_table(spark, found, "check string, ok boolean")

@@ -56,11 +56,9 @@ def scan_dirty_csv(spark, sf_dir):
     extra = F.when(F.col("o_orderkey") % 97 == 0, F.lit("one,more"))
     path = staging_path(spark, "dirty")
     lines = rows.select(F.concat_ws(",", "id", title, genres, "revenue", extra).alias("value"))
-    # One file with its header in the first row of the first partition.
-    head = spark.createDataFrame([("id,title,genres,revenue",)], "value string")
-    head.unionByName(lines).coalesce(1).write.text(path)
+    lines.write.text(path)
     names = ["id", "title", "genres", "revenue"]
-    good, bad = dirty(spark, path, names)
+    good, bad = dirty(spark, path, names, header=False)
     again = F.from_csv("text", "id string, title string, genres string, revenue string, x string, y string", {"escape": '"'})
     parsed = bad.select(again.alias("r")).select("r.*")
     quarantined = parsed.select(*[F.coalesce(c, F.lit("")).alias(c) for c in names], F.lit(True).alias("bad"))
@@ -116,7 +114,7 @@ def write_rollups(spark, sf_dir, folder):
     for kind, dimension in ro.ROLLUP_COLUMNS.items():
         part = rollups.filter(F.col("aggregation_type") == kind)
         part = part.select(F.col("dimension").alias(dimension), "movie_count").orderBy(F.desc("movie_count"), dimension)
-        writers.sink_csv(part, f"{folder}/movies_{kind}.csv", single_file=True)
+        writers.sink_csv(part, f"{folder}/movies_{kind}.csv")
     rollups.unpersist()
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tabloom.session import staging_path
 
-_BACKSLASH = ""
+_BACKSLASH = "\ue000"
 _SPLIT = ["_file", "_start"]
 
 
@@ -70,17 +70,19 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_dirty_csv(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine). All columns are strings; an empty field stays an empty string.
 
     Missing fields at the end of a short row are null. A row with too many
-    fields goes to the quarantine as its text. Every file starts with a header.
+    fields goes to the quarantine as its text. With ``header`` every file starts
+    with one; without it the columns must be named.
     """
     names = list(columns or spark.read.option("header", True).csv(path).columns)
     records = _records(spark, path)
-    header = (F.col("_start") == 0) & (F.col("_rec") == 1)
-    body = records.filter(~header & (F.col("text") != "")).select("text")
+    if header:
+        records = records.filter((F.col("_start") != 0) | (F.col("_rec") != 1))
+    body = records.filter(F.col("text") != "").select("text")
     bare = F.regexp_replace("text", '"[^"]*"', "")
     body = body.withColumn("_fields", F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
     schema = ", ".join(f"`{c}` string" for c in names)

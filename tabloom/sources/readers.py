@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators.rollup import ROLLUP_COLUMNS
+from tabloom.sources.inline import inline_table
 
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
@@ -26,10 +27,6 @@ def scan_csv_latin1(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return scan_csv(spark, path, schema, encoding="ISO-8859-1")
 
 
-def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
 def scan_chunked(
     spark: SparkSession,
     path: str,
@@ -88,7 +85,7 @@ def scan_rollup_dir(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[s
         )
     if not parts:
         schema = "aggregation_type string, dimension string, movie_count bigint, data_source string"
-        return spark.createDataFrame([], schema), state
+        return inline_table(spark, [], schema), state
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
