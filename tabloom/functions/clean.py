@@ -8,37 +8,36 @@ from pyspark.sql import functions as F
 # The spellings read as true, and the fields that hold comma lists.
 TRUE_WORDS = ["true", "1", "yes", "on"]
 LIST_FIELDS = ["genres", "production_countries", "spoken_languages", "keywords", "production_companies"]
+WHITE_SPACE = " \t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FIRST_FILM_YEAR = 1888
 YEARS_AHEAD = 10
 
 
 def strip(c: Column) -> Column:
-    """Remove any white space at both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    """Remove any white space at both ends (plain ``trim`` removes only spaces)."""
+    return F.trim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
 def finite(d: Column) -> Column:
-    """Null instead of NaN and the infinities."""
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    """Null instead of NaN and the infinities. (NaN sorts above infinity.)"""
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def safe_double(c: Column, only_finite: bool = False) -> Column:
     """Number or null. Java's ``1d`` and ``1f`` suffixes are no numbers here."""
-    text = strip(c)
-    suffixed = text.rlike(r"[0-9.][dDfF]$")
-    value = F.when(~suffixed, text.try_cast("double"))
+    value = F.regexp_replace(strip(c), "(?<![iI][nN])[dDfF]$", "?").try_cast("double")
     return finite(value) if only_finite else value
 
 
 def safe_int(c: Column) -> Column:
     """Whole part of a number, cut toward zero, or null."""
-    return safe_double(c, only_finite=True).try_cast("bigint")
+    return safe_double(c).try_cast("bigint")
 
 
 def strict_int64(c: Column) -> Column:
     """Integral numbers only: ``1e3`` is 1000, ``4.5`` is null."""
-    value = safe_double(c, only_finite=True)
-    return F.when(value == F.floor(value), value.try_cast("bigint"))
+    value = safe_double(c)
+    return F.when(value % 1 == 0, value.try_cast("bigint"))
 
 
 def safe_string(c: Column) -> Column:

@@ -27,23 +27,21 @@ def cut_equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
     minimum has a bin. If all values are equal the edges lie around that value.
     """
     c = F.col(column).cast("double")
-    ends = df.agg(
-        F.struct(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
-    ).scalar()
-    flat = ends["lo"] == ends["hi"]
-    pad = F.when(ends["lo"] == 0, 0.001).otherwise(F.abs(ends["lo"]) * 0.001)
-    low = F.when(flat, ends["lo"] - pad).otherwise(ends["lo"])
-    high = F.when(flat, ends["hi"] + pad).otherwise(ends["hi"])
-    step = (high - low) / bins
-    edges = [low + step * i for i in range(bins)] + [high]
-    first = F.when(flat, edges[0]).otherwise(low - (high - low) * 0.001)
-    code = F.when(c.isNotNull(), count_above(c, edges[1:-1]))
-    shown = [first, *edges[1:]]
-
-    def pick(values: Sequence[Column]) -> Column:
-        return F.when(code.isNotNull(), F.element_at(F.array(*values), code + 1))
-
-    return df.withColumns({"bin": code, "lo": pick(shown[:-1]), "hi": pick(shown[1:])})
+    ends = df.agg(F.min(c).alias("a"), F.max(c).alias("b"))
+    flat = F.col("a") == F.col("b")
+    pad = F.when(F.col("a") == 0, 0.001).otherwise(F.abs("a") * 0.001)
+    ends = ends.select(
+        flat.alias("flat"), F.when(flat, F.col("a") - pad).otherwise(F.col("a")).alias("low"),
+        F.when(flat, F.col("b") + pad).otherwise(F.col("b")).alias("high"),
+    )
+    span = F.col("high") - F.col("low")
+    first = F.when(F.col("flat"), F.col("low")).otherwise(F.col("low") - span * 0.001)
+    inner = [F.col("low") + span / bins * i for i in range(1, bins)]
+    # The edges are worked out once, in the one-row subquery.
+    edges = ends.select(F.array(first, *inner, F.col("high"))).scalar()
+    code = F.when(c.isNotNull(), count_above(c, [edges[i] for i in range(1, bins)]))
+    numbered = df.withColumn("bin", code)
+    return numbered.withColumns({"lo": F.get(edges, F.col("bin")), "hi": F.get(edges, F.col("bin") + 1)})
 
 
 def qcut(

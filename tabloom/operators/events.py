@@ -201,6 +201,15 @@ def movie_fault(raw_id: Column, title: Column) -> Column:
     return F.when(raw_id.isNull(), "invalid id").when(title.isNull(), "missing title")
 
 
+# What a dead letter notes about itself.
+NOTES = ["error_reason", "failed_at", "original_topic", "aggregation_type"]
+
+
+def noted(attributes: Column, notes: dict[str, Column]) -> Column:
+    """Attributes with fresh notes; notes of an earlier failure are replaced."""
+    return F.map_concat(F.map_filter(attributes, lambda k, _: ~k.isin(NOTES)), known_attributes(notes))
+
+
 def with_dead_letters(
     events: DataFrame, reason: Column, failed_at: Column, extra: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -217,9 +226,7 @@ def with_dead_letters(
     bad = reason.isNotNull()
     return events.withColumns(
         {
-            "attributes": F.when(bad, F.map_concat("attributes", known_attributes(notes))).otherwise(
-                F.col("attributes")
-            ),
+            "attributes": F.when(bad, noted(F.col("attributes"), notes)).otherwise(F.col("attributes")),
             "topic": F.when(bad, F.lit(DEAD_LETTER_TOPIC)).otherwise(F.col("topic")),
         }
     )
@@ -227,18 +234,17 @@ def with_dead_letters(
 
 def replay_dead_letters(dead: DataFrame, published: DataFrame, still_bad: Column) -> DataFrame:
     """Dead letters that are valid now and were not published before, back on their topic."""
-    notes = ["error_reason", "failed_at", "original_topic", "aggregation_type"]
     ready = dead.filter(~F.coalesce(still_bad, F.lit(False)))
     fresh = ready.join(published.select("key"), "key", "left_anti")
     return fresh.withColumns(
         {
             "topic": attr("original_topic"),
-            "attributes": F.map_filter("attributes", lambda k, _: ~k.isin(notes)),
+            "attributes": F.map_filter("attributes", lambda k, _: ~k.isin(NOTES)),
         }
     )
 
 
-def pipeline_stats(log: DataFrame, all_label: str = "ALL") -> DataFrame:
+def publish_stats(log: DataFrame, all_label: str = "ALL") -> DataFrame:
     """Counts, rate and success share per job and over all jobs.
 
     ``log`` has (job, ts, outcome). The total row is made from the per-job rows.
@@ -308,30 +314,30 @@ def rate_window(
 ) -> DataFrame:
     """Add ``in_window`` (messages of the source in the last 60 s, this one included) and ``over_limit``.
 
-    Each message counts in its own minute and as history in the next one, so a
-    task holds two minutes of one source, however busy the source is. Equal
-    times are ordered by ``tie``.
+    A message counts from its own time on and stops counting 60 s later, so the
+    number in the window is a running sum of comings and goings. Each message
+    counts in its own minute and, as history, in the next one; a task thus
+    holds two minutes of one source, however busy the source is. Equal times
+    are ordered by ``tie``.
     """
-    minute_us = 60_000_000
-    minute = F.floor(F.col(micros) / minute_us)
-    both = messages.select(
-        "*",
-        F.explode(
-            F.array(
-                F.struct(minute.alias("m"), F.lit(False).alias("past")),
-                F.struct((minute + 1).alias("m"), F.lit(True).alias("past")),
-            )
-        ).alias("_w"),
-    ).select("*", F.col("_w.m").alias("_m"), F.col("_w.past").alias("_past")).drop("_w")
-    part = Window.partitionBy(source, "_m")
-    numbered = both.withColumn("_rn", F.row_number().over(part.orderBy(micros, tie)))
-    frame = part.orderBy(micros).rangeBetween(-(minute_us - 1), 0)
-    return (
-        numbered.withColumn("in_window", (F.col("_rn") - F.min("_rn").over(frame) + 1).cast("bigint"))
-        .filter(~F.col("_past"))
-        .withColumn("over_limit", F.col("in_window") > limit)
-        .drop("_m", "_past", "_rn")
+    span = 60_000_000
+    now = F.col(micros)
+    minute = ((now - F.pmod(now, F.lit(span))) / span).cast("bigint")
+
+    def mark(at: Column, time: Column, step: int, own: bool) -> Column:
+        return F.struct(
+            at.alias("m"), time.alias("t"), F.lit(step).alias("step"), F.lit(own).alias("own")
+        )
+
+    marks = F.array(
+        mark(minute, now, 1, True), mark(minute + 1, now, 1, False), mark(minute + 1, now + span, -1, False)
     )
+    steps = messages.withColumn("_s", F.explode(marks))
+    # Goings come before comings of the same time: the window is open at its far end.
+    order = Window.partitionBy(source, F.col("_s.m")).orderBy(F.col("_s.t"), F.col("_s.step"), tie)
+    running = F.sum("_s.step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    counted = steps.withColumn("in_window", running).filter("_s.own").drop("_s")
+    return counted.withColumn("over_limit", F.col("in_window") > limit)
 
 
 def live_counts(events: DataFrame, dimension: Column) -> DataFrame:

@@ -49,11 +49,15 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a per-key table; null keys match null keys. The engine picks the join by size."""
+    right = per_key.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return df.join(right, _same(df, right, keys), how).drop(*[f"_r_{k}" for k in keys])
+
+
 def attach_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join a small per-key table of proven size; null keys match null keys."""
-    right = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    joined = df.join(F.broadcast(right), _same(df, right, keys), "left")
-    return joined.drop(*[f"_r_{k}" for k in keys])
+    """Left join of a per-key table of proven size."""
+    return attach(df, F.broadcast(small), keys)
 
 
 def split_long(
@@ -173,24 +177,26 @@ def with_nearest(split: Split, knot: Column, value: str) -> DataFrame:
     """
     point = F.when(knot, F.struct(F.col(split.order).alias("x"), F.col(value).alias("y")))
     marked = split.df.withColumn("_p", point)
-    by_order = split.window().orderBy(split.order)
-    upto = by_order.rangeBetween(Window.unboundedPreceding, 0)
-    onward = by_order.rangeBetween(0, Window.unboundedFollowing)
+    # Both ways with a frame that only grows: one that starts at the current row
+    # would be worked out anew for each row.
+    upward = split.window().orderBy(split.order)
+    downward = split.window().orderBy(F.desc(split.order))
+    latest = F.last("_p", ignorenulls=True)
     found = marked.withColumns(
         {
-            "_before": F.last("_p", ignorenulls=True).over(upto),
-            "_after": F.first("_p", ignorenulls=True).over(onward),
+            "_before": latest.over(upward.rangeBetween(Window.unboundedPreceding, 0)),
+            "_after": latest.over(downward.rangeBetween(Window.unboundedPreceding, 0)),
         }
     )
     if not split.cut:
         return found.drop("_p", BLOCK)
     ends = marked.groupBy(*split.keys, BLOCK).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
-    later = Window.partitionBy(*split.keys).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*split.keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *split.keys,
         BLOCK,
         F.last("_hi", ignorenulls=True).over(_earlier_blocks(split.keys)).alias("_cb"),
-        F.first("_lo", ignorenulls=True).over(later).alias("_ca"),
+        F.last("_lo", ignorenulls=True).over(later).alias("_ca"),
     )
     joined = attach_small(found, carry, [*split.keys, BLOCK])
     return joined.withColumns(
@@ -206,14 +212,14 @@ def exact_quantiles(
     Equal values are counted first, then ranked with running sums, so neither
     the rows nor the distinct values have to fit into one task.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    known = df.select(value.alias("_v")).filter(F.col("_v").isNotNull())
+    counts = known.groupBy("_v").agg(F.count("*").alias("_n"))
     ranked = running_sums(split_long(counts, [], "_v", block_rows), {"_cum": F.col("_n")})
-    n = df.agg(F.count(column)).scalar()
+    n = counts.agg(F.sum("_n")).scalar()
 
     def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.col("_v").cast("double")))
+        return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
 
     out = []
     for i, p in enumerate(probs):

@@ -32,8 +32,8 @@ def clean_movies(raw: DataFrame, as_of_year: int) -> DataFrame:
     current year so that a rerun gives the same rows.
     """
     have = set(raw.columns)
-    out = {c: cl.safe_double(F.col(c)) for c in NUMBER_FIELDS if c in have}
-    out = {c: F.when(~F.isnan(v), v) for c, v in out.items()}
+    unknown = F.lit(None).cast("double")
+    out = {c: F.nanvl(cl.safe_double(F.col(c)), unknown) for c in NUMBER_FIELDS if c in have}
     if "id" in have:
         out["id"] = cl.strict_int64(F.col("id"))
     if "release_date" in have:

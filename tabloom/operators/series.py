@@ -28,6 +28,8 @@ def reset_index(df: DataFrame, keys: Sequence[str], x: str, block_rows: int = BL
 
 def grid(df: DataFrame, keys: Sequence[str], x: str, n: int) -> DataFrame:
     """n evenly spaced probes from the first to the last x of each series, both included."""
+    if n < 2:
+        raise ValueError("a grid has at least its two ends")
     ends = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_a"), F.max(x).cast("double").alias("_b"))
     step = (F.col("_b") - F.col("_a")) / (n - 1)
     points = ends.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -144,7 +146,7 @@ def newton_interp(
 ) -> DataFrame:
     """Probes (keys…, x) with the value of each series' interpolating polynomial."""
     fitted = newton_coefficients(df, keys, x, y, max_points)
-    joined = probes.join(fitted, list(keys), "inner")
+    joined = od.attach(probes, fitted, keys, "inner")
     return joined.withColumn(y, newton_value(F.col("nodes"), F.col("coefs"), F.col(x))).drop("nodes", "coefs")
 
 
@@ -166,7 +168,7 @@ def _simpson(df: DataFrame, keys: Sequence[str], x: str, y: str, period: int) ->
     )
     h = (F.col("_b") - F.col("_a")) / (F.col("_n") - 1)
     ends = ends.withColumn("_h", F.when(F.col("_n") > 1, h))
-    rows = df.join(ends, list(keys), "inner") if keys else df.crossJoin(F.broadcast(ends))
+    rows = od.attach(df, ends, keys)
     place = F.round((F.col(x) - F.col("_a")) / F.col("_h")).cast("bigint")
     off = F.abs(F.col(x) - F.col("_a") - place * F.col("_h")) > F.col("_h") * 1e-6
     end = (place == 0) | (place == F.col("_n") - 1)
@@ -235,7 +237,7 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) ->
     ends = ends.select(
         *keys, ((F.col("_a") + F.col("_b")) / 2).alias("mid"), F.when(half > 0, half).otherwise(1.0).alias("half")
     )
-    rows = df.join(ends, keys, "inner") if keys else df.crossJoin(F.broadcast(ends))
+    rows = od.attach(df, ends, keys)
     z = (F.col(x) - F.col("mid")) / F.col("half")
     powers = [F.lit(1.0)]
     for _ in range(2 * degree):

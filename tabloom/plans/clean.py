@@ -420,10 +420,10 @@ def standardize(spark, sf_dir):
 
 
 @query("poly_features", """
-    SELECT o_orderkey, round(z, 6) AS z_1, round(z * z, 6) AS z_2, round(z * z * z, 6) AS z_3
+    SELECT o_orderkey, round(z, 9) AS z_1, round(z * z, 9) AS z_2, round(z * z * z, 9) AS z_3
     FROM (SELECT o_orderkey, o_totalprice / 1000000 AS z FROM orders)
 """)
 def poly_features(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000000).alias("z"))
     powers = orders.select("o_orderkey", *en.poly_features(F.col("z"), 3, "z"))
-    return powers.select("o_orderkey", *[F.round(c, 6).alias(c) for c in ("z_1", "z_2", "z_3")])
+    return powers.select("o_orderkey", *[F.round(c, 9).alias(c) for c in ("z_1", "z_2", "z_3")])

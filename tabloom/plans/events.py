@@ -225,15 +225,15 @@ _COUNTS_SQL = """count(*) AS processed, count(*) FILTER (outcome = 'published')
     count(*) FILTER (outcome = 'skipped') AS skipped, epoch_us(max(ts)) - epoch_us(min(ts)) AS us"""
 
 
-@query("pipeline_stats", f"""
+@query("publish_stats", f"""
     SELECT job, processed, published, failed, deadlettered, skipped, round(us / 1e6, 3) AS duration_seconds,
       round(CASE WHEN us > 0 THEN published / (us / 1e6) ELSE 0 END, 6) AS messages_per_second,
       round(CASE WHEN published + failed > 0 THEN published / (published + failed) ELSE 1 END, 6) AS success_rate
     FROM (SELECT job, {_COUNTS_SQL} FROM ({_LOG_SQL}) GROUP BY job
           UNION ALL SELECT 'ALL', {_COUNTS_SQL} FROM ({_LOG_SQL}))
 """)
-def pipeline_stats(spark, sf_dir):
-    stats = ev.pipeline_stats(publish_log(spark, sf_dir)).drop("first_ts", "last_ts")
+def publish_stats(spark, sf_dir):
+    stats = ev.publish_stats(publish_log(spark, sf_dir)).drop("first_ts", "last_ts")
     return stats.withColumns(
         {
             "duration_seconds": F.round("duration_seconds", 3),
@@ -276,7 +276,7 @@ def job_summary(spark, sf_dir):
       UNION ALL SELECT 'backlog', backlog, 10000 FROM s)
 """)
 def alert_rules(spark, sf_dir):
-    stats = ev.pipeline_stats(publish_log(spark, sf_dir)).filter(F.col("job") == "ALL")
+    stats = ev.publish_stats(publish_log(spark, sf_dir)).filter(F.col("job") == "ALL")
     as_of = F.lit("2024-01-31 06:00:00").cast("timestamp")
     values = stats.select(
         (F.col("failed") / (F.col("published") + F.col("failed"))).alias("failed_rate"),

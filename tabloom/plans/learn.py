@@ -23,7 +23,7 @@ def _train(key: str, seed: int = 0):
 
 
 def _tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     kept = F.filter(ft.vector_tokens(F.col("text")), lambda w: ~w.isin(STOP_WORDS))
     return labels.join(docs, "doc_id").select("doc_id", "quality", kept.alias("tokens"))

@@ -26,5 +26,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table as Parquet.
+
+    A file with one row group is read by one task. Where each row costs much
+    work (``heavy``) and the session sets ``spark.tabloom.input.partitions``, the rows
+    are dealt out first. Large tables have many row groups; leave it unset there.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get("spark.tabloom.input.partitions", None) if heavy else None
+    return df.repartition(int(parts)) if parts else df

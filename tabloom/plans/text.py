@@ -19,7 +19,7 @@ _VEC = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
 
 
 @query("line_count", """
@@ -94,7 +94,7 @@ def word_metrics(spark, sf_dir):
       FROM conversations) GROUP BY role, word
 """)
 def word_freq_by_role(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations", heavy=True)
     words = ot.explode_tokens(turns, ft.word_tokens(F.col("text")), ["role"])
     return words.groupBy("role", "word").agg(F.count("*").alias("count"))
 

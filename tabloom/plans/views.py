@@ -115,8 +115,8 @@ def as_raw(orders: DataFrame) -> DataFrame:
 
 
 def facts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_facts(table(spark, sf_dir, "orders"))
+    return as_facts(table(spark, sf_dir, "orders", heavy=True))
 
 
 def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_raw(table(spark, sf_dir, "orders"))
+    return as_raw(table(spark, sf_dir, "orders", heavy=True))

@@ -37,7 +37,7 @@ def scan_chunked(
     fmt: str = "parquet",
     **options: str,
 ) -> int:
-    """Give the files to ``handle(rows, chunk number)`` some at a time; returns the number of chunks.
+    """Give the files to ``handle(rows, chunk number)`` some at a time; returns how many chunks this run gave.
 
     Progress is kept in the checkpoint folder, so a broken run goes on where it
     stopped instead of starting anew.
@@ -49,14 +49,20 @@ def scan_chunked(
         .format(fmt)
         .load(path)
     )
+    seen = set()
+
+    def count_and_handle(rows: DataFrame, chunk: int) -> None:
+        handle(rows, chunk)
+        seen.add(chunk)
+
     run = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(count_and_handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return len([p for p in run.recentProgress if p["numInputRows"] > 0])
+    return len(seen)
 
 
 def scan_rollup_dir(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:

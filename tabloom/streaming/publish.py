@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators.events import DEAD_LETTER_TOPIC, known_attributes
+from tabloom.operators.events import DEAD_LETTER_TOPIC, noted
 from tabloom.session import staging_path
 
 # Publishing defaults.
@@ -129,7 +129,7 @@ def retry_publish(
     done.append(
         last.withColumns(
             {
-                "attributes": F.map_concat("attributes", known_attributes(notes)),
+                "attributes": noted(F.col("attributes"), notes),
                 "topic": F.lit(DEAD_LETTER_TOPIC),
                 "outcome": F.lit("deadlettered"),
             }

@@ -119,17 +119,17 @@ def test_rate_window_against_brute_force(spark):
         assert got[i] == (n, n > 60)
 
 
-def test_pipeline_stats_add_up(spark):
+def test_publish_stats_add_up(spark):
     log = spark.range(1000).select(
         F.concat(F.lit("job"), (F.col("id") % 3).cast("string")).alias("job"),
         F.timestamp_micros(F.col("id") * 1000000).alias("ts"),
         F.element_at(F.array(*map(F.lit, ev.OUTCOMES)), (F.col("id") % 4 + 1).cast("int")).alias("outcome"),
     )
-    rows = {r.job: r for r in ev.pipeline_stats(log).collect()}
+    rows = {r.job: r for r in ev.publish_stats(log).collect()}
     for r in rows.values():
         assert r.processed == r.published + r.failed + r.deadlettered + r.skipped
     assert rows["ALL"].processed == 1000 and rows["ALL"].success_rate == pytest.approx(0.5)
-    empty = ev.pipeline_stats(log.filter("false")).collect()
+    empty = ev.publish_stats(log.filter("false")).collect()
     assert [(r.job, r.processed, r.success_rate, r.messages_per_second) for r in empty] == [("ALL", 0, 1.0, 0.0)]
     nothing = inline_table(spark, [], "status string, start_time double, end_time double")
     assert ev.job_summary(nothing).first().job_success_rate == 0.0
