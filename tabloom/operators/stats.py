@@ -48,6 +48,17 @@ def duplicate_total(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
+def nunique(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """(column_name, n): distinct values of each column, nulls left out."""
+    if approximate:
+        count = F.approx_count_distinct
+    else:
+        count = F.count_distinct
+    one = df.agg(*[count(c).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in columns])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def pop_stats(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, population variance and deviation, variation in percent and 95 % interval."""
     base = df.groupBy(*keys).agg(

@@ -29,14 +29,14 @@ def ordered_words(freq: DataFrame) -> DataFrame:
 def word_metrics(df: DataFrame, tokens: Column) -> DataFrame:
     """One row: lines, words, unique_words.
 
-    Lines and words come from one pass without exploding; the distinct count
-    needs the words themselves, and reads only the frequency table.
+    Both word numbers come from the frequency table, so the text is tokenised
+    once; counting the lines reads no text.
     """
-    sizes = df.agg(
-        F.count("*").alias("lines"), F.sum(F.size(tokens)).cast("bigint").alias("words")
+    lines = df.agg(F.count("*")).scalar()
+    totals = word_freq(df, tokens).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("words"), F.count("*").alias("unique_words")
     )
-    unique = word_freq(df, tokens).agg(F.count("*").alias("unique_words"))
-    return sizes.withColumn("unique_words", unique.scalar())
+    return totals.select(lines.alias("lines"), "words", "unique_words")
 
 
 def count_vectors(df: DataFrame, doc_col: str, tokens: Column) -> DataFrame:

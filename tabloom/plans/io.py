@@ -10,12 +10,13 @@ from tabloom.operators import rollup as ro
 from tabloom.operators import text as ot
 from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL, analytics_events, event_time, events_of_raw
 from tabloom.plans.registry import query, table
-from tabloom.plans.rollups import rollups_sql
+from tabloom.plans.rollups import _GENRES_SQL, rollups_sql
 from tabloom.plans.text import _FREQ, _WORDS
 from tabloom.plans.views import RAW_SQL, as_facts, as_raw, facts_view, raw_view
 from tabloom.session import staging_path
 from tabloom.sources import readers, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv as dirty
+from tabloom.sources.inline import inline_table as literal
 from tabloom.streaming import publish as pb
 
 _LINES = "string_split_regex(text, '\\r\\n|\\r|\\n')"
@@ -137,6 +138,23 @@ def sink_json(spark, sf_dir):
     return spark.read.schema("lines bigint, words bigint, unique_words bigint").json(path)
 
 
+@query("inline_table", f"""
+    SELECT (SELECT count(*) FROM documents) AS lines, count(*) AS words, count(DISTINCT word) AS unique_words FROM ({_WORDS})
+""")
+def inline_table(spark, sf_dir):
+    """The metrics of a finished run as a table of their own: the totals are one row."""
+    docs = table(spark, sf_dir, "documents", heavy=True).select("text")
+    totals = ot.word_metrics(docs, ft.word_tokens(F.col("text"))).first()
+    return literal(spark, [tuple(totals)], "lines bigint, words bigint, unique_words bigint")
+
+
+@query("sink_csv", f"SELECT genre, movie_count FROM ({_GENRES_SQL})")
+def sink_csv(spark, sf_dir):
+    path = staging_path(spark, "by-genre")
+    writers.sink_csv(ro.exploded_counts(facts_view(spark, sf_dir), "genres", "genre"), path)
+    return readers.scan_csv(spark, path, "genre string, movie_count bigint")
+
+
 @query("sink_kv_text", _FREQ)
 def sink_kv_text(spark, sf_dir):
     path = staging_path(spark, "kv")
@@ -215,6 +233,16 @@ def live_rollup(spark, sf_dir):
     return pb.live_rollup(spark, ev.live_counts(events, F.col("event_type")), "live-rollup")
 
 
+@query("windowed_counts", """
+    SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2
+""")
+def windowed_counts(spark, sf_dir):
+    events = pb.stream_table(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = pb.windowed_counts(events, "ts", "event_type", "1 day", "1 hour")
+    out = pb.live_rollup(spark, counts, "windowed")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 @query("throttled_intake", "SELECT count(*) AS n, 4::BIGINT AS batches FROM events")
 def throttled_intake(spark, sf_dir):
     source = staging_path(spark, "intake")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators import stats as st
+from tabloom.operators.encode import text_columns
 from tabloom.operators.sampling import MODULUS, key_hash
 from tabloom.plans.registry import query, table
 
@@ -39,6 +40,13 @@ def duplicate_total(spark, sf_dir):
     return st.duplicate_total(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
+@query("nunique", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n FROM part" for c in ("p_name", "p_brand", "p_type")))
+def nunique(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return st.nunique(part, text_columns(part))
+
+
 _STATS = """l_returnflag, count(v) AS n, avg(v) AS mean, var_pop(v) AS var_pop, stddev_pop(v) AS std_pop"""
 _STATS_SQL = f"SELECT {_STATS} FROM (SELECT l_returnflag, l_extendedprice / 1000 AS v FROM lineitem) GROUP BY l_returnflag"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,6 +15,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_STAGING: dict[str, str] = {}
+
 
 def build_session(app: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; ``conf`` keys use ``__`` for dots."""
@@ -41,10 +42,11 @@ def staging_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = os.environ.get("TABLOOM_LOCAL_STAGING") or tempfile.mkdtemp(prefix="tabloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_STAGING:
+        _LOCAL_STAGING[app] = tempfile.mkdtemp(prefix="tabloom-")
+        spark.sparkContext.setCheckpointDir(_LOCAL_STAGING[app])
+    return _LOCAL_STAGING[app]
 
 
 def staging_path(spark: SparkSession, label: str) -> str:

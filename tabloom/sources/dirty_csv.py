@@ -18,6 +18,8 @@ from tabloom.session import staging_path
 
 _BACKSLASH = "\ue000"
 _SPLIT = ["_file", "_start"]
+# A record that goes on over more splits than this is no record: strings end at 2 GB.
+MAX_SPLITS = 64
 
 
 def _one_escape(text: Column) -> Column:
@@ -58,9 +60,12 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     last = pieces.groupBy(*_SPLIT).agg(F.max("_rec").alias("_last"))
     begun = F.when(F.col("_last") > 0, F.struct("_start", "_last"))
     owner = last.select(*_SPLIT, F.last(begun, ignorenulls=True).over(along).alias("_owner"))
+    parts = pieces.filter(F.col("_rec") == 0).join(owner, _SPLIT)
+    longest = parts.groupBy("_file", "_owner").count().agg(F.max("count")).first()[0]
+    if (longest or 0) > MAX_SPLITS:
+        raise ValueError(f"a record runs over {longest} splits: a quote is left open")
     tails = (
-        pieces.filter(F.col("_rec") == 0)
-        .join(owner, _SPLIT)
+        parts
         .groupBy("_file", F.col("_owner._start").alias("_start"), F.col("_owner._last").alias("_rec"))
         .agg(F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_t"))
         .select("_file", "_start", "_rec", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("_tail"))

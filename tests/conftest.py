@@ -10,10 +10,9 @@ from tabloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    os.environ["TABLOOM_LOCAL_STAGING"] = str(tmp_path_factory.mktemp("staging"))
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__checkpoint__dir=str(tmp_path_factory.mktemp("staging")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -11,6 +11,7 @@ from tabloom.functions import binning as bn
 from tabloom.functions import clean as cl
 from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
+from tabloom.session import staging_path, staging_root
 from tabloom.sources import readers, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv
 from tabloom.sources.inline import inline_table
@@ -65,6 +66,39 @@ def test_dirty_csv_over_split_borders(spark, tmp_path, split):
     assert got == sorted(want)
 
 
+def test_open_quote_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tabloom.sources.dirty_csv.MAX_SPLITS", 3)
+    (tmp_path / "open.csv").write_text('id,t\n1,"left open\n' + "2,x\n" * 200, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        with pytest.raises(ValueError, match="left open"):
+            scan_dirty_csv(spark, str(tmp_path / "open.csv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+class _Session:
+    """Just enough of a session to ask for a setting."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = self
+        self.master, self.applicationId, self.folder = master, f"app-{master}", None
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_staging_folder(spark):
+    assert staging_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/x-")
+    assert staging_root(_Session("yarn", "/shared/place")) == "/shared/place"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging_root(_Session("yarn"))
+    alone = _Session("local[2]")
+    assert staging_root(alone) == staging_root(alone) == alone.folder
+
+
 def test_rollup_folder_with_gaps(spark, tmp_path):
     writers.sink_csv(inline_table(spark, [("Drama", 3), (None, 1)], "genre string, movie_count bigint"), str(tmp_path / "movies_by_genre.csv"))
     writers.sink_csv(inline_table(spark, [("x", 1)], "wrong string, movie_count bigint"), str(tmp_path / "movies_by_year.csv"))
