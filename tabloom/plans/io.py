@@ -9,7 +9,7 @@ from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
 from tabloom.operators import text as ot
 from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL, analytics_events, event_time, events_of_raw
-from tabloom.plans.registry import query, table
+from tabloom.plans.registry import query, spread, table
 from tabloom.plans.rollups import _GENRES_SQL, rollups_sql
 from tabloom.plans.text import _FREQ, _WORDS
 from tabloom.plans.views import RAW_SQL, as_facts, as_raw, facts_view, raw_view
@@ -189,7 +189,7 @@ def byte_budget_extract(spark, sf_dir):
 
 @query("stream_movie_events", f"SELECT 'movie-' || id || '-{_EPOCH}' AS key, rating_tier, title FROM ({_ATTR_SQL})")
 def stream_movie_events(spark, sf_dir):
-    orders = pb.stream_table(spark, sf_dir, "orders.parquet")
+    orders = spread(pb.stream_table(spark, sf_dir, "orders.parquet"))
     written = pb.publish_stream(spark, ev.movie_events(as_facts(orders), event_time()), "movie-events")
     return written.select(
         "key", ev.attr("ratingTier").alias("rating_tier"), F.get_json_object("value", "$.data.title").alias("title")
@@ -211,7 +211,7 @@ def stream_analytics_events(spark, sf_dir):
     SELECT row_key, CASE WHEN reason IS NULL THEN 'movie-events-raw' ELSE 'movie-events-deadletter' END AS topic FROM ({_FAULT_SQL})
 """)
 def stream_dead_letter(spark, sf_dir):
-    events = events_of_raw(as_raw(pb.stream_table(spark, sf_dir, "orders.parquet")))
+    events = events_of_raw(as_raw(spread(pb.stream_table(spark, sf_dir, "orders.parquet"))))
     return pb.publish_stream(spark, events, "dead-letters").select("row_key", "topic")
 
 
@@ -222,7 +222,7 @@ def stream_dead_letter(spark, sf_dir):
     UNION ALL SELECT 'movie-events-recent', id FROM ({_ATTR_SQL}) WHERE decade IN ('2010s', '2020s')
 """)
 def stream_subscription(spark, sf_dir):
-    orders = pb.stream_table(spark, sf_dir, "orders.parquet")
+    orders = spread(pb.stream_table(spark, sf_dir, "orders.parquet"))
     routed = ev.route_subscriptions(ev.movie_events(as_facts(orders), event_time(), keep=["id"]), ["topic", "id"])
     return pb.publish_stream(spark, routed, "subscriptions").select("subscription", "id")
 

@@ -27,12 +27,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A table as Parquet.
+    """A table as Parquet; ``heavy`` says that each of its rows costs much work."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
+
 
-    A file with one row group is read by one task. Where each row costs much
-    work (``heavy``) and the session sets ``spark.tabloom.input.partitions``, the rows
-    are dealt out first. Large tables have many row groups; leave it unset there.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to ``spark.tabloom.input.partitions`` tasks, if the session sets it.
+
+    A file with one row group is read by one task. Large tables have many row
+    groups; leave the setting out there.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = spark.conf.get("spark.tabloom.input.partitions", None) if heavy else None
+    parts = df.sparkSession.conf.get("spark.tabloom.input.partitions", None)
     return df.repartition(int(parts)) if parts else df
