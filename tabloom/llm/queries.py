@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import langid, quality, toxicity
+from tabloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,25 @@ def op2_toxicity(spark, sf_dir):
 def op8_quality(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.resample(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
+@_query("op5_near_dup")
+def op5_near_dup(spark, sf_dir):
+    return near_dup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find(docs, _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_mix")
+def op9_mix(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query("op10_line_dedup", line_dedup.ORACLE)
+def op10_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.strip(docs).drop("source")

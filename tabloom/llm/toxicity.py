@@ -22,10 +22,10 @@ from tabloom.llm import chars, common
 
 BITS = 18
 PREFIXES = (4, 5)
-MAX_POSITIVE = 40_000
-MAX_UNLABELLED = 60_000
+MAX_POSITIVE = 20_000
+MAX_UNLABELLED = 40_000
 PRIOR_UNKNOWN = 0.1
-TELLING = 5.0
+TELLING, LIFT = 5.0, 2.0  # a telling word is surely, and by this factor, more frequent in toxic texts
 THRESHOLD = 0.7
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 
@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_positive: in
     prior = n_toxic / n_known if n_toxic < n_known else PRIOR_UNKNOWN
     words = got[got["bucket"] >= 0]
     p, u = words["n_p"] / n_p, words["n"] / n
-    telling = words["bucket"][(np.abs(p - u) / np.sqrt((u * (1 - u) + 1 / n) / n_p)) >= TELLING].to_numpy()
+    sure = (p - u) / np.sqrt((u * (1 - u) + 1 / n) / n_p) >= TELLING
+    telling = words["bucket"][sure & (p >= LIFT * u)].to_numpy()
     telling.sort()
     column = np.full(1 << bits, -1, np.int64)
     column[telling] = np.arange(len(telling))
