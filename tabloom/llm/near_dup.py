@@ -137,7 +137,7 @@ def _spread(size: int):
 
 def find_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
                rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """A staged table (doc_id, node, n_shingles) of all rows, and confirmed links (a, b) between nodes.
+    """A staged table (doc_id, row_key, node, n_shingles) of all rows, and confirmed links (a, b) between nodes.
 
     The links connect all that similar pairs connect; pairs inside a component found earlier are not listed.
     """
@@ -187,7 +187,7 @@ def find_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = common.staged(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = common.staged(confirm(rest), "links")
-    return made.select("doc_id", "node", "n_shingles"), links.unionByName(more)
+    return made.drop("bands"), links.unionByName(more)
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -215,8 +215,11 @@ def drop_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     Of rows that share id and text one stays, whatever their other columns say. Textless rows are alone
     and stay, one for each id.
     """
-    whole = docs.select(F.struct("*").alias("__row"), "doc_id", common.row_key("doc_id", "text").alias("__key"))
-    rows = dedup(docs.select(F.struct("doc_id", common.row_key("doc_id", "text").alias("key")).alias("doc_id"), "text"),
-                 size, percent)
-    kept = rows.where("kept").select(F.col("doc_id.key").alias("__key")).distinct()
+    rows, links = find_links(docs.select("doc_id", "text"), size, percent)
+    placed = rows.join(components(links), "node", "left").select(
+        "doc_id", "row_key", "n_shingles", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = placed.where("n_shingles > 0").groupBy("root").agg(F.min_by("row_key", order).alias("__key")).select("__key")
+    kept = kept.unionByName(placed.where("n_shingles = 0").select(F.col("row_key").alias("__key")).distinct())
+    whole = docs.select(F.struct("*").alias("__row"), common.row_key("doc_id", "text").alias("__key"))
     return whole.join(kept, "__key").dropDuplicates(["__key"]).select("__row.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, langid, line_dedup, mixing, near_dup, quality, toxicity
+from tabloom.llm import ann, decontaminate, langid, licenses, line_dedup, mixing, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,13 @@ def op9_mix(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_dedup.strip(docs).drop("source")
+
+
+@_query("op3_neighbours")
+def op3_neighbours(spark, sf_dir):
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query("op4_licenses")
+def op4_licenses(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents"))
