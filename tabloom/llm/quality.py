@@ -2,11 +2,11 @@
 
 The log ratio of a text's probabilities under the two is its importance weight. The filter samples without
 replacement by Gumbel top-k: the k largest of ``log weight + temperature * Gumbel noise``. The noise is a hash
-of the row, so reruns agree, and k is the number of texts at least as likely under the good model.
+of the row, so reruns agree, and k is the number of texts that are not clearly less likely under the good model.
 
 Grams are runs of one to three word shapes. A shape is the word's characters with upper-case letters, lower-case
 letters and digits each turned into one sign and runs of a sign drawn together; a word that repeats the one before
-it has a shape of its own. Counts cover every text; the model is two vectors of ``2 ** bits`` numbers.
+it has a shape of its own. The counts of all texts cover every text; the model is two vectors of ``2 ** bits`` numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from tabloom.llm import chars, common
 
 BITS = 16
 MAX_ORDER = 3
+MAX_GOOD = 50_000
 SMOOTHING = 1.0
 TEMPERATURE = 0.1
 MARGIN = 20.0
@@ -92,15 +93,19 @@ def _count(bits: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_good: int = MAX_GOOD) -> Model:
     """Count grams of all ``docs`` (doc_id, text) and of those that ``labels`` (doc_id, quality) calls good (1).
 
-    An id with several labels is good if all of them say so. Null texts and labels without a text count for
+    The good model takes a sample of about ``max_good`` good ids at most, so that their ids can go to every task and
+    no text is shuffled. An id with several labels is good if all of them say so. Null texts and labels without a text count for
     nothing. Without a good text the ratio is flat and the filter keeps every row.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
     good = good.agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id", F.lit(True).alias("good"))
-    rows = docs.where("text is not null").select("doc_id", "text").join(good, "doc_id", "left")
+    share = min(1.0, max_good / max(good.count(), 1))
+    good = good.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = docs.where("text is not null").select("doc_id", "text")
+    rows = rows.join(F.broadcast(good), "doc_id", "left")  # about max_good ids at most, see the draw above
     rows = rows.select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = rows.mapInPandas(_count(bits), "bucket long, raw long, good long")
     got = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()  # <= 2**bits
