@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import ann, decontaminate, langid, licenses, line_dedup, mixing, near_dup, quality, toxicity
+from tabloom.llm import ann, decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op3_neighbours(spark, sf_dir):
 @_query("op4_licenses")
 def op4_licenses(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_html_text")
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
