@@ -138,7 +138,6 @@ def sample(units: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
     h = F.xxhash64("doc_id", "size", F.lit(seed))
     done = None
     rest = common.staged(units.where("pi > 0 and pi < 1").withColumn("h", h), "undecided")
-    schema = rest.schema.add("blocks", "long").add("block", "long").add("last", "boolean")
     while True:
         many = rest.groupBy("source").count().select(
             F.col("source").alias("s"), F.ceil(F.col("count") / block).alias("blocks"))
