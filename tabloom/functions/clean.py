@@ -35,9 +35,10 @@ def safe_int(c: Column) -> Column:
 
 
 def strict_int64(c: Column) -> Column:
-    """Integral numbers only: ``1e3`` is 1000, ``4.5`` is null."""
+    """Integral numbers only: ``1e3`` is 1000, ``4.5`` is null. Whole numbers are read as such, not as doubles."""
     value = safe_double(c)
-    return F.when(value % 1 == 0, value.try_cast("bigint"))
+    whole = F.when(strip(c).rlike(r"^[+-]?\d+$"), strip(c).try_cast("bigint"))
+    return F.coalesce(whole, F.when((value % 1 == 0) & ~strip(c).rlike(r"^[+-]?\d+$"), value.try_cast("bigint")))
 
 
 def safe_string(c: Column) -> Column:
@@ -56,10 +57,15 @@ def bool_flag(c: Column) -> Column:
     return F.when(word == "true", F.lit(True)).when(word == "false", F.lit(False))
 
 
+DATE_FORMS = ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyyMMdd")
+
+
 def parse_date(c: Column, fmt: str | None = None) -> Column:
-    text = c.cast("string")
-    stamp = F.try_to_timestamp(text, F.lit(fmt)) if fmt else F.try_to_timestamp(text)
-    return stamp.cast("date")
+    """Date or null. Without a format: ISO first, then the usual other forms, month before day."""
+    text = F.trim(c.cast("string"))
+    if fmt:
+        return F.try_to_timestamp(text, F.lit(fmt)).cast("date")
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMS]).cast("date")
 
 
 def release_year(d: Column, as_of_year: int) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +17,15 @@ VECTOR_PATTERN = "(?U)\\b(\\w\\w+)\\b"
 NOT_HYPHEN_WORD = "[^A-Za-z0-9-]"
 
 
+@functools.cache
+def english_stop_words() -> tuple[str, ...]:
+    """The English stop list that comes with Spark's own stop-word remover."""
+    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as parts:
+        listed = parts.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
+    return tuple(w.strip() for w in listed.splitlines() if w.strip())
+
+
 def word_tokens(line: Column, min_len: int = 1) -> Column:
     """Lower-cased runs of letters, digits and apostrophes; null gives no tokens."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(line, F.lit(""))), F.lit(WORD_PATTERN), 1)

@@ -247,15 +247,17 @@ def replay_dead_letters(dead: DataFrame, published: DataFrame, still_bad: Column
 def publish_stats(log: DataFrame, all_label: str = "ALL") -> DataFrame:
     """Counts, rate and success share per job and over all jobs.
 
-    ``log`` has (job, ts, outcome). The total row is made from the per-job rows.
+    ``log`` has (job, ts, outcome). The total row is made from the per-job rows. Outcomes without a column of their
+    own, null included, are counted as ``other``, so the columns add up to ``processed``.
     """
     counts = [F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]
+    counts.append(F.count_if(~F.coalesce(F.col("outcome").isin(list(OUTCOMES)), F.lit(False))).alias("other"))
     jobs = log.groupBy("job").agg(
         F.count("*").alias("processed"), *counts, F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
     whole = jobs.agg(
         F.lit(all_label).alias("job"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed", *OUTCOMES)],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed", *OUTCOMES, "other")],
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
     )
@@ -271,14 +273,20 @@ def publish_stats(log: DataFrame, all_label: str = "ALL") -> DataFrame:
 
 
 def job_summary(runs: DataFrame) -> DataFrame:
-    """Submitted, completed, failed and cancelled jobs and their success share."""
+    """Submitted jobs, how many are in each state, and the success share of the finished ones.
+
+    A state without a column of its own counts as ``other``.
+    """
+    states = ["pending", "running", "completed", "failed", "cancelled"]
+
     def having(status: str) -> Column:
         return F.count_if(F.col("status") == status)
 
     done = F.col("completed") + F.col("failed")
     return runs.agg(
         F.count("*").alias("submitted"),
-        *[having(s).alias(s) for s in ("completed", "failed", "cancelled")],
+        *[having(s).alias(s) for s in states],
+        F.count_if(~F.coalesce(F.col("status").isin(states), F.lit(False))).alias("other"),
         F.sum(F.col("end_time") - F.col("start_time")).alias("total_duration"),
     ).withColumn("job_success_rate", F.when(done > 0, F.col("completed") / done).otherwise(F.lit(0.0)))
 
@@ -296,29 +304,22 @@ def alert_rules(stats: DataFrame) -> DataFrame:
 
 
 def retention_filter(events: DataFrame, event_date: str, as_of: Column) -> DataFrame:
-    """Rows still inside the retention time of their topic.
-
-    The widest limit is a plain predicate on the date, so a date-partitioned
-    source is pruned before the per-topic limit is looked at.
-    """
+    """Rows still inside the retention time of their topic; a topic without a limit, or no topic, keeps its rows."""
     days = F.create_map(*[F.lit(x) for kv in RETENTION_DAYS.items() for x in kv])
     limit = F.try_element_at(days, F.col("topic"))
-    oldest = F.date_sub(as_of, max(RETENTION_DAYS.values()))
-    return events.filter(F.col(event_date) > oldest).filter(
-        F.col(event_date) > F.date_sub(as_of, limit)
-    )
+    return events.filter(limit.isNull() | (F.col(event_date) > F.date_sub(as_of, limit)))
 
 
 def rate_window(
-    messages: DataFrame, source: str, micros: str, tie: str, limit: int = RATE_LIMIT_PER_MINUTE
+    messages: DataFrame, source: str, micros: str, limit: int = RATE_LIMIT_PER_MINUTE
 ) -> DataFrame:
     """Add ``in_window`` (messages of the source in the last 60 s, this one included) and ``over_limit``.
 
     A message counts from its own time on and stops counting 60 s later, so the
     number in the window is a running sum of comings and goings. Each message
     counts in its own minute and, as history, in the next one; a task thus
-    holds two minutes of one source, however busy the source is. Equal times
-    are ordered by ``tie``.
+    holds two minutes of one source, however busy the source is. Messages of
+    the same time count for each other.
     """
     span = 60_000_000
     now = F.col(micros)
@@ -333,9 +334,9 @@ def rate_window(
         mark(minute, now, 1, True), mark(minute + 1, now, 1, False), mark(minute + 1, now + span, -1, False)
     )
     steps = messages.withColumn("_s", F.explode(marks))
-    # Goings come before comings of the same time: the window is open at its far end.
-    order = Window.partitionBy(source, F.col("_s.m")).orderBy(F.col("_s.t"), F.col("_s.step"), tie)
-    running = F.sum("_s.step").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # All that comes or goes at a time is counted at it: the window is open at its far end.
+    order = Window.partitionBy(source, F.col("_s.m")).orderBy(F.col("_s.t"))
+    running = F.sum("_s.step").over(order.rangeBetween(Window.unboundedPreceding, 0))
     counted = steps.withColumn("in_window", running).filter("_s.own").drop("_s")
     return counted.withColumn("over_limit", F.col("in_window") > limit)
 

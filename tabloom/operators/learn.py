@@ -11,13 +11,14 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.operators.text import words_of_rows
 from tabloom.sources.inline import inline_table
 
 MAX_CLASSES = 1000
@@ -47,15 +48,14 @@ def nb_multinomial(
 ) -> DataFrame:
     """(doc, predicted) for every test document. ``tokens`` is an array column in both inputs.
 
-    The score of a document is a sum over its tokens, so tokens are never
-    grouped per document before the model join. The vocabulary is the training
-    words; a document with no known word gets the most frequent class.
+    Each document counts its own words first, so a word joins the model once per document, not once per token. The
+    vocabulary is the training words; a document with no known word gets the most frequent class.
     """
     classes = class_values(train, label)
     prior = train.groupBy().pivot(label, classes).agg(F.count(label))
     prior = prior.select(F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(classes)])).scalar()
-    words = train.select(label, F.explode(tokens).alias("_word"))
-    counts = words.groupBy("_word").pivot(label, classes).agg(F.count(label)).na.fill(0)
+    words = words_of_rows(train, F.col(tokens), [label]).withColumnRenamed("word", "_word")
+    counts = words.groupBy("_word").pivot(label, classes).agg(F.sum("tf")).na.fill(0)
     totals = counts.agg(
         F.struct(F.count("*").alias("v"), *[F.sum(f"`{c}`").alias(f"t{i}") for i, c in enumerate(classes)])
     ).scalar()
@@ -66,10 +66,11 @@ def nb_multinomial(
             for i, c in enumerate(classes)
         ],
     )
-    asked = test.select(doc, F.explode_outer(tokens).alias("_word"))
-    sums = asked.join(model, "_word", "left").groupBy(doc).agg(
-        *[F.coalesce(F.sum(f"_l{i}"), F.lit(0.0)).alias(f"_l{i}") for i in range(len(classes))]
-    )
+    asked = words_of_rows(test, F.col(tokens), [doc]).withColumnRenamed("word", "_word")
+    found = asked.join(model, "_word").select(
+        doc, *[(F.col("tf") * F.col(f"_l{i}")).alias(f"_l{i}") for i in range(len(classes))])
+    every = test.select(doc, *[F.lit(0.0).alias(f"_l{i}") for i in range(len(classes))]).unionByName(found)
+    sums = every.groupBy(doc).agg(*[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(classes))])
     scores = [F.col(f"_l{i}") + F.log(prior[f"p{i}"]) for i in range(len(classes))]
     return sums.select(doc, _argmax(scores, classes).alias("predicted"))
 
@@ -202,4 +203,6 @@ def mlp(label: str, inputs: int, classes: int = 2, hidden: Sequence[int] = (6, 6
 
 
 def scaled_pipeline(features: Sequence[str], model) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), model])
+    """The model on columns standardised by mean and deviation of the rows it is fitted on."""
+    gather = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip")
+    return Pipeline(stages=[gather, StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model])

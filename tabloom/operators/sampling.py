@@ -1,4 +1,4 @@
-"""Repeatable samples, splits and folds by a multiplicative hash of the row key."""
+"""Repeatable samples, splits and folds by a mixing hash of seed and row key."""
 
 from __future__ import annotations
 
@@ -8,16 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The hash is (key * MULTIPLIER) mod MODULUS, which any SQL engine can repeat.
-MULTIPLIER = 2654435761
 MODULUS = 4294967296
 COARSE_BITS = 12
 
 
 def key_hash(key: Column, seed: int = 0) -> Column:
-    """Hash of a whole-number key, spread over [0, 2^32). The key is cut to 31 bits first."""
-    short = (key.cast("bigint") + seed) % 2147483648
-    return F.pmod(short * MULTIPLIER, F.lit(MODULUS))
+    """The first 32 bits of the MD5 of ``seed:key``, a number in [0, 2^32) that any SQL engine can repeat.
+
+    Every bit of key and seed changes it, so samples, splits and folds with different seeds are independent.
+    """
+    text = F.concat(F.lit(f"{seed}:"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def share_limit(share: float) -> int:

@@ -103,12 +103,15 @@ def divided_diff(
 def degree_by_dd(dd: DataFrame, keys: Sequence[str], threshold: float = 0.01) -> DataFrame:
     """(keys…, degree): one less than the first order whose differences all stay below the threshold.
 
-    If no order in the table does, the number of points less one.
+    If all orders of the series are in the table and none does, the number of points less one. A series whose higher
+    orders are missing from the table is an error, not a guess.
     """
     per = dd.groupBy(*keys, "ord").agg(F.max(F.abs("value")).alias("_m"), F.count("*").alias("_n"))
     small = F.when((F.col("ord") >= 1) & (F.col("_m") < threshold), F.col("ord"))
     points = F.max(F.when(F.col("ord") == 0, F.col("_n")))
-    return per.groupBy(*keys).agg(F.coalesce(F.min(small) - 1, points - 1).cast("int").alias("degree"))
+    undecided = F.raise_error(F.lit("a series needs orders beyond those in the table"))
+    last = F.when(F.max("ord") < points - 1, undecided).otherwise(points - 1)
+    return per.groupBy(*keys).agg(F.coalesce(F.min(small) - 1, last).cast("int").alias("degree"))
 
 
 def newton_coefficients(

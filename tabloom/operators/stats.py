@@ -174,12 +174,19 @@ def crosstab(
 ) -> DataFrame:
     """One row per actual class, one column per predicted class, in the given label order.
 
-    ``actual_labels`` is for tables whose two sides have different classes.
+    ``actual_labels`` is for tables whose two sides have different classes. A class that is not listed, null
+    included, is an error: no row is left out of the counts.
     """
     kind = df.schema[actual].dataType.simpleString()
-    order = list(enumerate(actual_labels if actual_labels is not None else labels))
-    rows = inline_table(df.sparkSession, order, f"_pos int, {actual} {kind}")
-    wide = df.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(actual))
+    rows_of = list(actual_labels if actual_labels is not None else labels)
+    rows = inline_table(df.sparkSession, list(enumerate(rows_of)), f"_pos int, {actual} {kind}")
+
+    def listed(column: str, known: Sequence) -> Column:
+        wrong = F.raise_error(F.concat(F.lit(f"{column} has a class that is not listed: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+        return F.when(F.col(column).isin(known), F.col(column)).otherwise(wrong)
+
+    known = df.select(listed(actual, rows_of).alias(actual), listed(predicted, list(labels)).alias(predicted))
+    wide = known.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(actual))
     full = F.broadcast(rows).join(wide, actual, "left").na.fill(0)
     return full.orderBy("_pos").select(actual, *[F.col(f"`{x}`").alias(f"pred_{x}") for x in labels])
 

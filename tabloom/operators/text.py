@@ -39,25 +39,33 @@ def word_metrics(df: DataFrame, tokens: Column) -> DataFrame:
     return totals.select(lines.alias("lines"), "words", "unique_words")
 
 
-def count_vectors(df: DataFrame, doc_col: str, tokens: Column) -> DataFrame:
-    """Sparse bag of words: one row (doc, word, tf) for each cell that is not zero."""
-    return (
-        explode_tokens(df, tokens, [doc_col]).groupBy(doc_col, "word").agg(F.count("*").alias("tf"))
+def words_of_rows(df: DataFrame, tokens: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep…, word, tf): each word of a row once, with its count in that row.
+
+    A row counts its own words: its tokens are sorted, and a word's count is the distance to the start of the next.
+    Nothing is shuffled, and later steps see one row per word instead of one per token.
+    """
+    ordered = df.select(*keep, F.sort_array(tokens).alias("_s")).where(F.size("_s") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", F.greatest(i - 1, F.lit(0))))
     )
+    marked = ordered.select(*keep, "_s", starts.alias("_i"))
+    ends = F.concat(F.slice("_i", F.lit(2), F.size("_i")), F.array(F.size("_s")))
+    zipped = F.zip_with("_i", ends, lambda a, b: F.struct(F.get("_s", a).alias("word"), (b - a).cast("bigint").alias("tf")))
+    return marked.select(*keep, F.inline(zipped))
+
+
+def count_vectors(df: DataFrame, doc_col: str, tokens: Column) -> DataFrame:
+    """Sparse bag of words: one row (doc, word, tf) for each cell that is not zero. A document is one row."""
+    return words_of_rows(df, tokens, [doc_col])
 
 
 def vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     """(word, df, tf): in how many documents and how often each word occurs.
 
-    Each document counts its own words inside its row, so nothing is shuffled
-    per document.
+    Each document counts its own words inside its row, so the text is read and split once.
     """
-    counted = df.select(
-        F.explode(F.array_distinct(tokens)).alias("word"), F.lit(1).alias("in_doc"), F.lit(0).alias("n")
-    ).unionAll(df.select(F.explode(tokens).alias("word"), F.lit(0), F.lit(1)))
-    return counted.groupBy("word").agg(
-        F.sum("in_doc").alias("df"), F.sum("n").alias("tf")
-    )
+    return words_of_rows(df, tokens).groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def drop_stop_words(df: DataFrame, words: Sequence[str], column: str = "word") -> DataFrame:

@@ -8,7 +8,7 @@ from tabloom.functions import binning as bn
 from tabloom.functions import clean as cl
 from tabloom.operators import encode as en
 from tabloom.operators import rollup as ro
-from tabloom.plans.registry import query, table
+from tabloom.plans.registry import hash_sql, query, table
 from tabloom.plans.views import AS_OF_YEAR, BINNED_SQL, FACTS_SQL, GENRE_LIST, RAW_SQL, facts_view, raw_view
 
 _ID = "try_cast(id AS DOUBLE)"
@@ -197,8 +197,9 @@ def presence_flags(spark, sf_dir):
     FROM ({_CLEAN_SQL})
 """)
 def drop_bad_ids(spark, sf_dir):
-    ids = raw_view(spark, sf_dir).select(cl.strict_int64(F.col("id")).alias("id"))
-    counted = ids.agg(F.count("*").alias("rows_in"), F.count("id").alias("rows_kept"))
+    raw = raw_view(spark, sf_dir).select("id")
+    kept = ro.clean_movies(raw, 2024).agg(F.count("*")).scalar()
+    counted = raw.agg(F.count("*").alias("rows_in")).withColumn("rows_kept", kept)
     return counted.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_kept"))
 
 
@@ -405,10 +406,10 @@ def percent_error(spark, sf_dir):
     )
 
 
-@query("standardize", """
+@query("standardize", f"""
     SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice_z FROM orders,
       (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders
-       WHERE (o_orderkey * 2654435761) % 4294967296 < 3006477107)
+       WHERE {hash_sql('o_orderkey')} < 3006477107)
 """)
 def standardize(spark, sf_dir):
     from tabloom.operators.sampling import key_hash, share_limit

@@ -120,13 +120,14 @@ def analytics_envelope(spark, sf_dir):
 
 @query("valid_dimension", f"""
     SELECT aggregation_type, count(*) AS processed,
-      count(*) FILTER (dimension IS NULL OR movie_count <= 0) AS skipped FROM ({rollups_sql()}) GROUP BY 1
+      count(*) FILTER (dimension IS NULL OR movie_count <= 0 OR movie_count IS NULL) AS skipped FROM ({rollups_sql()}) GROUP BY 1
 """)
 def valid_dimension(spark, sf_dir):
     rollups = all_rollups(spark, sf_dir)
-    skipped = F.col("dimension").isNull() | (F.col("movie_count") <= 0)
-    return rollups.groupBy("aggregation_type").agg(
-        F.count("*").alias("processed"), F.count_if(skipped).alias("skipped")
+    rows = rollups.select("aggregation_type", F.lit(1).alias("n")).unionByName(
+        ev.valid_dimension(rollups).select("aggregation_type", F.lit(-1).alias("n")))
+    return rows.groupBy("aggregation_type").agg(
+        F.count_if(F.col("n") == 1).alias("processed"), F.sum("n").alias("skipped")
     )
 
 
@@ -210,7 +211,7 @@ LOG = {
     "source": "user_id",
     "ts": "ts",
     "outcome": """CASE WHEN event_id % 50 = 0 THEN 'failed' WHEN event_id % 70 = 1 THEN 'deadlettered'
-        WHEN event_id % 33 = 2 THEN 'skipped' ELSE 'published' END""",
+        WHEN event_id % 33 = 2 THEN 'skipped' WHEN event_id % 91 = 3 THEN 'delayed' ELSE 'published' END""",
 }
 _LOG_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in LOG.items()) + " FROM events"
 
@@ -222,11 +223,11 @@ def publish_log(spark, sf_dir):
 
 _COUNTS_SQL = """count(*) AS processed, count(*) FILTER (outcome = 'published') AS published,
     count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'deadlettered') AS deadlettered,
-    count(*) FILTER (outcome = 'skipped') AS skipped, epoch_us(max(ts)) - epoch_us(min(ts)) AS us"""
+    count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'delayed') AS other, epoch_us(max(ts)) - epoch_us(min(ts)) AS us"""
 
 
 @query("publish_stats", f"""
-    SELECT job, processed, published, failed, deadlettered, skipped, round(us / 1e6, 3) AS duration_seconds,
+    SELECT job, processed, published, failed, deadlettered, skipped, other, round(us / 1e6, 3) AS duration_seconds,
       round(CASE WHEN us > 0 THEN published / (us / 1e6) ELSE 0 END, 6) AS messages_per_second,
       round(CASE WHEN published + failed > 0 THEN published / (published + failed) ELSE 1 END, 6) AS success_rate
     FROM (SELECT job, {_COUNTS_SQL} FROM ({_LOG_SQL}) GROUP BY job
@@ -243,21 +244,24 @@ def publish_stats(spark, sf_dir):
     )
 
 
-_RUNS_SQL = f"""SELECT user AS job_id, CASE WHEN f > 2 THEN 'failed' ELSE 'completed' END AS status,
+_RUNS_SQL = f"""SELECT user AS job_id, CASE WHEN user % 11 = 0 THEN 'running' WHEN user % 13 = 0 THEN 'pending'
+      WHEN f > 2 THEN 'failed' ELSE 'completed' END AS status,
     a AS start_time, b AS end_time FROM (SELECT source AS user, count(*) FILTER (outcome = 'failed') AS f,
       floor(epoch(min(ts))) AS a, floor(epoch(max(ts))) AS b FROM ({_LOG_SQL}) GROUP BY 1)"""
 
 
 @query("job_summary", f"""
-    SELECT count(*) AS submitted, count(*) FILTER (status = 'completed') AS completed,
+    SELECT count(*) AS submitted, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running,
+      0::BIGINT AS other, count(*) FILTER (status = 'completed') AS completed,
       count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'cancelled') AS cancelled,
       sum(end_time - start_time) AS total_duration,
-      round(count(*) FILTER (status = 'completed') / count(*), 6) AS job_success_rate FROM ({_RUNS_SQL})
+      round(count(*) FILTER (status = 'completed') / count(*) FILTER (status IN ('completed', 'failed')), 6) AS job_success_rate FROM ({_RUNS_SQL})
 """)
 def job_summary(spark, sf_dir):
     failures = F.count_if(F.col("outcome") == "failed")
     runs = publish_log(spark, sf_dir).groupBy(F.col("source").alias("job_id")).agg(
-        F.when(failures > 2, "failed").otherwise("completed").alias("status"),
+        F.when(F.col("job_id") % 11 == 0, "running").when(F.col("job_id") % 13 == 0, "pending")
+        .when(failures > 2, "failed").otherwise("completed").alias("status"),
         F.unix_seconds(F.min("ts")).cast("double").alias("start_time"),
         F.unix_seconds(F.max("ts")).cast("double").alias("end_time"),
     )
@@ -314,7 +318,7 @@ def rate_window(spark, sf_dir):
     messages = table(spark, sf_dir, "events").select(
         "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
     )
-    return ev.rate_window(messages, "event_type", "us", "event_id", limit=3).drop("us")
+    return ev.rate_window(messages, "event_type", "us", limit=3).drop("us")
 
 
 @query("validate_inputs", """

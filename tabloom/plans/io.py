@@ -92,21 +92,27 @@ def scan_csv_latin1(spark, sf_dir):
     return back.select("stars", F.length("text").cast("bigint").alias("n"), accents.cast("bigint").alias("accents"))
 
 
-@query("scan_chunked", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, 4::BIGINT AS chunks FROM events GROUP BY event_type")
+@query("scan_chunked", """
+    SELECT event_type, count(*) AS n, round(sum(value), 4) AS total,
+      (SELECT ceil(count(DISTINCT ts::DATE) / 2)::BIGINT FROM events) AS chunks
+    FROM events GROUP BY event_type
+""")
 def scan_chunked(spark, sf_dir):
+    """One file a day, two files a chunk: the number of chunks follows the number of files."""
     source, out = staging_path(spark, "chunks"), staging_path(spark, "chunk-sums")
-    table(spark, sf_dir, "events").select("event_type", "value").repartition(8).write.parquet(source)
+    events = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("date").alias("day"))
+    events.repartition("day").write.partitionBy("day").parquet(source)
 
     def add_up(rows, chunk):
         sums = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         sums.write.mode("overwrite").parquet(f"{out}/chunk={chunk}")
 
     progress = staging_path(spark, "chunk-progress")
-    readers.scan_chunked(spark, source, "event_type string, value double", add_up, progress, files_per_chunk=2)
+    readers.scan_chunked(spark, source, "event_type string, value double, day date", add_up, progress, files_per_chunk=2)
     sums = spark.read.parquet(out)
     return sums.groupBy("event_type").agg(
-        F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"), F.count_distinct("chunk").alias("chunks")
-    )
+        F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total")
+    ).withColumn("chunks", sums.agg(F.count_distinct("chunk")).scalar())
 
 
 def write_rollups(spark, sf_dir, folder):
@@ -230,7 +236,7 @@ def stream_subscription(spark, sf_dir):
 @query("live_rollup", "SELECT event_type AS dimension, count(*) AS n FROM events GROUP BY event_type")
 def live_rollup(spark, sf_dir):
     events = pb.stream_table(spark, sf_dir, "events.parquet")
-    return pb.live_rollup(spark, ev.live_counts(events, F.col("event_type")), "live-rollup")
+    return pb.live_rollup(spark, ev.live_counts(events, F.col("event_type")), "live-rollup", ["dimension"])
 
 
 @query("windowed_counts", """
@@ -239,14 +245,17 @@ def live_rollup(spark, sf_dir):
 def windowed_counts(spark, sf_dir):
     events = pb.stream_table(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = pb.windowed_counts(events, "ts", "event_type", "1 day", "1 hour")
-    out = pb.live_rollup(spark, counts, "windowed")
+    out = pb.live_rollup(spark, counts, "windowed", ["window_start", "event_type"])
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("throttled_intake", "SELECT count(*) AS n, 4::BIGINT AS batches FROM events")
+@query("throttled_intake", "SELECT count(*) AS n, ceil(count(DISTINCT ts::DATE) / 4)::BIGINT AS batches FROM events")
 def throttled_intake(spark, sf_dir):
+    """One file a day, four files in flight."""
     source = staging_path(spark, "intake")
-    table(spark, sf_dir, "events").select("event_id", F.lit("movie-events-raw").alias("topic")).repartition(16).write.parquet(source)
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.lit("movie-events-raw").alias("topic"), F.col("ts").cast("date").alias("day"))
+    events.repartition("day").write.partitionBy("day").parquet(source)
     written = pb.publish_stream(spark, pb.throttled_intake(spark, source, workers=2), "throttled")
     return written.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
 

@@ -10,12 +10,12 @@ from tabloom.operators import encode as en
 from tabloom.operators import learn as ml
 from tabloom.operators import sampling as sa
 from tabloom.operators import stats as st
-from tabloom.plans.registry import query, table
+from tabloom.plans.registry import hash_sql, query, table
 from tabloom.plans.text import STOP_WORDS, _STOP_SQL
 from tabloom.plans.views import BINNED_SQL, facts_view
 
 _LIMIT = sa.share_limit(0.7)
-_HASH = "({k} * 2654435761) % 4294967296"
+_HASH = hash_sql("{k}")
 
 
 def _train(key: str, seed: int = 0):
@@ -25,7 +25,7 @@ def _train(key: str, seed: int = 0):
 def _tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    kept = F.filter(ft.vector_tokens(F.col("text")), lambda w: ~w.isin(STOP_WORDS))
+    kept = F.filter(ft.vector_tokens(F.col("text")), lambda w: ~w.isin(list(STOP_WORDS)))
     return labels.join(docs, "doc_id").select("doc_id", "quality", kept.alias("tokens"))
 
 
@@ -180,8 +180,12 @@ def grid_shuffle(spark, sf_dir):
 
 @query("mlp")
 def mlp(spark, sf_dir):
-    width = 64
-    vectors = table(spark, sf_dir, "embeddings").select(
+    """All components of the vectors, standardised on the training rows; vectors of mixed length are an error."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    width, shortest = embeddings.agg(F.max(F.size("embedding")), F.min(F.size("embedding"))).first()
+    if width != shortest:
+        raise ValueError("embeddings differ in length")
+    vectors = embeddings.select(
         "vec_id", (F.col("label") >= 5).cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)]
     )
     features = [f"e{i}" for i in range(width)]

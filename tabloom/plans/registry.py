@@ -26,6 +26,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def hash_sql(key: str, seed: int = 0) -> str:
+    """The sampling hash of a key column in check SQL."""
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
     """A table as Parquet; ``heavy`` says that each of its rows costs much work."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -85,7 +85,7 @@ def by_runtime_bin(spark, sf_dir):
       v(lo, hi, label) LEFT JOIN part p ON p.p_retailprice >= v.lo AND p.p_retailprice < v.hi GROUP BY v.label
 """)
 def bins_left_join(spark, sf_dir):
-    bins = bn.left_closed_int([0, 500, 1000, 1500, 99999])
+    bins = bn.runtime_bins([0, 500, 1000, 1500, 99999])
     part = table(spark, sf_dir, "part").select(bins.label(F.col("p_retailprice")).alias("price_bin"))
     return ro.bin_counts(part, "price_bin", bins)
 
@@ -204,11 +204,10 @@ def hstack(spark, sf_dir):
 
 
 @query("pivot", """
-    SELECT p_brand, count(*) FILTER (p_type = 'ECONOMY') AS "ECONOMY", count(*) FILTER (p_type = 'STANDARD') AS "STANDARD"
-    FROM part GROUP BY p_brand
+    PIVOT (SELECT p_brand, p_type, p_partkey FROM part) ON p_type USING count(p_partkey) GROUP BY p_brand
 """)
 def pivot(spark, sf_dir):
-    wide = table(spark, sf_dir, "part").groupBy("p_brand").pivot("p_type", ["ECONOMY", "STANDARD"])
+    wide = table(spark, sf_dir, "part").groupBy("p_brand").pivot("p_type")
     return wide.agg(F.count("p_partkey")).na.fill(0)
 
 

@@ -8,10 +8,10 @@ from tabloom.operators import matrix as mx
 from tabloom.operators import sampling as sa
 from tabloom.operators import series as se
 from tabloom.operators import stats as st
-from tabloom.plans.registry import query, table
+from tabloom.plans.registry import hash_sql, query, table
 from tabloom.plans.stats import _CUM_SQL, quantity_histogram
 
-_H = "((o_orderkey + {s}) * 2654435761) % 4294967296"
+_H = hash_sql("o_orderkey", "{s}")
 _HOURS_SQL = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9"
 _SERIES_SQL = f"SELECT user_id, event_type, event_id, {_HOURS_SQL} AS x, value AS y FROM events"
 _DAILY_SQL = "SELECT user_id, (ts::DATE - DATE '2024-01-01')::INTEGER AS x, sum(value) AS y FROM events GROUP BY 1, 2"
@@ -114,19 +114,19 @@ def divided_diff(spark, sf_dir):
     return _round(se.divided_diff(daily_series(spark, sf_dir), ["user_id"], "x", "y", 2), "value")
 
 
-_DD_SQL = f"""
-    WITH l AS (SELECT k, x, y, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2,
-        lead(x, 3) OVER w AS x3, lead(y, 3) OVER w AS y3 FROM ({_YEARLY_SQL}) WINDOW w AS (PARTITION BY k ORDER BY x)),
-    a AS (SELECT *, (y1 - y) / (x1 - x) AS p, (y2 - y1) / (x2 - x1) AS q, (y3 - y2) / (x3 - x2) AS r FROM l),
-    b AS (SELECT *, (q - p) / (x2 - x) AS s, (r - q) / (x3 - x1) AS t FROM a),
-    m AS (SELECT k, count(*) AS n, max(abs(p)) AS m1, max(abs(s)) AS m2, max(abs((t - s) / (x3 - x))) AS m3 FROM b GROUP BY k)"""
-
-
-@query("degree_by_dd", f"""{_DD_SQL}
-    SELECT k, (CASE WHEN m1 < 2.5 THEN 0 WHEN m2 < 2.5 THEN 1 WHEN m3 < 2.5 THEN 2 ELSE n - 1 END)::INTEGER AS degree FROM m
+@query("degree_by_dd", f"""
+    WITH p AS (SELECT k, x, y, row_number() OVER (PARTITION BY k ORDER BY x) AS r, count(*) OVER (PARTITION BY k) AS n FROM ({_YEARLY_SQL})),
+    s AS (SELECT k, n, r AS i, j FROM p, range(1, 7) o(j) WHERE r + j <= n),
+    t AS (SELECT s.k, s.n, s.i, s.j, a.r, any_value(a.y) / product(a.x - b.x) AS v FROM s
+      JOIN p a ON a.k = s.k AND a.r BETWEEN s.i AND s.i + s.j JOIN p b ON b.k = s.k AND b.r BETWEEN s.i AND s.i + s.j AND b.r <> a.r
+      GROUP BY s.k, s.n, s.i, s.j, a.r),
+    d AS (SELECT k, n, j, i, abs(sum(v)) AS v FROM t GROUP BY k, n, j, i),
+    m AS (SELECT k, n, j, max(v) AS m FROM d GROUP BY k, n, j)
+    SELECT k, coalesce(min(j) FILTER (m < 2.5) - 1, max(n) - 1)::INTEGER AS degree FROM m GROUP BY k
 """)
 def degree_by_dd(spark, sf_dir):
-    dd = se.divided_diff(yearly_series(spark, sf_dir), ["k"], "x", "y", 3)
+    """Seven yearly points have six orders, and all are looked at."""
+    dd = se.divided_diff(yearly_series(spark, sf_dir), ["k"], "x", "y", 6)
     return se.degree_by_dd(dd, ["k"], 2.5)
 
 

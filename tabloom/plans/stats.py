@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import stats as st
 from tabloom.operators.encode import text_columns
 from tabloom.operators.sampling import MODULUS, key_hash
-from tabloom.plans.registry import query, table
+from tabloom.plans.registry import hash_sql, query, table
 
 _COLS = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"),
          ("c_mktsegment", "string")]
@@ -34,10 +34,10 @@ def null_total(spark, sf_dir):
 
 @query("duplicate_total", """
     SELECT (SELECT count(*) FROM lineitem) - count(*) AS duplicates
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+    FROM (SELECT DISTINCT * FROM lineitem)
 """)
 def duplicate_total(spark, sf_dir):
-    return st.duplicate_total(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    return st.duplicate_total(table(spark, sf_dir, "lineitem"))
 
 
 @query("nunique", " UNION ALL ".join(
@@ -143,7 +143,7 @@ def binned_median(spark, sf_dir):
 
 @query("inverse_cdf_lookup", f"""
     SELECT o_orderkey, (SELECT min(center) FROM ({_CUM_SQL}) c WHERE h.u <= c.cdf) AS draw
-    FROM (SELECT o_orderkey, ((o_orderkey * 2654435761) % 4294967296) / 4294967296 AS u FROM orders) h
+    FROM (SELECT o_orderkey, {hash_sql('o_orderkey')} / 4294967296 AS u FROM orders) h
 """)
 def inverse_cdf_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
@@ -172,13 +172,14 @@ def counts_with_pct(spark, sf_dir):
 
 @query("crosstab", """
     SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS "pred_1-URGENT",
-      count(*) FILTER (o_orderpriority = '2-HIGH') AS "pred_2-HIGH", count(*) FILTER (o_orderpriority = '5-LOW') AS "pred_5-LOW"
-    FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'X', 0, 0, 0
+      count(*) FILTER (o_orderpriority = '2-HIGH') AS "pred_2-HIGH", count(*) FILTER (o_orderpriority = '3-MEDIUM') AS "pred_3-MEDIUM",
+      count(*) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS "pred_4-NOT SPECIFIED", count(*) FILTER (o_orderpriority = '5-LOW') AS "pred_5-LOW"
+    FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'X', 0, 0, 0, 0, 0
 """)
 def crosstab(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
     labels = ["F", "O", "P", "X"]
-    kinds = ["1-URGENT", "2-HIGH", "5-LOW"]
+    kinds = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     return st.crosstab(orders, "o_orderstatus", "o_orderpriority", kinds, labels)
 
 

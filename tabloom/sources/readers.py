@@ -74,7 +74,9 @@ def scan_rollup_dir(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[s
     for kind, dimension in ROLLUP_COLUMNS.items():
         try:
             found = spark.read.option("header", True).csv(f"{folder}/movies_{kind}.csv")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             state[kind] = "missing"
             continue
         if not {dimension, "movie_count"} <= set(found.columns):

@@ -7,7 +7,7 @@ once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +58,8 @@ def publish_to(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def replace_result(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler for complete results: the newest batch number is the current state."""
+def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler for updated results: the newest row of a key is its current state."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -67,10 +67,12 @@ def replace_result(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def current_result(spark: SparkSession, path: str) -> DataFrame:
-    """State written last by ``replace_result``."""
+def current_result(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last row of each key that ``keep_updates`` wrote."""
     states = spark.read.option("basePath", path).parquet(path)
-    return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+    values = [c for c in states.columns if c not in (*keys, "batch")]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])
 
 
 def publish_stream(spark: SparkSession, events: DataFrame, label: str) -> DataFrame:
@@ -80,12 +82,14 @@ def publish_stream(spark: SparkSession, events: DataFrame, label: str) -> DataFr
     return spark.read.parquet(path)
 
 
-def live_rollup(spark: SparkSession, counts: DataFrame, label: str) -> DataFrame:
-    """Run a streaming count over all input now available and return its last state."""
+def live_rollup(spark: SparkSession, counts: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Run a streaming count over all input now available and return its last state.
+
+    Each batch writes the keys it changed. With a watermark, state of closed windows is let go and late rows are dropped.
+    """
     path = staging_path(spark, label)
-    handle = replace_result(path)
-    run_stream(counts, handle, staging_path(spark, f"{label}-progress"), mode="complete").awaitTermination()
-    return current_result(spark, path)
+    run_stream(counts, keep_updates(path), staging_path(spark, f"{label}-progress"), mode="update").awaitTermination()
+    return current_result(spark, path, keys)
 
 
 def windowed_counts(events: DataFrame, time: str, dimension: str, width: str, late: str) -> DataFrame:

@@ -113,9 +113,9 @@ def test_rate_window_against_brute_force(spark):
     rnd = random.Random(5)
     rows = [(i, "hot" if rnd.random() < 0.8 else "cold", rnd.choice([rnd.randrange(0, 300_000_000), 60_000_000, 120_000_000])) for i in range(400)]
     df = inline_table(spark, rows, "id int, s string, us bigint")
-    got = {r.id: (r.in_window, r.over_limit) for r in ev.rate_window(df, "s", "us", "id", limit=60).collect()}
+    got = {r.id: (r.in_window, r.over_limit) for r in ev.rate_window(df, "s", "us", limit=60).collect()}
     for i, s, t in rows:
-        n = sum(1 for j, s2, t2 in rows if s2 == s and t - 60_000_000 < t2 and (t2, j) <= (t, i))
+        n = sum(1 for j, s2, t2 in rows if s2 == s and t - 60_000_000 < t2 <= t)
         assert got[i] == (n, n > 60)
 
 
@@ -123,11 +123,11 @@ def test_publish_stats_add_up(spark):
     log = spark.range(1000).select(
         F.concat(F.lit("job"), (F.col("id") % 3).cast("string")).alias("job"),
         F.timestamp_micros(F.col("id") * 1000000).alias("ts"),
-        F.element_at(F.array(*map(F.lit, ev.OUTCOMES)), (F.col("id") % 4 + 1).cast("int")).alias("outcome"),
+        F.element_at(F.array(*map(F.lit, [*ev.OUTCOMES, "unheard of", None])), (F.col("id") % 6 + 1).cast("int")).alias("outcome"),
     )
     rows = {r.job: r for r in ev.publish_stats(log).collect()}
     for r in rows.values():
-        assert r.processed == r.published + r.failed + r.deadlettered + r.skipped
+        assert r.processed == r.published + r.failed + r.deadlettered + r.skipped + r.other
     assert rows["ALL"].processed == 1000 and rows["ALL"].success_rate == pytest.approx(0.5)
     empty = ev.publish_stats(log.filter("false")).collect()
     assert [(r.job, r.processed, r.success_rate, r.messages_per_second) for r in empty] == [("ALL", 0, 1.0, 0.0)]

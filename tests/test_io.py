@@ -162,12 +162,24 @@ def test_windowed_counts(spark, tmp_path):
     rows = spark.range(100).select(F.timestamp_seconds(F.col("id") * 30).alias("ts"), (F.col("id") % 2).alias("kind"))
     rows.write.parquet(str(tmp_path / "in"))
     counts = pb.windowed_counts(pb.stream_table(spark, str(tmp_path / "in")), "ts", "kind", "10 minutes", "1 minute")
-    path = str(tmp_path / "out")
-    pb.run_stream(counts, pb.replace_result(path), str(tmp_path / "p"), mode="complete").awaitTermination()
-    got = {(r.window_start.minute, r.kind): r.n for r in pb.current_result(spark, path).collect()}
+    got = {(r.window_start.minute, r.kind): r.n for r in pb.live_rollup(spark, counts, "w", ["window_start", "kind"]).collect()}
     assert got == {(m, k): 10 for m in (0, 10, 20, 30, 40) for k in (0, 1)}
 
 
+def test_late_rows_are_dropped_and_state_let_go(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    states = []
+    for minutes in ((0, 1, 2), (600, 601), (3, 602)):  # the third batch has a row that comes 10 hours late
+        spark.createDataFrame([(m,) for m in minutes], "m long").select(
+            F.timestamp_seconds(F.col("m") * 60).alias("ts"), F.lit("a").alias("kind")).coalesce(1).write.mode("append").parquet(source)
+        counts = pb.windowed_counts(pb.stream_table(spark, source), "ts", "kind", "10 minutes", "1 minute")
+        run = pb.run_stream(counts, pb.keep_updates(out), progress, mode="update")
+        run.awaitTermination()
+        states.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {int(r.window_start.timestamp() // 60): r.n for r in pb.current_result(spark, out, ["window_start", "kind"]).collect()}
+    assert got == {0: 3, 600: 3} and states[-1] == 1
+
+
 def test_chunked_scan_sees_every_row_once(spark, tmp_path):
     spark.range(100).repartition(5).write.parquet(str(tmp_path / "in"))
     sizes = []

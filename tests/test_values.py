@@ -1,5 +1,6 @@
 """Published and hand-made values for single operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -214,10 +215,55 @@ def test_feasible_argmin(spark):
 def test_exact_sample(spark, n):
     rows = spark.range(5000)
     got = {r.id for r in sa.sample_exact(rows, "id", n=n, seed=3).collect()}
-    want = sorted(range(5000), key=lambda i: ((i + 3) * sa.MULTIPLIER % sa.MODULUS, i))[:n]
+    want = sorted(range(5000), key=lambda i: (int(hashlib.md5(f"3:{i}".encode()).hexdigest()[:8], 16), i))[:n]
     assert got == set(want)
 
 
+def test_seeds_are_independent(spark):
+    rows = spark.range(100_000)
+    for seed in (0, 1, 16, 42):
+        split = sa.train_test_split(sa.sample_fraction(rows, "id", 0.1, seed=66), "id", 0.3, seed=seed)
+        assert 0.65 < split.agg(F.avg(F.col("is_train").cast("int"))).first()[0] < 0.75
+    wide = sa.shuffle_splits(rows, "id", splits=4).groupBy("id").pivot("split", [0, 1, 2, 3]).agg(F.first(F.col("is_train").cast("int")))
+    pairs = [F.corr(str(i), str(j)) for i in range(4) for j in range(i)]
+    assert all(abs(c) < 0.02 for c in wide.agg(*pairs).first())
+    folds = sa.kfold(rows, "id", 10).groupBy("fold").count().collect()
+    assert all(abs(r["count"] - 10_000) < 400 for r in folds)
+
+
+def test_words_of_rows(spark):
+    from tabloom.operators import text as ot
+
+    df = inline_table(spark, [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["z"])], "d int, t array<string>")
+    assert sorted(map(tuple, ot.words_of_rows(df, F.col("t"), ["d"]).collect())) == [(1, "a", 1), (1, "b", 2), (4, "z", 1)]
+
+
+def test_crosstab_refuses_unlisted_classes(spark):
+    df = inline_table(spark, [(1, 1), (1, 5)], "y int, p int")
+    with pytest.raises(Exception, match="not listed"):
+        st.crosstab(df, "y", "p", [1]).collect()
+
+
+def test_degree_needs_all_orders(spark):
+    rows = inline_table(spark, [("s", float(i), float(2**i)) for i in range(6)], "s string, x double, y double")
+    with pytest.raises(Exception, match="needs orders"):
+        se.degree_by_dd(se.divided_diff(rows, ["s"], "x", "y", 2), ["s"], 0.001).collect()
+
+
+@pytest.mark.parametrize("text, day", [("09/13/2021", "2021-09-13"), ("2021-09-13", "2021-09-13"), ("Sep 3, 2021", "2021-09-03"), ("never", None)])
+def test_dates_in_several_forms(spark, text, day):
+    from tabloom.functions import clean as cl
+
+    assert value(spark, cl.parse_date(F.lit(text)).cast("string")) == day
+
+
+def test_whole_ids_are_exact(spark):
+    from tabloom.functions import clean as cl
+
+    for text, want in [("9007199254740993", 9007199254740993), ("1e3", 1000), ("4.5", None), (" 12 ", 12), ("99999999999999999999", None)]:
+        assert value(spark, cl.strict_int64(F.lit(text))) == want
+
+
 def test_splits_are_whole_and_repeatable(spark):
     rows = spark.range(2000)
     folds = sa.kfold(rows, "id", 10).groupBy("fold").count().collect()
