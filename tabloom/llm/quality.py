@@ -113,8 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_good: int =
     raw[got["bucket"]], good_n[got["bucket"]] = got["raw"], got["good"]
     if not good_n.sum():
         return Model(np.zeros(1 << bits, np.int64), bits)
-    ratio = (np.log(good_n + SMOOTHING) - np.log(good_n.sum() + SMOOTHING * len(raw))
-             - np.log(raw + SMOOTHING) + np.log(raw.sum() + SMOOTHING * len(raw)))
+    share = good_n.sum() / raw.sum()  # both models are smoothed alike for their size: a gram seen in neither weighs 0
+    ratio = np.log(good_n + SMOOTHING * share) - np.log(share * (raw + SMOOTHING))
     return Model(np.rint(ratio * _FIXED).astype(np.int64), bits)
 
 
