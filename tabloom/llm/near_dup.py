@@ -8,19 +8,16 @@ max(n, t log t) steps instead of n * t.
 
 Banding: `BANDS` bands of `ROWS` coordinates. Sets at the threshold 0.85 share no band with probability
 (1 - 0.85^6)^32 = 2.6e-7. Documents with the same set are one node from the start. In each bucket of a band all nodes
-are compared with one node picked by hash. Where the links found leave a bucket in several
-components, nodes that can still have a link are compared with the nodes of the other components, so no pair
-that shares a bucket and is not yet connected goes unchecked. Every link is confirmed on the full sets.
-
-A node that has too few shingles in common with all nodes of open buckets together cannot reach the threshold
-with any one of them; this bound is exact and spares the comparison of the outliers of large groups.
+are compared with one node picked by hash. Where the links found leave a bucket in several components, its nodes
+go through an exact prefix-filtered join that looks for links between components, so no pair that shares a
+bucket and is not yet connected is missed. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import chars, common
@@ -135,6 +132,39 @@ def _spread(size: int):
     return run
 
 
+def _crossing_pairs(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, n, root) with different roots that can be similar: a prefix-filtered self-join.
+
+    Shingles are ordered by how many of the nodes have them, rare ones first. Similar sets share one of the first
+    n - ceil(percent * n / 100) + 1, and at the first they share, enough shingles must be left on both sides.
+    Both bounds are exact. A shingle that no other node has only counts for the positions.
+    """
+    tokens = common.staged(
+        nodes.select("node").join(texts, "node").mapInPandas(_spread(size), "node long, shingle long"), "tokens")
+    often = common.staged(
+        tokens.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("one")), "often")
+    lone = often.where("c = 1").groupBy(F.col("one").alias("node")).agg(F.count("*").alias("lone"))
+    alive = nodes.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    alive = alive.where(100 * (F.col("n") - F.col("lone")) >= percent * F.col("n"))
+    ranked = tokens.join(alive, "node").join(often.where("c > 1").select("shingle", "c"), "shingle")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "shingle")) - 1 + F.col("lone")
+    prefix = ranked.withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(percent * F.col("n") / 100))
+    prefix = common.staged(prefix.select("shingle", "node", "n", "root", "i"), "prefixes")
+    mixed = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(
+        F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("main")).where("roots > 1")
+    prefix = common.staged(prefix.join(mixed.select("shingle", "main"), "shingle"), "prefixes")
+    # one side leaves out the largest component of each shingle: its members are connected already
+    x = prefix.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "i")])
+    y = prefix.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "i")])
+    left = F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i"))
+    pairs = x.join(y, "shingle").where(
+        (F.col("x_root") != F.col("y_root"))
+        & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+        & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+        & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n"))))
+    return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def find_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS,
                rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """A staged table (doc_id, row_key, node, n_shingles) of all rows, and confirmed links (a, b) between nodes.
@@ -170,21 +200,9 @@ def find_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     root = components(links)
     placed = shared.select("key", "node", "n").join(root, "node", "left")
     placed = placed.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    parts = placed.groupBy("key", "root").count().groupBy("key").agg(
-        F.count("*").alias("parts"), F.max_by("root", F.struct("count", "root")).alias("main")).where("parts > 1")
-    still = common.staged(placed.join(parts.select("key", "main"), "key"), "open")
-    lone = still.select("node").distinct().join(texts, "node").mapInPandas(_spread(size), "node long, shingle long")
-    lone = lone.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
-    alive = still.join(lone, "node", "left").where(
-        100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= percent * F.col("n"))
-    alive = common.staged(alive.select("key", "node", "n", "root", "main"), "alive")
-    x = alive.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-    y = alive.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), "main")
-    rest = x.join(y, "key").where(
-        (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y")))
-        & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    parts = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    still = placed.join(parts.select("key"), "key").select("node", "n", "root").distinct()
+    rest = _crossing_pairs(common.staged(still, "open"), texts, size, percent)
     rest = common.staged(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     more = common.staged(confirm(rest), "links")
     return made.drop("bands"), links.unionByName(more)
