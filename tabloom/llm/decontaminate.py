@@ -1,7 +1,7 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
 A window of ten item words is a set of word shingles that a document must hold whole, so one shingle is prefix
-enough: the rarest. Rarity is counted over all documents. A window with a shingle that no document has cannot occur
+enough: the rarest. (An item of one or two words is its own shingle.) Rarity is counted over all documents. A window with a shingle that no document has cannot occur
 and goes. Documents give out the places of prefix shingles with the words around them; these meet the windows
 in a join on the shingle, positions outside the document are cut off, and the words are compared one by one.
 
@@ -24,12 +24,11 @@ BLOOM_BITS = 23
 
 
 def _words(texts: list[str | None]):
-    """ASCII-lowered code points, word begins and ends, first word of each text, first shingle of each text, shingles."""
+    """ASCII-lowered code points, word begins and ends, first word of each text, hashes of the words."""
     text, starts = chars.codes(texts)
     text = chars.ascii_lower_table()[text]
     begin, end, first = chars.words(text, starts, chars.plain_word_table())
-    grams, cut = chars.shingles(chars.hashes(text, begin, end), first, SHINGLE)
-    return text, begin, end, first, grams, cut
+    return text, begin, end, first, chars.hashes(text, begin, end)
 
 
 def _spell(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> str:
@@ -43,7 +42,7 @@ def _windows_of(size: int):
             out = []
             texts, ids = frame["text"].tolist(), frame["item_id"].tolist()
             for a, b in chars.batches(texts):
-                text, begin, end, first, _, _ = _words(texts[a:b])
+                text, begin, end, first, _ = _words(texts[a:b])
                 for i in range(b - a):
                     n = int(first[i + 1] - first[i])
                     for k in range(first[i], first[i] + (max(n - size, 0) + 1 if n else 0)):
@@ -55,14 +54,15 @@ def _windows_of(size: int):
 
 
 def _window_shingles(frames):
-    for frame in frames:
-        texts = frame["window"].tolist()
-        *_, grams, cut = _words(texts)
-        count = np.diff(cut)
-        yield pd.DataFrame({"window": np.repeat(frame["window"].to_numpy(object), count),
-                            "n": np.repeat(frame["n"].to_numpy(), count),
-                            "place": np.arange(len(grams)) - np.repeat(cut[:-1], count),
-                            "shingle": grams.view(np.int64)})
+    for whole in frames:
+        for size, frame in whole.groupby(whole["n"].clip(upper=SHINGLE)):
+            *_, first, word = _words(frame["window"].tolist())
+            grams, cut = chars.shingles(word, first, int(size))
+            count = np.diff(cut)
+            yield pd.DataFrame({"window": np.repeat(frame["window"].to_numpy(object), count),
+                                "n": np.repeat(frame["n"].to_numpy(), count),
+                                "place": np.arange(len(grams)) - np.repeat(cut[:-1], count),
+                                "shingle": grams.view(np.int64)})
 
 
 def bloom(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -85,40 +85,42 @@ def _maybe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _frequency(table):
+def _frequency(table, sizes: list[int]):
     def run(frames):
         for frame in frames:
             texts = frame["text"].tolist()
             for a, b in chars.batches(texts):
-                *_, grams, cut = _words(texts[a:b])
-                hit = _maybe(table.value, grams)
-                owner = np.repeat(np.arange(b - a), np.diff(cut))[hit]
-                pair = np.unique(np.rec.fromarrays([owner, grams[hit]]))
-                key, n = np.unique(pair.f1, return_counts=True)
-                yield pd.DataFrame({"shingle": key.view(np.int64), "n": n})
+                *_, first, word = _words(texts[a:b])
+                for size in sizes:
+                    grams, cut = chars.shingles(word, first, size)
+                    hit = _maybe(table.value, grams)
+                    owner = np.repeat(np.arange(b - a), np.diff(cut))[hit]
+                    pair = np.unique(np.rec.fromarrays([owner, grams[hit]]))
+                    key, n = np.unique(pair.f1, return_counts=True)
+                    yield pd.DataFrame({"shingle": key.view(np.int64), "n": n})
 
     return run
 
 
-def _places(table, size: int):
+def _places(table, sizes: list[int], size: int):
     def run(frames):
         for frame in frames:
             texts = frame.pop("text").tolist()
             counts, found = [], []
             for a, b in chars.batches(texts):
-                text, begin, end, first, grams, cut = _words(texts[a:b])
+                text, begin, end, first, word = _words(texts[a:b])
                 counts.append(np.diff(first))
-                at = np.flatnonzero(_maybe(table.value, grams))
-                edge = np.searchsorted(at, cut)
-                for i in range(b - a):
-                    rows = []
-                    for k in at[edge[i] : edge[i + 1]]:
+                rows: list[list[tuple]] = [[] for _ in range(b - a)]
+                for width in sizes:
+                    grams, cut = chars.shingles(word, first, width)
+                    at = np.flatnonzero(_maybe(table.value, grams))
+                    for k, i in zip(at, np.searchsorted(cut, at, side="right") - 1):
                         place = int(k - cut[i])
                         low = first[i] + max(place - size + 1, 0)
                         high = min(first[i] + place + size, first[i + 1])
-                        rows.append((place, int(grams[k].view(np.int64)), int(first[i] + place - low),
-                                     _spell(text, begin[low:high], end[low:high])))
-                    found.append(rows)
+                        rows[i].append((place, int(grams[k].view(np.int64)), int(first[i] + place - low),
+                                        _spell(text, begin[low:high], end[low:high])))
+                found += rows
             yield frame.assign(n_words=np.concatenate(counts) if counts else np.zeros(0, np.int64), found=found)
 
     return run
@@ -138,9 +140,10 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     grams = windows.select("window", "n").distinct().mapInPandas(
         _window_shingles, "window string, n long, place long, shingle long")
     grams = common.staged(grams, "shingles")
+    sizes = sorted(r[0] for r in grams.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE
     texts = docs.select("text").where("text is not null")
     every = sc.broadcast(bloom(grams.select("shingle")))
-    often = texts.mapInPandas(_frequency(every), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
+    often = texts.mapInPandas(_frequency(every, sizes), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
     rarity = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "place")
     prefix = grams.join(often, "shingle", "left").groupBy("window", "n").agg(F.min(rarity).alias("r"))
     prefix = prefix.where("r.df > 0").select("window", "n", "r.shingle", F.col("r.place").alias("shift"))
@@ -149,7 +152,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
 
     keyed = docs.select("doc_id", common.row_key("doc_id", "text").alias("row_key"), "text")
     places = common.staged(keyed.mapInPandas(
-        _places(first, size),
+        _places(first, sizes, size),
         f"doc_id {dict(keyed.dtypes)['doc_id']}, row_key long, n_words long, "
         "found array<struct<place: long, shingle: long, before: long, around: string>>"), "places")
     seen = places.select("row_key", F.inline("found")).join(prefix, "shingle")
