@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import common
 
 MIN_PAGES = 5
+_ROWS = 256
 CONTENT_LEAST, SHAPE_LEAST = 0.3, 0.3
 
 _TOKEN = re.compile(
@@ -163,17 +164,20 @@ _BLOCKS = "array<struct<path: long, parent: long, content: long, fixed: boolean,
 
 
 def _parsed(frames):
-    for frame in frames:
-        out = []
-        for page in frame.pop("html"):
-            found = parse(page)
-            main = any(inside and not chrome for _, _, _, chrome, inside, _ in found)
-            rows = []
-            for path, parent, text, chrome, inside, plain in found:
-                use = not chrome and (inside or not main)
-                rows.append((_hash(path), _hash(parent), _hash(text), bool(use and inside and plain), text if use else None))
-            out.append(rows)
-        yield frame.assign(blocks=out)
+    for whole in frames:
+        for a in range(0, len(whole), _ROWS):  # blocks take more memory than html: give them out a few pages at a time
+            frame = whole.iloc[a : a + _ROWS].copy()
+            out = []
+            for page in frame.pop("html"):
+                found = parse(page)
+                main = any(inside and not chrome for _, _, _, chrome, inside, _ in found)
+                rows = []
+                for path, parent, text, chrome, inside, plain in found:
+                    use = not chrome and (inside or not main)
+                    fixed = bool(use and inside and plain)
+                    rows.append((_hash(path), _hash(parent), _hash(text), fixed, text if use else None))
+                out.append(rows)
+            yield frame.assign(blocks=out)
 
 
 def template_places(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -183,9 +187,9 @@ def template_places(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     on c pages each; its presentation by the entropy to base m of the child sequences of its parent. A place goes
     where both are small. Every sum is an aggregation by host and place, combined before the shuffle.
     """
-    pages = parsed.where("host is not null").select("host", "page", "blocks").dropDuplicates(["host", "page"])
-    pages = common.staged(pages.select("host", "page", F.expr(
-        "transform(blocks, b -> named_struct('path', b.path, 'parent', b.parent, 'content', b.content))").alias("b")), "tree")
+    pages = parsed.where("host is not null").select("host", "page", F.arrays_zip(
+        F.col("blocks.path").alias("path"), F.col("blocks.parent").alias("parent"), F.col("blocks.content").alias("content")).alias("b"))
+    pages = common.staged(pages.dropDuplicates(["host", "page"]), "tree")
     m = pages.groupBy("host").count().where(F.col("count") >= min_pages).select(
         F.col("host").alias("h"), F.log("count").alias("log_m"))
     content = pages.select("host", F.explode(F.array_distinct("b")).alias("b")).groupBy(
