@@ -36,7 +36,7 @@ def main() -> int:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="12g",
-        spark__ui__enabled="false", spark__tabloom__input__partitions=cpus,
+        spark__ui__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

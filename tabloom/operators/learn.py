@@ -174,19 +174,19 @@ def grid_search(
 
 
 def grid_shuffle(
-    df: DataFrame, splits: DataFrame, key: str, tree: DecisionTreeClassifier, grid, label: str, n_splits: int
+    df: DataFrame, splits: Sequence[Column], tree: DecisionTreeClassifier, grid, label: str
 ) -> DataFrame:
-    """(params, score, is_best): mean accuracy over random splits given as (key, split, is_train)."""
+    """(params, score, is_best): mean accuracy over splits, each an expression that is true for training rows."""
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     sums = [0.0] * len(grid)
-    for i in range(n_splits):
+    for is_train in splits:
         # Each split is read once and used by every setting.
-        part = df.join(splits.filter(F.col("split") == i).select(key, "is_train"), key).persist()
+        part = df.withColumn("is_train", is_train).persist()
         train, test = part.filter("is_train"), part.filter(~F.col("is_train"))
         for j, model in tree.fitMultiple(train, grid):
             sums[j] += judge.evaluate(model.transform(test))
         part.unpersist()
-    return _scores(df, grid, [s / n_splits for s in sums])
+    return _scores(df, grid, [s / len(splits) for s in sums])
 
 
 def _scores(df: DataFrame, grid, scores: Sequence[float]) -> DataFrame:

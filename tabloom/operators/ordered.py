@@ -8,8 +8,9 @@ work per block and are joined up through one small row per block.
 
 The limit is never below ``total rows / MAX_BLOCKS``, so there are at most
 ``2 * MAX_BLOCKS`` block borders over all long keys together. That bound is why
-they may be collected and broadcast. The order column must be a number and, in
-a long key, should have few equal values: group such rows first.
+they may be collected and broadcast. The order column must be a number, whatever
+the size of the table, and in a long key should have few equal values: group
+such rows first.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.sources.inline import inline_table
 
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 16384
 BLOCK_ROWS = 2_000_000
 BLOCK = "_block"
 
@@ -65,6 +67,8 @@ def split_long(
 ) -> Split:
     """Number the blocks of each key. Runs one counting job, a second only if a key is long."""
     keys = list(keys)
+    if not isinstance(df.schema[order].dataType, T.NumericType):
+        raise TypeError(f"{order} must be a number to be cut into blocks")
     per_key = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total, longest = per_key.agg(F.sum("_n"), F.max("_n")).first()
     limit = max(block_rows, math.ceil((total or 0) / MAX_BLOCKS))
@@ -135,7 +139,8 @@ def running_sums(
     carry = sums.select(
         *split.keys, BLOCK, *[F.sum(f"_s_{o}").over(before).alias(f"_c_{o}") for o in values]
     )
-    joined = attach_small(local, carry, [*split.keys, BLOCK])
+    # Keys that were not cut have the first block only, which carries nothing.
+    joined = attach_small(local, carry.filter(F.col(BLOCK) > 0), [*split.keys, BLOCK])
     return joined.withColumns(
         {o: F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0)) for o in values}
     ).drop(BLOCK, *[f"_c_{o}" for o in values])
@@ -198,6 +203,7 @@ def with_nearest(split: Split, knot: Column, value: str) -> DataFrame:
         F.last("_hi", ignorenulls=True).over(_earlier_blocks(split.keys)).alias("_cb"),
         F.last("_lo", ignorenulls=True).over(later).alias("_ca"),
     )
+    carry = carry.filter(F.col("_cb").isNotNull() | F.col("_ca").isNotNull())  # cut keys only
     joined = attach_small(found, carry, [*split.keys, BLOCK])
     return joined.withColumns(
         {"_before": F.coalesce("_before", "_cb"), "_after": F.coalesce("_after", "_ca")}

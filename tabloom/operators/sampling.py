@@ -79,16 +79,16 @@ def kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return df.withColumn("fold", fold)
 
 
+def split_flags(key: str, splits: int = 10, test_share: float = 0.3, seeds: Sequence[int] | None = None) -> list[Column]:
+    """For each split an expression of the key: is the row in the training part?"""
+    seeds = list(seeds) if seeds is not None else [7919 * (i + 1) for i in range(splits)]
+    return [key_hash(F.col(key), s) < share_limit(1.0 - test_share) for s in seeds]
+
+
 def shuffle_splits(
     df: DataFrame, key: str, splits: int = 10, test_share: float = 0.3, seeds: Sequence[int] | None = None
 ) -> DataFrame:
     """Long table (key, split, is_train): independent random splits of the same rows."""
-    seeds = list(seeds) if seeds is not None else [7919 * (i + 1) for i in range(splits)]
-    limit = share_limit(1.0 - test_share)
-    rows = F.array(
-        *[
-            F.struct(F.lit(i).alias("split"), (key_hash(F.col(key), s) < limit).alias("is_train"))
-            for i, s in enumerate(seeds)
-        ]
-    )
+    flags = split_flags(key, splits, test_share, seeds)
+    rows = F.array(*[F.struct(F.lit(i).alias("split"), f.alias("is_train")) for i, f in enumerate(flags)])
     return df.select(key, F.explode(rows).alias("_s")).select(key, "_s.split", "_s.is_train")

@@ -184,7 +184,8 @@ def sink_events(spark, sf_dir):
 @query("byte_budget_extract", """
     WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n,
         sum(octet_length(encode(concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority))) + 1) OVER (ORDER BY o_orderkey) AS s FROM orders)
-    SELECT o_orderkey FROM r WHERE rn <= (SELECT coalesce(max(rn), 0) FROM r WHERE (rn % 1000 = 0 OR rn = n) AND s <= 262144)
+    SELECT o_orderkey FROM r WHERE rn <= (SELECT coalesce(max(rn), 0) FROM r WHERE (rn % 1000 = 0 OR rn = n)
+      AND s + length('o_orderkey,o_custkey,o_orderstatus,o_orderpriority') + 1 <= 262144)
 """)
 def byte_budget_extract(spark, sf_dir):
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]

@@ -154,8 +154,33 @@ def logreg_auc(spark, sf_dir):
     return st.auc(scored_orders(spark, sf_dir), "high", "score")
 
 
-@query("dtree")
+_STUMP_SQL = f"""
+    WITH o AS (SELECT o_orderkey, month(o_orderdate::DATE) AS month, dayofweek(o_orderdate::DATE) + 1 AS weekday,
+        (o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INTEGER AS high,
+        {_HASH.format(k='o_orderkey')} < {_LIMIT} AS is_train FROM orders),
+      c AS (SELECT f, v, sum(high) AS p, count(*) AS n FROM (
+          SELECT 'month' AS f, month AS v, high FROM o WHERE is_train UNION ALL SELECT 'weekday', weekday, high FROM o WHERE is_train) GROUP BY f, v),
+      s AS (SELECT f, v, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(p) OVER (PARTITION BY f) AS tp, sum(n) OVER (PARTITION BY f) AS tn
+        FROM c WINDOW w AS (PARTITION BY f ORDER BY v)),
+      g AS (SELECT *, tp - lp AS rp, tn - ln AS rn FROM s WHERE ln < tn),
+      b AS (SELECT * FROM g ORDER BY lp * (ln - lp) / ln + rp * (rn - rp) / rn LIMIT 1)
+    SELECT o_orderkey, high, CASE WHEN CASE b.f WHEN 'month' THEN month ELSE weekday END <= b.v
+        THEN (2 * lp > ln)::INTEGER ELSE (2 * rp > rn)::INTEGER END AS predicted
+    FROM o, b WHERE NOT is_train
+"""
+
+
+@query("dtree", _STUMP_SQL)
 def dtree(spark, sf_dir):
+    """One split of month or weekday, where SQL can find the best one too."""
+    rows = ml.assemble(order_features(spark, sf_dir), ["month", "weekday"])
+    model = ml.dtree("high", maxDepth=1).fit(rows.filter(_train("o_orderkey")))
+    test = model.transform(rows.filter(~_train("o_orderkey")))
+    return test.select("o_orderkey", F.col("high").cast("int").alias("high"), F.col("prediction").cast("int").alias("predicted"))
+
+
+@query("dtree_deep")
+def dtree_deep(spark, sf_dir):
     rows = ml.assemble(order_features(spark, sf_dir), _ORDER_FEATURES)
     model = ml.dtree("high", maxDepth=5).fit(rows.filter(_train("o_orderkey")))
     test = model.transform(rows.filter(~_train("o_orderkey"))).select("high", "prediction")
@@ -167,15 +192,15 @@ def grid_search(spark, sf_dir):
     rows = sa.kfold(ml.assemble(order_features(spark, sf_dir), _ORDER_FEATURES), "o_orderkey", 3)
     rows = rows.select("features", "high", "fold")
     tree = ml.dtree("high")
-    return ml.grid_search(rows, tree, ml.tree_grid(tree, ["gini", "entropy"], [3, 5], [1]), "high", 3, "fold")
+    return ml.grid_search(rows, tree, ml.tree_grid(tree, ["gini", "entropy"], [3, 5], [1, 20]), "high", 3, "fold")
 
 
 @query("grid_shuffle")
 def grid_shuffle(spark, sf_dir):
     rows = ml.assemble(order_features(spark, sf_dir), _ORDER_FEATURES).select("o_orderkey", "features", "high")
-    splits = sa.shuffle_splits(rows, "o_orderkey", splits=2)
+    splits = sa.split_flags("o_orderkey", splits=3)
     tree = ml.dtree("high")
-    return ml.grid_shuffle(rows, splits, "o_orderkey", tree, ml.tree_grid(tree, ["gini"], [3, 5], [1]), "high", 2)
+    return ml.grid_shuffle(rows, splits, tree, ml.tree_grid(tree, ["gini", "entropy"], [3, 5], [1, 20]), "high")
 
 
 @query("mlp")

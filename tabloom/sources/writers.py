@@ -21,8 +21,8 @@ def sink_json(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def sink_kv_text(counts: DataFrame, path: str, key: str = "word", value: str = "count") -> None:
-    """``key<TAB>count`` lines; keys are in order within each output file."""
-    spread = counts.select(key, value).repartition(key).sortWithinPartitions(key)
+    """``key<TAB>count`` lines; keys are in order within each output file. The counts lie by key already."""
+    spread = counts.select(key, value).sortWithinPartitions(key)
     plain = {"sep": "\t", "quote": "", "emptyValue": ""}
     spread.write.mode("overwrite").options(**plain).csv(path)
 
@@ -47,16 +47,19 @@ def byte_budget_extract(
     columns: Sequence[str],
     budget_bytes: int = 25 * 1024 * 1024,
     chunk_rows: int = 10_000,
-    header_bytes: int = 0,
+    header: bool = True,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The longest run of whole row chunks, from the first row on, whose CSV text fits the budget.
+    """The longest run of whole row chunks, from the first row on, whose CSV file fits the budget.
+
+    A line is as long as ``sink_csv`` writes it, quotes included; the header counts unless it is left out.
 
     Row numbers and byte sums are running sums over blocks, so no task sees all
     rows. The last chunk may be short. ``order`` must be unique.
     """
-    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    sized = df.withColumn("_bytes", F.octet_length(text) + 1)
+    line = F.to_csv(F.struct(*columns), {"escape": '"'})
+    sized = df.withColumn("_bytes", F.octet_length(line) + 1)
+    header_bytes = len(",".join(columns).encode()) + 1 if header else 0
     split = split_long(sized, [], order, block_rows)
     summed = running_sums(split, {"_row": F.lit(1), "_sum": F.col("_bytes")})
     total = df.agg(F.count("*")).scalar()

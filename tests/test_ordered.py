@@ -143,3 +143,31 @@ def test_byte_budget(spark, block_rows, budget, want):
     rows = spark.range(1050).select("id", F.lit("abcd").alias("t"))
     kept = byte_budget_extract(rows, "id", ["id", "t"], budget, 100, block_rows=block_rows)
     assert sorted(r.id for r in kept.select("id").collect()) == list(range(want))
+
+
+def test_extract_fits_as_written(spark, tmp_path):
+    from tabloom.sources.writers import sink_csv
+
+    rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 'a "b", c\nd').when(F.col("id") % 3 == 1, "").alias("t"))
+    for budget in (1000, 3000):
+        kept = byte_budget_extract(rows, "id", ["id", "t"], budget, 10)
+        out = str(tmp_path / f"out{budget}")
+        sink_csv(kept.select("id", "t").coalesce(1), out)
+        size = sum(p.stat().st_size for p in (tmp_path / f"out{budget}").glob("part-*"))
+        assert 0.75 * budget < size <= budget
+
+
+def test_text_order_is_refused_at_any_size(skewed):
+    df, _ = skewed
+    for block_rows in (2, 10**6):
+        with pytest.raises(TypeError, match="number"):
+            od.split_long(df.withColumn("x", F.col("x").cast("string")), ["k"], "x", block_rows)
+
+
+def test_only_cut_keys_carry(spark):
+    """The broadcast table has a row per block of the one long key, not per key."""
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), (F.col("id") % 5000).cast("string")).alias("k"), F.col("id").alias("x"))
+    rows = rows.unionByName(spark.range(3000).select(F.lit("hot").alias("k"), F.col("id").alias("x")))
+    out = od.running_sums(od.split_long(rows, ["k"], "x", 500), {"n": F.lit(1)})
+    assert out.filter("k = 'hot'").agg(F.max("n")).first()[0] == 3000
+    assert "isnotnull(_block" in out._jdf.queryExecution().optimizedPlan().toString() or "> 0" in out._jdf.queryExecution().optimizedPlan().toString()
