@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabloom.functions import clean as cl
 from tabloom.functions import text as ft
 from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
@@ -12,7 +14,7 @@ from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL,
 from tabloom.plans.registry import query, spread, table
 from tabloom.plans.rollups import _GENRES_SQL, rollups_sql
 from tabloom.plans.text import _FREQ, _WORDS
-from tabloom.plans.views import RAW_SQL, as_facts, as_raw, facts_view, raw_view
+from tabloom.plans.views import AS_OF_YEAR, BINNED_SQL, FACTS, RAW_SQL, as_facts, as_raw, facts_view, raw_view
 from tabloom.session import staging_path
 from tabloom.sources import readers, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv as dirty
@@ -115,9 +117,9 @@ def scan_chunked(spark, sf_dir):
     ).withColumn("chunks", sums.agg(F.count_distinct("chunk")).scalar())
 
 
-def write_rollups(spark, sf_dir, folder):
+def save_rollups(facts, folder):
     """The eight rollup files, from one pass over the facts."""
-    rollups = ro.all_rollups(facts_view(spark, sf_dir)).persist()
+    rollups = ro.all_rollups(facts).persist()
     for kind, dimension in ro.ROLLUP_COLUMNS.items():
         part = rollups.filter(F.col("aggregation_type") == kind)
         part = part.select(F.col("dimension").alias(dimension), "movie_count").orderBy(F.desc("movie_count"), dimension)
@@ -130,7 +132,7 @@ def write_rollups(spark, sf_dir, folder):
 """)
 def scan_rollup_dir(spark, sf_dir):
     folder = staging_path(spark, "rollups")
-    write_rollups(spark, sf_dir, folder)
+    save_rollups(facts_view(spark, sf_dir), folder)
     return readers.scan_rollup_dir(spark, folder)[0]
 
 
@@ -273,3 +275,98 @@ def retry_publish(spark, sf_dir):
         return rows.withColumn("ok", F.col("id") % 7 <= attempt)
 
     return pb.retry_publish(events, deliver, event_time()).select("id", "attempts", "outcome", "topic")
+
+
+_FACT_COLUMNS = ["id", "release_year", "release_decade", "vote_average", "revenue", "runtime", "adult", "rating_bin",
+                 "revenue_bin", "runtime_bin"]
+
+
+def film_job(spark, sf_dir):
+    """The whole job through files: dirty CSV with every column, clean facts, one facts file set and eight rollups.
+
+    Returns the folder; ``facts.csv`` and ``movies_<kind>.csv`` lie in it.
+    """
+    folder = staging_path(spark, "film-job")
+    orders = table(spark, sf_dir, "orders").selectExpr(*[f"CAST({e} AS STRING) AS {n}" for n, e in FACTS.items()])
+    orders = orders.withColumnsRenamed({"genres_csv": "genres", "countries_csv": "production_countries"})
+    writers.sink_csv(orders, f"{folder}/raw.csv")
+    raw, _ = dirty(spark, f"{folder}/raw.csv")
+    facts = ro.with_bins(ro.clean_movies(raw, AS_OF_YEAR)).persist()
+    lists = {c: F.array_join(c, ",") for c in ("genres", "production_countries")}
+    writers.sink_csv(facts.withColumns(lists), f"{folder}/facts.csv")
+    save_rollups(facts, folder)
+    facts.unpersist()
+    return folder
+
+
+def _job_facts(spark, folder):
+    """The facts file read back with types."""
+    found = spark.read.option("header", True).option("escape", '"').csv(f"{folder}/facts.csv")
+    types = {"id": "bigint", "release_year": "int", "release_decade": "int", "vote_average": "double", "revenue": "double",
+             "budget": "double", "popularity": "double", "runtime": "double", "vote_count": "bigint", "adult": "boolean",
+             "release_date": "date"}
+    facts = found.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
+    return facts.withColumns({c: cl.split_list(F.col(c)) for c in ("genres", "production_countries")})
+
+
+@query("film_job_facts", f"SELECT {', '.join(_FACT_COLUMNS)} FROM ({BINNED_SQL})")
+def film_job_facts(spark, sf_dir):
+    return _job_facts(spark, film_job(spark, sf_dir)).select(*_FACT_COLUMNS)
+
+
+@query("film_job_rollups", f"""
+    SELECT aggregation_type, dimension, movie_count, 'movies_' || aggregation_type || '.csv' AS data_source FROM ({rollups_sql()})
+""")
+def film_job_rollups(spark, sf_dir):
+    found, state = readers.scan_rollup_dir(spark, film_job(spark, sf_dir))
+    if set(state.values()) != {"read"}:
+        raise ValueError(f"rollup files are missing: {state}")
+    return found
+
+
+@query("film_job_events", f"""
+    SELECT 'movie-' || id || '-{_EPOCH}' AS key, 'movie-events-raw' AS topic FROM ({_ATTR_SQL})
+    UNION ALL SELECT 'analytics-' || aggregation_type || '-' || dimension || '-{_EPOCH}', 'movie-events-analytics' FROM ({_ANALYTICS_SQL})
+""")
+def film_job_events(spark, sf_dir):
+    """Both publishers start from the job's files."""
+    folder = film_job(spark, sf_dir)
+    rollups = readers.scan_rollup_dir(spark, folder)[0]
+    movies = ev.movie_events(_job_facts(spark, folder), event_time())
+    totals = ev.analytics_events(rollups, event_time(), ro.grand_total(rollups).scalar())
+    path = staging_path(spark, "film-events")
+    writers.sink_events(movies.unionByName(totals), path)
+    return spark.read.parquet(path).select("key", "topic")
+
+
+@query("word_counts_csv", f"SELECT word, \"count\", row_number() OVER (ORDER BY \"count\" DESC, word) AS place FROM ({_FREQ})")
+def word_counts_csv(spark, sf_dir):
+    """The ordered counts as CSV parts, read back with each row's place: part after part, line after line."""
+    path = staging_path(spark, "word-counts")
+    counts = ot.word_freq(table(spark, sf_dir, "documents"), ft.word_tokens(F.col("text")))
+    writers.sink_csv(ot.ordered_words(counts), path)
+    lines = spark.read.schema("word string, count bigint").option("header", True).csv(path).select(
+        "*", F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("line"))
+    sizes = lines.groupBy("part").count()
+    before = sizes.select("part", F.coalesce(F.sum("count").over(
+        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("line"))
+    return lines.join(before, "part").select("word", "count", (place + F.col("before")).cast("bigint").alias("place"))
+
+
+@query("top5_csv", f'{_FREQ} ORDER BY "count" DESC, word LIMIT 5')
+def top5_csv(spark, sf_dir):
+    path = staging_path(spark, "top5")
+    counts = ot.word_freq(table(spark, sf_dir, "documents"), ft.word_tokens(F.col("text")))
+    writers.sink_csv(ot.top_words(counts, 5), path, single_file=True)
+    return readers.scan_csv(spark, path, "word string, count bigint")
+
+
+@query("metrics_csv", f"""
+    SELECT (SELECT count(*) FROM documents) AS lines, count(*) AS words, count(DISTINCT word) AS unique_words FROM ({_WORDS})
+""")
+def metrics_csv(spark, sf_dir):
+    path = staging_path(spark, "metrics-csv")
+    docs = table(spark, sf_dir, "documents").select("text")
+    writers.sink_csv(ot.word_metrics(docs, ft.word_tokens(F.col("text"))), path, single_file=True)
+    return readers.scan_csv(spark, path, "lines bigint, words bigint, unique_words bigint")
