@@ -131,11 +131,12 @@ def linreg_predict(model, df: DataFrame, features: Sequence[str], label: str) ->
     return df.withColumn("fitted", fitted).withColumn("residual", F.col("fitted") - F.col(label))
 
 
-def logreg(train: DataFrame, features: Sequence[str], label: str):
-    """L2-penalised logistic regression with penalty 1 in total; features come scaled."""
+def logreg(train: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0):
+    """L2-penalised logistic regression, ``penalty`` in total; features come scaled."""
     rows = assemble(train, features)
     return LogisticRegression(
-        featuresCol="features", labelCol=label, regParam=1.0 / max(rows.count(), 1), standardization=False
+        featuresCol="features", labelCol=label, regParam=penalty / max(rows.count(), 1), standardization=False,
+        maxIter=200, tol=1e-9,
     ).fit(rows)
 
 

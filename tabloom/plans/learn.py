@@ -149,6 +149,21 @@ def logreg(spark, sf_dir):
     return st.counts_with_pct(scored_orders(spark, sf_dir), "predicted")
 
 
+@query("logreg_rates", f"""
+    WITH o AS (SELECT o_orderkey, dayofweek(o_orderdate::DATE) AS weekday, {_HASH.format(k='o_orderkey')} < {_LIMIT} AS is_train,
+        (o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INTEGER AS high FROM orders),
+      r AS (SELECT weekday, avg(high) AS rate FROM o WHERE is_train GROUP BY weekday)
+    SELECT o_orderkey, high, (rate > 0.5)::INTEGER AS predicted, round(rate, 4) AS score FROM o JOIN r USING (weekday) WHERE NOT is_train
+""")
+def logreg_rates(spark, sf_dir):
+    """Without a penalty and with one indicator per weekday, the fitted probabilities are the rates of the weekdays."""
+    rows = order_features(spark, sf_dir).select("o_orderkey", F.col("high").cast("int").alias("high"), *[
+        (F.col("weekday") == d).cast("double").alias(f"d{d}") for d in range(2, 8)])
+    model = ml.logreg(rows.filter(_train("o_orderkey")), [f"d{d}" for d in range(2, 8)], "high", penalty=0.0)
+    scored = ml.with_probability(model, rows.filter(~_train("o_orderkey")), [f"d{d}" for d in range(2, 8)], ["o_orderkey", "high"])
+    return scored.withColumn("score", F.round("score", 4))
+
+
 @query("logreg_auc")
 def logreg_auc(spark, sf_dir):
     return st.auc(scored_orders(spark, sf_dir), "high", "score")
