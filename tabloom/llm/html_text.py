@@ -226,7 +226,12 @@ def extract(pages: DataFrame) -> DataFrame:
     loose = parsed.select("host", "key", F.explode(F.expr(
         "array_distinct(transform(filter(blocks, b -> b.text is not null and not b.fixed), b -> b.path))")).alias("path"))
     gone = loose.join(places, ["host", "path"]).groupBy("key").agg(F.collect_set("path").alias("gone"))
+    gone = common.staged(gone, "gone")  # its size is known then, and few rows can go to every task
+    # pages with nothing but their own article have nothing to lose and stay where they are
+    may_lose = F.exists("blocks", lambda b: b["text"].isNotNull() & ~b["fixed"])
+    some = parsed.where(may_lose).join(gone, "key", "left").select("page_id", "url", "blocks", "gone")
+    rest = parsed.where(~may_lose).select("page_id", "url", "blocks", F.lit(None).cast("array<long>").alias("gone"))
     kept = F.expr("filter(blocks, b -> b.text is not null and (b.fixed or gone is null or not array_contains(gone, b.path)))")
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    out = parsed.join(gone, "key", "left").select("page_id", "url", text.alias("text"))
+    out = some.unionByName(rest).select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
