@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabloom.session import staging_path
 
@@ -33,3 +38,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: str, work: Callable[[list], Sequence],
+              rows: int = 0) -> DataFrame:
+    """``keep`` columns as they are, and the columns ``fields`` that ``work`` makes of a list of texts.
+
+    ``work`` gets the texts of a batch (of ``rows`` at most, if given) and returns one list or array per field. The kept
+    columns stay in Arrow, so whole numbers beside nulls keep all their digits.
+    """
+    source = df.select(*keep, F.col(text).alias("__text"))
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType(source.schema.fields[:-1] + made.fields)
+    kinds = [to_arrow_type(f.dataType) for f in made.fields]
+    names = schema.fieldNames()
+
+    def run(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows or whole.num_rows):
+                batch = whole.slice(a, rows or whole.num_rows)
+                new = work(batch.column(batch.num_columns - 1).to_pylist())
+                new = [pa.array(values, kind) for values, kind in zip(new, kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
+
+    return source.mapInArrow(run, schema)

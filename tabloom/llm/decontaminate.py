@@ -103,27 +103,27 @@ def _frequency(table, sizes: list[int]):
 
 
 def _places(table, sizes: list[int], size: int):
-    def run(frames):
-        for frame in frames:
-            texts = frame.pop("text").tolist()
-            counts, found = [], []
-            for a, b in chars.batches(texts):
-                text, begin, end, first, word = _words(texts[a:b])
-                counts.append(np.diff(first))
-                rows: list[list[tuple]] = [[] for _ in range(b - a)]
-                for width in sizes:
-                    grams, cut = chars.shingles(word, first, width)
-                    at = np.flatnonzero(_maybe(table.value, grams))
-                    for k, i in zip(at, np.searchsorted(cut, at, side="right") - 1):
-                        place = int(k - cut[i])
-                        low = first[i] + max(place - size + 1, 0)
-                        high = min(first[i] + place + size, first[i + 1])
-                        rows[i].append((place, int(grams[k].view(np.int64)), int(first[i] + place - low),
-                                        _spell(text, begin[low:high], end[low:high])))
-                found += rows
-            yield frame.assign(n_words=np.concatenate(counts) if counts else np.zeros(0, np.int64), found=found)
-
-    return run
+    """Number of words of each text, and the places of possible prefix shingles with the words around them."""
+
+    def work(texts):
+        counts, found = [np.zeros(0, np.int64)], []
+        for a, b in chars.batches(texts):
+            text, begin, end, first, word = _words(texts[a:b])
+            counts.append(np.diff(first))
+            rows: list[list[tuple]] = [[] for _ in range(b - a)]
+            for width in sizes:
+                grams, cut = chars.shingles(word, first, width)
+                at = np.flatnonzero(_maybe(table.value, grams))
+                for k, i in zip(at, np.searchsorted(cut, at, side="right") - 1):
+                    place = int(k - cut[i])
+                    low = first[i] + max(place - size + 1, 0)
+                    high = min(first[i] + place + size, first[i + 1])
+                    rows[i].append((place, int(grams[k].view(np.int64)), int(first[i] + place - low),
+                                    _spell(text, begin[low:high], end[low:high])))
+            found += rows
+        return np.concatenate(counts), found
+
+    return work
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -151,10 +151,10 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     first = sc.broadcast(bloom(prefix.select("shingle")))
 
     keyed = docs.select("doc_id", common.row_key("doc_id", "text").alias("row_key"), "text")
-    places = common.staged(keyed.mapInPandas(
-        _places(first, sizes, size),
-        f"doc_id {dict(keyed.dtypes)['doc_id']}, row_key long, n_words long, "
-        "found array<struct<place: long, shingle: long, before: long, around: string>>"), "places")
+    places = common.staged(common.map_texts(
+        keyed, ["doc_id", "row_key"], "text",
+        "n_words long, found array<struct<place: long, shingle: long, before: long, around: string>>",
+        _places(first, sizes, size)), "places")
     seen = places.select("row_key", F.inline("found")).join(prefix, "shingle")
     seen = seen.where("before >= shift").select(
         "row_key", "window", "n", (F.col("place") - F.col("shift")).alias("start"),

@@ -16,8 +16,6 @@ from __future__ import annotations
 import html
 import re
 
-import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,21 +161,18 @@ def _hash(text: str) -> int:
 _BLOCKS = "array<struct<path: long, parent: long, content: long, fixed: boolean, text: string>>"
 
 
-def _parsed(frames):
-    for whole in frames:
-        for a in range(0, len(whole), _ROWS):  # blocks take more memory than html: give them out a few pages at a time
-            frame = whole.iloc[a : a + _ROWS].copy()
-            out = []
-            for page in frame.pop("html"):
-                found = parse(page)
-                main = any(inside and not chrome for _, _, _, chrome, inside, _ in found)
-                rows = []
-                for path, parent, text, chrome, inside, plain in found:
-                    use = not chrome and (inside or not main)
-                    fixed = bool(use and inside and plain)
-                    rows.append((_hash(path), _hash(parent), _hash(text), fixed, text if use else None))
-                out.append(rows)
-            yield frame.assign(blocks=out)
+def _parsed(pages):
+    out = []
+    for page in pages:
+        found = parse(page)
+        main = any(inside and not chrome for _, _, _, chrome, inside, _ in found)
+        rows = []
+        for path, parent, text, chrome, inside, plain in found:
+            use = not chrome and (inside or not main)
+            fixed = bool(use and inside and plain)
+            rows.append((_hash(path), _hash(parent), _hash(text), fixed, text if use else None))
+        out.append(rows)
+    return [out]
 
 
 def template_places(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -219,9 +214,9 @@ def extract(pages: DataFrame) -> DataFrame:
     key = F.xxhash64("url", "html")
     rows = pages.select("page_id", "url", F.when(host != "", host).alias("host"), F.xxhash64("html").alias("page"),
                         key.alias("key"), "html")
-    kinds = dict(rows.dtypes)
-    parsed = common.staged(rows.mapInPandas(
-        _parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, host string, page long, key long, blocks {_BLOCKS}"), "pages")
+    # blocks take more memory than html: a few pages at a time
+    parsed = common.staged(common.map_texts(
+        rows, ["page_id", "url", "host", "page", "key"], "html", f"blocks {_BLOCKS}", _parsed, _ROWS), "pages")
     places = common.staged(template_places(parsed), "template")
     loose = parsed.select("host", "key", F.explode(F.expr(
         "array_distinct(transform(filter(blocks, b -> b.text is not null and not b.fixed), b -> b.path))")).alias("path"))

@@ -158,21 +158,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     rows are scored alike, one by one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
 
-    def run(frames):
-        for frame in frames:
-            texts = frame.pop("__text").tolist()
-            names, scores = [], []
-            for a, b in chars.batches(texts):
-                got = score_texts(shared.value, texts[a:b])
-                names += got[0]
-                scores.append(got[1])
-            yield frame.assign(lang_pred=pd.Series(names, index=frame.index, dtype=object),
-                               score=np.concatenate(scores) if scores else np.zeros(0))
+    def work(texts):
+        names, scores = [], [np.zeros(0)]
+        for a, b in chars.batches(texts):
+            got = score_texts(shared.value, texts[a:b])
+            names += got[0]
+            scores.append(got[1])
+        return names, np.concatenate(scores)
 
-    return rows.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return common.map_texts(docs, keep, text, "lang_pred string, score double", work)
 
 
 def identify(docs: DataFrame) -> DataFrame:

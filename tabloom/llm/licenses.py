@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tabloom.llm import common
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -189,16 +189,6 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     A null or wordless text has no words, no places and empty labels, and scores 0. The score is the priority of
     the best detection left, in hundredths; a base phrase scores 1. Repeated rows are scanned alike.
     """
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-
-    def run(frames):
-        for frame in frames:
-            found = pd.DataFrame([scan_text(t) for t in frame.pop("__text")], columns=names, index=frame.index)
-            for c in ("first_word", "last_word"):
-                found[c] = found[c].astype("Int64")
-            yield pd.concat([frame, found], axis=1)
-
-    return rows.mapInPandas(run, f"{fields}, n_words long, n_base long, first_word long, last_word long, "
-                                 "base_labels string, labels string, score double")
+    return common.map_texts(
+        docs, keep, "text", "n_words long, n_base long, first_word long, last_word long, base_labels string, "
+        "labels string, score double", lambda texts: list(zip(*map(scan_text, texts))) or [[]] * 7)

@@ -12,7 +12,7 @@ for the words by which the last, mostly large, document misses the total.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +125,13 @@ def fly(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator, land: bool)
 
 
 def _flight(seed: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["h", "doc_id", "size"], kind="stable")
-        rng = np.random.default_rng([seed, len(frame), int(frame["h"].iloc[0]) & (2**63 - 1)])
-        return frame.assign(pi=fly(frame["size"].to_numpy(), frame["pi"].to_numpy(), rng, bool(frame["last"].iloc[0])))
+    def run(block: pa.Table) -> pa.Table:
+        h, size, pi = (block.column(c).to_numpy() for c in ("h", "size", "pi"))
+        order = np.lexsort((size, h))  # the hash of id and size; rows with both alike are one unit
+        rng = np.random.default_rng([seed, len(h), int(h[order[0]]) & (2**63 - 1)])
+        out = np.empty(len(pi))
+        out[order] = fly(size[order], pi[order], rng, block.column("last")[0].as_py())
+        return block.set_column(block.schema.get_field_index("pi"), "pi", pa.array(out))
 
     return run
 
@@ -146,7 +149,7 @@ def sample(units: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
             break
         dealt = rest.join(many, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         dealt = dealt.withColumn("block", F.pmod("h", "blocks")).withColumn("last", F.col("blocks") == 1)
-        flown = dealt.groupBy("source", "block").applyInPandas(_flight(seed), dealt.schema)
+        flown = dealt.groupBy("source", "block").applyInArrow(_flight(seed), dealt.schema)
         flown = common.staged(flown.select(*rest.columns), "flown")
         sure = flown.where("pi <= 0 or pi >= 1")
         done = sure if done is None else done.unionByName(sure)

@@ -89,18 +89,17 @@ def _name(found: np.ndarray) -> int:
 
 
 def _sketched(size: int, bands: int, rows: int, per: int = 4_000_000):
-    def run(frames):
-        for frame in frames:
-            sets = shingle_sets(frame.pop("text").tolist(), size)
-            ends = np.cumsum([len(s) for s in sets]) // per
-            keys = [_bands(sketches([sets[i] for i in np.flatnonzero(ends == e)], bands * rows), bands, rows)
-                    for e in np.unique(ends)]
-            keys = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
-            yield frame.assign(node=np.array([_name(s) for s in sets], np.int64),
-                               n_shingles=np.array([len(s) for s in sets], np.int64),
-                               bands=[k if len(s) else None for k, s in zip(keys, sets)])
+    """Name, size and band keys of the sets of some texts, sketched some millions of shingles at a time."""
 
-    return run
+    def work(texts):
+        sets = shingle_sets(texts, size)
+        ends = np.cumsum([len(s) for s in sets]) // per
+        keys = [_bands(sketches([sets[i] for i in np.flatnonzero(ends == e)], bands * rows), bands, rows)
+                for e in np.unique(ends)]
+        keys = np.concatenate(keys) if keys else []
+        return [_name(s) for s in sets], [len(s) for s in sets], [k if len(s) else None for k, s in zip(keys, sets)]
+
+    return work
 
 
 def _confirm(size: int, percent: int):
@@ -172,9 +171,8 @@ def find_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, ban
     The links connect all that similar pairs connect; pairs inside a component found earlier are not listed.
     """
     keyed = docs.select("doc_id", "text", common.row_key("doc_id", "text").alias("row_key"))
-    made = keyed.select("doc_id", "row_key", "text").mapInPandas(
-        _sketched(size, bands, rows),
-        f"doc_id {dict(keyed.dtypes)['doc_id']}, row_key long, node long, n_shingles long, bands array<long>")
+    made = common.map_texts(keyed, ["doc_id", "row_key"], "text", "node long, n_shingles long, bands array<long>",
+                            _sketched(size, bands, rows))
     made = common.staged(made, "sketches")
     nodes = made.where("n_shingles > 0").groupBy("node").agg(
         F.min("row_key").alias("row_key"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))

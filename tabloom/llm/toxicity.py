@@ -187,17 +187,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     A null or empty text has no words and gets the score of the bias alone. Repeated rows are scored alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
 
-    def run(frames):
-        for frame in frames:
-            texts = frame.pop("__text").tolist()
-            out = [score_texts(shared.value, texts[a:b]) for a, b in chars.batches(texts)]
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield frame.assign(score=s, predicted=(s >= THRESHOLD).astype(np.int32))
+    def work(texts):
+        found = [np.zeros(0)] + [score_texts(shared.value, texts[a:b]) for a, b in chars.batches(texts)]
+        scores = np.concatenate(found)
+        return scores, (scores >= THRESHOLD).astype(np.int32)
 
-    return rows.mapInPandas(run, f"{fields}, score double, predicted int")
+    return common.map_texts(docs, keep, "text", "score double, predicted int", work)
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:

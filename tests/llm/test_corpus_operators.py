@@ -134,7 +134,7 @@ def test_mixing(spark):
     for i in range(3000):
         source = rnd.choice(["a", "a", "a", "B", "ü", None, "tiny"] if i % 40 == 0 else ["a", "a", "B", "ü", None])
         rows.append((i, "w " * min(int(rnd.expovariate(1 / 60)), 900), source))
-    rows += [(9, None, "a"), (10, "", None), (None, "x y", "a"), (11, None, "empty")] + [(77, "one two three", "B")] * 900
+    rows += [(9, None, "a"), (10, "", None), (None, "x y", "a"), (2**60 + 1, "x y z", "a"), (11, None, "empty")] + [(77, "one two three", "B")] * 900
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
     got = mixing.mix(df).collect()
     assert len(got) == len(rows)
@@ -145,6 +145,7 @@ def test_mixing(spark):
     assert {round(r.target, 6) for r in got} == want
     taken, goal = {}, {}
     for r in got:
+        assert r.doc_id is None or r.doc_id < 3000 or r.doc_id == 2**60 + 1
         assert 0 <= r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
         key = (r.source_size, round(r.target, 6))
         taken[key] = taken.get(key, 0) + r.taken

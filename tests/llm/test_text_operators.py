@@ -291,3 +291,13 @@ def test_copied_articles_stay(spark):
     rows = [(i, f"http://a.com/{i}", page + f"<!-- {i} -->") for i in range(12)]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in out} == {"T\n\nSame text everywhere"}
+
+
+def test_large_ids_beside_nulls_keep_their_digits(spark):
+    big = 2**60 + 1
+    d = docs(spark, [(big, "the dog"), (None, "a cat"), (big + 2, None)])
+    pages = spark.createDataFrame([(big, "http://a.com", "<p>x"), (None, None, None)], "page_id long, url string, html string")
+    bench = spark.createDataFrame([(1, "the dog")], "item_id long, text string")
+    for out in (langid.identify(d), licenses.scan(d), decontaminate.find(d, bench), toxicity.detect(d, spark.createDataFrame([], "doc_id long, toxic int"))):
+        assert {r.doc_id for r in out.collect()} == {big, None, big + 2}
+    assert {r.page_id for r in html_text.extract(pages).collect()} == {big, None}
