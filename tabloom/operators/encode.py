@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions import clean as cl
 from tabloom.functions.binning import count_above
 from tabloom.operators.ordered import BLOCK_ROWS, exact_quantiles
 
@@ -94,3 +95,16 @@ def standardize(df: DataFrame, columns: Sequence[str], train: Column | None = No
 
 def poly_features(c: Column, degree: int, name: str) -> list[Column]:
     return [F.pow(c, F.lit(float(d))).alias(f"{name}_{d}") for d in range(1, degree + 1)]
+
+
+def compartments(df: DataFrame, population: float = 66e6) -> DataFrame:
+    """Recovered, Infected and Susceptible per day, in date order."""
+    day = cl.parse_date(F.col("date"), "yyyyMMdd")
+    recovered = cl.row_sum(F.col("recovered"), F.col("death"))
+    infected = cl.row_sum(F.col("positive")) - recovered
+    return df.select(
+        day.alias("date"),
+        (F.lit(population) - infected - recovered).alias("Susceptible"),
+        infected.alias("Infected"),
+        recovered.alias("Recovered"),
+    ).orderBy("date")

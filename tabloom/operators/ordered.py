@@ -15,6 +15,7 @@ such rows first.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -211,25 +212,37 @@ def with_nearest(split: Split, knot: Column, value: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], block_rows: int = BLOCK_ROWS
+    df: DataFrame, column: str, probs: Sequence[float], block_rows: int = BLOCK_ROWS, accuracy: int = 10_000
 ) -> DataFrame:
-    """One row ``q0, q1, …``: exact quantiles with linear interpolation.
+    """One row ``q0, q1, …``: exact quantiles with linear interpolation; nulls and NaN are left out.
 
-    Equal values are counted first, then ranked with running sums, so neither
-    the rows nor the distinct values have to fit into one task.
+    Approximate quantiles give an interval around each wanted rank, a count gives the ranks of the intervals, and only
+    the values inside them are sorted. So two passes read the column and a few of every ``accuracy`` values are shuffled.
     """
     value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     known = df.select(value.alias("_v")).filter(F.col("_v").isNotNull())
-    counts = known.groupBy("_v").agg(F.count("*").alias("_n"))
+    n = known.count()
+    if not n:
+        nothing = ", ".join(f"q{i} double" for i in range(len(probs)))
+        return inline_table(df.sparkSession, [(None,) * len(probs)], nothing)
+    margin = 3 / accuracy + 2 / n  # the error of the approximation, and the rows next to a rank
+    marks = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    ends = known.agg(F.percentile_approx("_v", marks, accuracy)).first()[0]
+    v = F.col("_v")
+    spans = list(zip(ends[::2], ends[1::2]))
+    inside = functools.reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in spans])
+    # rows below an interval that are in none: what the running count of the sorted values leaves out there
+    skipped = known.agg(*[F.count_if((v < lo) & ~inside) for lo, _ in spans]).first()
+    counts = known.filter(inside).groupBy("_v").agg(F.count("*").alias("_n"))
     ranked = running_sums(split_long(counts, [], "_v", block_rows), {"_cum": F.col("_n")})
-    n = counts.agg(F.sum("_n")).scalar()
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+    def at(i: int, rank: int) -> Column:
+        reached = v.between(*spans[i]) & (F.col("_cum") + skipped[i] > rank)
+        return F.min(F.when(reached, v))
 
     out = []
     for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (n - 1)
-        low = at(F.floor(pos))
-        out.append((low + (at(F.ceil(pos)) - low) * F.first(pos - F.floor(pos))).alias(f"q{i}"))
+        pos = p * (n - 1)
+        low = at(i, math.floor(pos))
+        out.append((low + (at(i, math.ceil(pos)) - low) * (pos - math.floor(pos))).alias(f"q{i}"))
     return ranked.agg(*out)

@@ -370,19 +370,6 @@ def row_sum_skipna(spark, sf_dir):
     )
 
 
-def compartments(df, population: float = 66e6):
-    """Recovered, Infected and Susceptible per day, in date order."""
-    day = cl.parse_date(F.col("date"), "yyyyMMdd")
-    recovered = cl.row_sum(F.col("recovered"), F.col("death"))
-    infected = cl.row_sum(F.col("positive")) - recovered
-    return df.select(
-        day.alias("date"),
-        (F.lit(population) - infected - recovered).alias("Susceptible"),
-        infected.alias("Infected"),
-        recovered.alias("Recovered"),
-    ).orderBy("date")
-
-
 @query("derive_compartments", f"""
     SELECT CAST(strptime(CAST(date AS VARCHAR), '%Y%m%d')::DATE AS VARCHAR) AS date,
       r::DOUBLE AS "Recovered", (p - r)::DOUBLE AS "Infected", (66e6 - (p - r) - r)::DOUBLE AS "Susceptible"
@@ -390,7 +377,7 @@ def compartments(df, population: float = 66e6):
           FROM ({_DAILY}))
 """)
 def derive_compartments(spark, sf_dir):
-    df = compartments(daily(spark, sf_dir))
+    df = en.compartments(daily(spark, sf_dir))
     return df.withColumn("date", F.col("date").cast("string"))
 
 

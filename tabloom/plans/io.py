@@ -89,7 +89,7 @@ def scan_csv_latin1(spark, sf_dir):
     options = {"encoding": "ISO-8859-1", "escape": '"', "header": "true", "quoteAll": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     docs.write.options(**options).csv(path)
-    back = readers.scan_csv(spark, path, "text string, stars bigint", encoding="ISO-8859-1", escape='"', emptyValue="")
+    back = readers.scan_csv_latin1(spark, path, "text string, stars bigint", escape='"', emptyValue="")
     accents = F.length("text") - F.length(F.replace(F.col("text"), F.lit("é"), F.lit("")))
     return back.select("stars", F.length("text").cast("bigint").alias("n"), accents.cast("bigint").alias("accents"))
 
@@ -263,10 +263,13 @@ def throttled_intake(spark, sf_dir):
     return written.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
 
 
-@query("retry_publish", """
+_RETRY_SQL = """
     SELECT id, least(id % 7 + 1, 4)::INTEGER AS attempts, CASE WHEN id % 7 <= 3 THEN 'published' ELSE 'deadlettered' END AS outcome,
       CASE WHEN id % 7 <= 3 THEN 'movie-events-raw' ELSE 'movie-events-deadletter' END AS topic FROM (SELECT o_orderkey AS id FROM orders)
-""")
+"""
+
+
+@query("retry_publish", _RETRY_SQL)
 def retry_publish(spark, sf_dir):
     """A sink that refuses each event as many times as its key says."""
     events = ev.movie_events(facts_view(spark, sf_dir), event_time(), keep=["id"])
@@ -277,6 +280,21 @@ def retry_publish(spark, sf_dir):
     return pb.retry_publish(events, deliver, event_time()).select("id", "attempts", "outcome", "topic")
 
 
+@query("stream_retry", _RETRY_SQL)
+def stream_retry(spark, sf_dir):
+    """The same sink behind a stream: each batch is delivered with its retries."""
+    orders = pb.stream_table(spark, sf_dir, "orders.parquet")
+    events = ev.movie_events(as_facts(orders), event_time(), keep=["id"])
+    path = staging_path(spark, "retried")
+
+    def deliver(rows, attempt):
+        return rows.withColumn("ok", F.col("id") % 7 <= attempt)
+
+    handle = pb.publish_with_retries(path, deliver, event_time(), pause=None)
+    pb.run_stream(events, handle, staging_path(spark, "retried-progress")).awaitTermination()
+    return spark.read.parquet(path).select("id", "attempts", "outcome", "topic")
+
+
 _FACT_COLUMNS = ["id", "release_year", "release_decade", "vote_average", "revenue", "runtime", "adult", "rating_bin",
                  "revenue_bin", "runtime_bin"]
 

@@ -23,8 +23,8 @@ def scan_csv(spark: SparkSession, path: str, schema: str, **options: str) -> Dat
     return reader.csv(path)
 
 
-def scan_csv_latin1(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return scan_csv(spark, path, schema, encoding="ISO-8859-1")
+def scan_csv_latin1(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    return scan_csv(spark, path, schema, encoding="ISO-8859-1", **options)
 
 
 def scan_chunked(

@@ -7,6 +7,7 @@ once.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from tabloom.operators.events import DEAD_LETTER_TOPIC, noted
 from tabloom.session import staging_path
 
 # Publishing defaults.
-BATCH_ROWS, BATCH_WAIT = 1000, "10 seconds"
+BATCH_WAIT = "10 seconds"
 MAX_RETRIES, BACKOFF_BASE, WORKERS = 3, 2, 5
 
 
@@ -43,7 +44,7 @@ def run_stream(
     mode: str = "append",
     every: str | None = None,
 ):
-    """Start the stream: all that is there now and then stop, or a batch ``every`` so often."""
+    """Start the stream: all that is there now and then stop, or a batch ``every`` so often (usually `BATCH_WAIT`)."""
     writer = events.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
@@ -107,18 +108,21 @@ def retry_publish(
     deliver: Callable[[DataFrame, int], DataFrame],
     failed_at: Column,
     max_retries: int = MAX_RETRIES,
+    pause: Callable[[float], None] | None = None,
 ) -> DataFrame:
     """Deliver events, trying the failed ones again; the exhausted become dead letters.
 
     ``deliver(rows, attempt)`` hands rows to the sink and returns them with a
     boolean ``ok``. Its answer is written down before it is used, because a
-    delivery must not happen again when a lost task is recomputed. Waiting
-    between attempts is left to the trigger of the stream. Returns the rows with
+    delivery must not happen again when a lost task is recomputed. ``pause`` is
+    given the seconds to wait before each attempt. Returns the rows with
     ``attempts`` and ``outcome``.
     """
     spark = events.sparkSession
     done, waiting = [], events
     for attempt in range(max_retries + 1):
+        if pause and attempt:
+            pause(backoff_seconds(attempt))
         path = staging_path(spark, f"attempt-{attempt}")
         deliver(waiting, attempt).withColumn("attempts", F.lit(attempt + 1)).write.parquet(path)
         tried = spark.read.parquet(path)
@@ -148,3 +152,22 @@ def retry_publish(
 def backoff_seconds(attempt: int) -> float:
     """Wait before a retry; the first try has none."""
     return 0.0 if attempt == 0 else float(BACKOFF_BASE**attempt)
+
+
+def publish_with_retries(
+    path: str,
+    deliver: Callable[[DataFrame, int], DataFrame],
+    failed_at: Column,
+    max_retries: int = MAX_RETRIES,
+    pause: Callable[[float], None] | None = time.sleep,
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler that delivers with retries and writes outcomes by topic below ``path``.
+
+    A batch that is repeated after a failure is delivered again, so the sink must know events by their key.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        done = retry_publish(batch, deliver, failed_at, max_retries, pause)
+        done.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/batch={batch_id}")
+
+    return handle

@@ -171,3 +171,14 @@ def test_only_cut_keys_carry(spark):
     out = od.running_sums(od.split_long(rows, ["k"], "x", 500), {"n": F.lit(1)})
     assert out.filter("k = 'hot'").agg(F.max("n")).first()[0] == 3000
     assert "isnotnull(_block" in out._jdf.queryExecution().optimizedPlan().toString() or "> 0" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_sort_few_values(spark, accuracy):
+    rng = np.random.default_rng(1)
+    y = np.concatenate([np.round(rng.normal(size=20_000), 3), np.full(7000, 0.5)])
+    df = spark.createDataFrame(pd.DataFrame({"y": y}))
+    probs = [0.0, 0.01, 0.5, 0.61, 0.99, 1.0]
+    got = list(od.exact_quantiles(df, "y", probs, 50, accuracy).first())
+    assert got == pytest.approx(np.quantile(y, probs))
+    assert list(od.exact_quantiles(df.limit(0), "y", [0.5]).first()) == [None]
