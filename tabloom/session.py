@@ -17,6 +17,7 @@ SETTINGS = {
 }
 
 _LOCAL_STAGING: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,4 +53,21 @@ def staging_root(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new path below the staging folder; nothing exists there yet."""
-    return f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{staging_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_staging(spark: SparkSession) -> int:
+    """Delete what this application has staged, and say how many folders that were.
+
+    A result may still read staged tables when it is returned, so nothing is deleted before its caller says so:
+    call this once results are written where they belong.
+    """
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for name in made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -207,3 +207,14 @@ def test_rollups_agree_with_single_counts(spark):
     assert long["by_rating_bin", "5.00–5.99"] == 0 and long["by_rating_bin", None] == 1
     bins = [r.movie_count for r in ro.bin_counts(facts, "rating_bin", bn.rating_bins()).collect()]
     assert bins[0] == 1 and sum(bins) == 3 and len(bins) == 11
+
+
+def test_staging_can_be_cleared(spark):
+    from tabloom.session import clear_staging, staging_path
+
+    paths = [staging_path(spark, "x") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    assert clear_staging(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths[0])
+    assert clear_staging(spark) == 0
