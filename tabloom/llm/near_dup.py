@@ -151,7 +151,8 @@ def _crossing_pairs(nodes: DataFrame, texts: DataFrame, size: int, percent: int)
     prefix = common.staged(prefix.select("shingle", "node", "n", "root", "i"), "prefixes")
     mixed = prefix.groupBy("shingle", "root").count().groupBy("shingle").agg(
         F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("main")).where("roots > 1")
-    prefix = common.staged(prefix.join(mixed.select("shingle", "main"), "shingle"), "prefixes")
+    mixed = common.staged(mixed.select("shingle", "main"), "mixed")  # both sides are dealt out, so hot shingles can be split
+    prefix = common.staged(prefix.join(mixed, "shingle"), "prefixes")
     # one side leaves out the largest component of each shingle: its members are connected already
     x = prefix.where("root <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "i")])
     y = prefix.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "i")])
