@@ -44,12 +44,13 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
         exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def strip(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST) -> DataFrame:
+def strip(docs: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_removed`` appended.
 
-    A document that would lose more than the share ``most`` of its characters is left whole: it is itself a
-    copy of a document that many sites carry, and near-duplicate removal decides on it. Null text stays null with no
-    lines, and blank lines stay. Rows that repeat are treated alike. ``n_chars``, if there is one, follows the text.
+    A document that would lose more than the share ``most`` of its characters is left whole. Without ``most`` only
+    one that would lose all its lines is: of a text that stands on ``min_sites`` sites every line does, so its copies
+    are among these, and near-duplicate removal decides on them. Null text stays null with no lines, and blank
+    lines stay. Rows that repeat are treated alike. ``n_chars``, if there is one, follows the text.
     """
     keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64("doc_id", "source", "text").alias("__key"),
                         F.col("text").alias("__text"))
@@ -63,7 +64,8 @@ def strip(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST) -> Da
     both = both.select("__row", "__text", F.size(lines).alias("__all"),
                        F.when(F.col("__bad").isNotNull(), kept).alias("__kept"))
     new = F.array_join("__kept", "\n")
-    cut = F.col("__kept").isNotNull() & (F.length(new) >= (1 - most) * F.length("__text"))
+    left = F.exists("__kept", lambda x: line_hash(x).isNotNull())
+    cut = F.col("__kept").isNotNull() & (left if most is None else F.length(new) >= (1 - most) * F.length("__text"))
     both = both.withColumn("__cut", cut).withColumn("__new", F.when(F.col("__cut"), new).otherwise(F.col("__text")))
     changed = {"text": F.col("__new")}
     if "n_chars" in docs.columns:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabloom.llm import chars, decontaminate, html_text, langid, licenses, line_dedup, quality, toxicity
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -208,6 +209,19 @@ def test_line_removal(spark):
     assert line_dedup.strip(d.where("false")).collect() == []
 
 
+def test_mostly_boilerplate_loses_its_lines(spark):
+    rule = "All rights reserved by the owners of this site."
+    rows = [(i, f"{rule}\nown {i}\n", "en", f"s{i}") for i in range(12)] + [(50 + i, f"{rule}\n\nSame page everywhere.", "en", f"s{i}") for i in range(12)]
+    d = docs(spark, [*rows, (90, f"{rule}\n \n", "en", "s1"), (91, None, "en", "s1"), (92, f"{rule}\nSame page everywhere.\nx", "en", "s2")])
+    d = d.withColumn("n_chars", F.length("text").cast("long"))
+    by = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.strip(d, most=None).collect()}
+    assert all(by[i] == (f"own {i}\n", 1) for i in range(12)) and by[92] == ("x", 2)
+    assert all(by[50 + i] == (rows[12 + i][1], 0) for i in range(12))  # copies of one page on 12 sites
+    assert by[90] == (f"{rule}\n \n", 0) and by[91] == (None, 0)
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()}
+    assert staged == {i: t for i, (t, _) in by.items()}
+
+
 def test_line_removal_agrees_with_sql(spark, sf_dir, tmp_path):
     import duckdb
 
