@@ -7,7 +7,7 @@ their Jaccard similarity, with concentration as for independent coordinates, and
 max(n, t log t) steps instead of n * t.
 
 Banding: `BANDS` bands of `ROWS` coordinates. Sets at the threshold 0.85 share no band with probability
-(1 - 0.85^6)^32 = 2.6e-7. Documents with the same set are one node from the start. In each bucket of a band all nodes
+(1 - 0.85^6)^32 = 2.6e-7, at 0.8 with 6e-5. Documents with the same set are one node from the start. In each bucket of a band all nodes
 are compared with one node picked by hash. Where the links found leave a bucket in several components, its nodes
 go through an exact prefix-filtered join that looks for links between components, so no pair that shares a
 bucket and is not yet connected is missed. Every link is confirmed on the full sets.

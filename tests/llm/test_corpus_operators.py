@@ -86,6 +86,18 @@ def test_near_duplicate_edges(spark):
     assert near_dup.drop_duplicates(spark.createDataFrame(rows, kind)).count() == 4
 
 
+def test_near_dup_stage_takes_eighty_percent(spark):
+    rows = []
+    for i, n in enumerate((9, 10, 11)):  # the last n of 100 words differ
+        base = [f"b{i}x{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-n] + [f"c{i}x{k}" for k in range(n)]))]
+    sets = _sets(rows)
+    alike = [len(sets[j] & sets[j + 1]) / len(sets[j] | sets[j + 1]) for j in (0, 2, 4)]
+    assert 0.8 <= alike[1] < alike[0] < 0.85 and alike[2] < 0.8
+    kept = {r.doc_id for r in corpus_pipeline.near_dup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {0, 2, 4, 5}
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     for shared in (0, 50, 80, 100):
