@@ -108,6 +108,50 @@ SINGLE = [
     ("proprietary", "proprietary and confidential", r"proprietary and confidential", 40),
     ("commercial", "commercial license", r"(?:under a |requires a )?commercial license", 40),
 ]
+_PUBLISHED = r"general public license as published by the free software foundation (?:either )?version "
+# Sentences of the license texts: (label, keyword, pattern, priority).
+SENTENCES = [
+    ("mit", "the above copyright notice and this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 92),
+    ("apache-2", "you may not use this file except in compliance", r"apache license version 2 0 the license you may not use this file except in compliance with the license", 95),
+    ("gpl-2", "as published by the free software foundation", rf"gnu {_PUBLISHED}2", 95),
+    ("gpl-3", "as published by the free software foundation", rf"gnu {_PUBLISHED}3", 95),
+    ("lgpl-2", "as published by the free software foundation", rf"gnu (?:lesser|library) {_PUBLISHED}2(?! 1)", 95),
+    ("lgpl-2.1", "as published by the free software foundation", rf"gnu lesser {_PUBLISHED}2 1", 95),
+    ("lgpl-3", "as published by the free software foundation", rf"gnu lesser {_PUBLISHED}3", 95),
+    ("agpl-3", "as published by the free software foundation", rf"gnu affero {_PUBLISHED}3", 95),
+    ("mpl-2", "this source code form is subject", r"this source code form is subject to the terms of the mozilla public license v 2 0", 95),
+    ("boost", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy", 95),
+    ("zlib", "in no event will the authors be held liable", r"provided as is without any express or implied warranty in no event will the authors be held liable", 90),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain", 95),
+    ("wtfpl", "do what the fuck you want to", r"do what the fuck you want to public license", 95),
+    ("bsd-4", "all advertising materials mentioning features", r"all advertising materials mentioning features or use of this software must display", 95),
+    ("cc0", "related or neighboring rights", r"waived all copyright and related or neighboring rights", 92),
+]
+_LATER = r"(?: only| or later)?"
+# SPDX ids as words: (label, pattern). They count after "SPDX-License-Identifier", and where that stands after "id or" and "id and".
+SPDX = [
+    *[(f"gpl-{n}", rf"gpl {n} 0{_LATER}") for n in (1, 2, 3)],
+    ("lgpl-2", rf"lgpl 2 0{_LATER}"), ("lgpl-2.1", rf"lgpl 2 1{_LATER}"), ("lgpl-3", rf"lgpl 3 0{_LATER}"),
+    ("agpl-3", rf"agpl 3 0{_LATER}"), ("gfdl", rf"gfdl 1 [1-3]{_LATER}"),
+    ("mit", r"mit"), ("isc", r"isc"), ("zlib", r"zlib"), ("boost", r"bsl 1 0"), ("apache-1.1", r"apache 1 1"),
+    ("apache-2", r"apache 2 0"), ("bsd-2", r"bsd 2 clause"), ("bsd-3", r"bsd 3 clause"), ("bsd-4", r"bsd 4 clause"),
+    ("mpl-1.1", r"mpl 1 1"), ("mpl-2", r"mpl 2 0"), ("epl-1", r"epl 1 0"), ("epl-2", r"epl 2 0"), ("cddl", r"cddl 1 [01]"),
+    ("eupl", r"eupl 1 [0-2]"), ("artistic-2", r"artistic 2 0"), ("ofl", r"ofl 1 1"), ("python", r"psf 2 0"),
+    ("php", r"php 3 0[01]?"), ("postgresql", r"postgresql"), ("ncsa", r"ncsa"), ("afl", r"afl 3 0"), ("osl-3", r"osl 3 0"),
+]
+_AFTER_ID = "|".join(f"(?<= {w} )" for w in ("0", "1", "2", "3", "clause", "only", "later", "mit", "isc", "zlib", "postgresql", "ncsa"))
+# Short forms that stand alone: (label, keyword, pattern, priority).
+SHORT = [
+    *[(f"{f}-{n}", k, rf"(?:gnu )?(?:{f}v?{n}|{f} (?:version |v ?)?{n})(?: 0)?{_LATER}", 45)
+      for f, n in (("gpl", 1), ("gpl", 2), ("gpl", 3), ("lgpl", 3), ("agpl", 3)) for k in (f, f"{f}{n}", f"{f}v{n}")],
+    *[("lgpl-2.1", k, rf"(?:gnu )?(?:lgplv?2 1|lgpl (?:version |v ?)?2 1){_LATER}", 46) for k in ("lgpl", "lgpl2", "lgplv2")],
+    *[("lgpl-2", k, rf"(?:gnu )?(?:lgplv?2|lgpl (?:version |v ?)?2)(?! 1)(?: 0)?{_LATER}", 45) for k in ("lgpl", "lgpl2", "lgplv2")],
+    *[(f, f, rf"(?:gnu )?{f}", 30) for f in ("gpl", "lgpl", "agpl")],
+    ("apache-2", "apache", r"apache (?:version |v)?2 0", 45), ("apache-2", "apache", r"apache 2 licensed", 45), ("apache-2", "apachev2", r"apachev2", 45),
+    ("mit", "mit licensed", r"mit licensed", 45),
+    *[(f"bsd-{n}", "bsd", rf"(?:bsd {n} clause|{n} clause bsd)", 45) for n in (2, 3, 4)],
+    ("bsd", "bsd licensed", r"bsd licensed", 30), ("mpl-2", "mplv2", r"mplv2(?: 0)?", 45),
+]
 
 
 @dataclass(frozen=True)
@@ -120,9 +164,11 @@ class Rule:
 
 @functools.cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: every name in every frame, then the single ones."""
+    """All rules in order: every name in every frame, the single ones, sentences, short forms and SPDX ids."""
     made = [(label, keyword, f"{before}{name}{after}", priority)
             for label, (keyword, name) in NAMES.items() for before, after, priority in FRAMES] + SINGLE
+    made += SENTENCES + SHORT + [(label, "spdx license identifier", f"spdx license identifier {name}", 98) for label, name in SPDX]
+    made += [(label, "spdx license identifier", f"(?:{_AFTER_ID})(?:or|and) {name}", 97) for label, name in SPDX]
     return tuple(Rule(label, keyword, re.compile(f"(?<= ){pattern}(?= )"), priority)
                  for label, keyword, pattern, priority in made)
 

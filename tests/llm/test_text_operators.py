@@ -253,6 +253,16 @@ def test_licenses_against_brute_force(spark):
     assert len(licenses.rules()) > 200
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("GPLv2", "gpl-2"), ("GPL-3.0", "gpl-3"), ("GPL 2.0 only", "gpl-2"), ("LGPL", "lgpl"), ("AGPL", "agpl"), ("LGPLv2.1", "lgpl-2.1"), ("LGPL-2.0", "lgpl-2"),
+    ("Apache-2.0", "apache-2"), ("BSD-3-Clause", "bsd-3"), ("MIT licensed", "mit"), ("SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: (GPL-2.0-only OR MIT) AND ISC", "gpl-2,isc,mit"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2"), ("mit isc zlib", ""),
+    ("the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl-2"),
+])
+def test_short_forms_of_licenses(text, labels):
+    assert licenses.scan_text(text)[5] == labels
+
+
 def test_suppression_against_brute_force():
     rnd = random.Random(2)
     for _ in range(200):
