@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.text import words_of_rows
+from tabloom.operators.text import drop_stop_words, words_of_rows
 from tabloom.sources.inline import inline_table
 
 MAX_CLASSES = 1000
@@ -44,17 +44,19 @@ def _argmax(scores: Sequence[Column], classes: Sequence) -> Column:
 
 
 def nb_multinomial(
-    train: DataFrame, test: DataFrame, doc: str, label: str, tokens: str = "tokens", alpha: float = 1.0
+    train: DataFrame, test: DataFrame, doc: str, label: str, tokens: str = "tokens", alpha: float = 1.0,
+    stop: Sequence[str] = (),
 ) -> DataFrame:
     """(doc, predicted) for every test document. ``tokens`` is an array column in both inputs.
 
     Each document counts its own words first, so a word joins the model once per document, not once per token. The
-    vocabulary is the training words; a document with no known word gets the most frequent class.
+    vocabulary is the training words without the ``stop`` words, which are dropped after a document has counted its own;
+    a document with no known word gets the most frequent class.
     """
     classes = class_values(train, label)
     prior = train.groupBy().pivot(label, classes).agg(F.count(label))
     prior = prior.select(F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(classes)])).scalar()
-    words = words_of_rows(train, F.col(tokens), [label]).withColumnRenamed("word", "_word")
+    words = drop_stop_words(words_of_rows(train, F.col(tokens), [label]), stop).withColumnRenamed("word", "_word")
     counts = words.groupBy("_word").pivot(label, classes).agg(F.sum("tf")).na.fill(0)
     totals = counts.agg(
         F.struct(F.count("*").alias("v"), *[F.sum(f"`{c}`").alias(f"t{i}") for i, c in enumerate(classes)])
@@ -66,7 +68,7 @@ def nb_multinomial(
             for i, c in enumerate(classes)
         ],
     )
-    asked = words_of_rows(test, F.col(tokens), [doc]).withColumnRenamed("word", "_word")
+    asked = drop_stop_words(words_of_rows(test, F.col(tokens), [doc]), stop).withColumnRenamed("word", "_word")
     found = asked.join(model, "_word").select(
         doc, *[(F.col("tf") * F.col(f"_l{i}")).alias(f"_l{i}") for i in range(len(classes))])
     every = test.select(doc, *[F.lit(0.0).alias(f"_l{i}") for i in range(len(classes))]).unionByName(found)

@@ -11,7 +11,7 @@ from tabloom.operators import learn as ml
 from tabloom.operators import sampling as sa
 from tabloom.operators import stats as st
 from tabloom.plans.registry import hash_sql, query, table
-from tabloom.plans.text import STOP_WORDS, _STOP_SQL
+from tabloom.plans.text import _STOP_SQL
 from tabloom.plans.views import BINNED_SQL, facts_view
 
 _LIMIT = sa.share_limit(0.7)
@@ -25,8 +25,7 @@ def _train(key: str, seed: int = 0):
 def _tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    kept = F.filter(ft.vector_tokens(F.col("text")), lambda w: ~w.isin(list(STOP_WORDS)))
-    return labels.join(docs, "doc_id").select("doc_id", "quality", kept.alias("tokens"))
+    return labels.join(docs, "doc_id").select("doc_id", "quality", ft.vector_tokens(F.col("text")).alias("tokens"))
 
 
 _NB_SQL = f"""
@@ -49,7 +48,7 @@ _NB_SQL = f"""
 def nb_predictions(spark, sf_dir):
     docs = _tokens(spark, sf_dir)
     test = docs.filter(~_train("doc_id")).select("doc_id", "tokens")
-    return ml.nb_multinomial(docs.filter(_train("doc_id")), test, "doc_id", "quality")
+    return ml.nb_multinomial(docs.filter(_train("doc_id")), test, "doc_id", "quality", stop=ft.STOP_WORDS)
 
 
 @query("nb_multinomial", _NB_SQL)

@@ -8,14 +8,9 @@ from tabloom.functions import text as ft
 from tabloom.operators import text as ot
 from tabloom.plans.registry import query, table
 
-STOP_WORDS = ft.english_stop_words()
-
-_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it",
-              "of", "on", "or", "that", "the", "this", "to", "was", "with"]
-
 _WORDS = "SELECT unnest(regexp_extract_all(lower(text), '([a-z0-9'']+)', 1)) AS word FROM documents"
 _FREQ = f'SELECT word, count(*) AS "count" FROM ({_WORDS}) GROUP BY word'
-_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
+_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in ft.STOP_WORDS)
 _VEC = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\p{M}]{2,}')) AS word FROM documents"
 
 
@@ -117,7 +112,7 @@ def vocab_df(spark, sf_dir):
 """)
 def stopword_filter(spark, sf_dir):
     words = ot.explode_tokens(_docs(spark, sf_dir), ft.vector_tokens(F.col("text")))
-    kept = ot.drop_stop_words(words, STOP_WORDS)
+    kept = ot.drop_stop_words(words, ft.STOP_WORDS)
     return kept.groupBy("word").agg(F.count("*").alias("count"))
 
 

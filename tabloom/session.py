@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import warnings
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +19,7 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_SHIPPED: set[str] = set()
 _LOCAL_STAGING: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
 
@@ -32,6 +36,27 @@ def build_session(app: str = "tabloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers of the session, once per application.
+
+    Functions that run in a worker name their module; without this the workers find it only if their own search path
+    happens to hold the package. The archive goes through Spark's file service, as any ``addPyFile``.
+    """
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    _SHIPPED.add(key)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tabloom-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    try:
+        spark.sparkContext.addPyFile(str(archive))
+    except Exception as failed:  # e.g. a gateway on another machine; workers that have the package installed need none
+        warnings.warn(f"the package was not shipped, workers must have it installed: {failed}", stacklevel=2)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
