@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import ann, decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dup, quality, toxicity
+from tabloom.llm import (
+    ann, decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dup, periodic, quality, token_files, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +81,35 @@ def op4_licenses(spark, sf_dir):
 @_query("op6_html_text")
 def op6_html_text(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op12_token_ids")
+def op12_token_ids(spark, sf_dir):
+    return token_files.read(token_files.write(_table(spark, sf_dir, "documents")))
+
+
+def _planted(doc_id, words):
+    """The contract's periodic texts: every tenth document, by the crc32 of its id, repeats from some word on."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    a = h // 10 % len(words)
+    p = 1 + (len(words) - a) // (3 + h // 10 % 8)
+    turn = words[a:a + p]
+    return words[:a] + (turn * ((len(words) - a) // p + 1))[:len(words) - a]
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), alter=_planted)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start, r.period)))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.array_join(F.transform(listed, lambda line: F.concat(line, F.lit("\n"))), "")
+    found = found.withColumn("best", longest).select("*", (-F.col("best.less")).alias("length"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length",
+        F.col("best.period").alias("period"), F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
