@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    ann, decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dup, periodic, quality, token_files, toxicity,
+    ann, decontaminate, html_text, langid, licenses, line_dedup, mixing, near_dup, periodic, quality, ranked, token_files,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,11 @@ def op6_html_text(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+@_query("op11_ranked_search", ranked.ORACLE)
+def op11_ranked_search(spark, sf_dir):
+    return ranked.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query("op12_token_ids")
 def op12_token_ids(spark, sf_dir):
     return token_files.read(token_files.write(_table(spark, sf_dir, "documents")))
