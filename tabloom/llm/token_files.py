@@ -14,29 +14,34 @@ manifest names those of attempts that ended, so a repeated or lost task leaves n
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm import chars, common, simple8b
+from tabloom.llm import common, simple8b
 from tabloom.session import staging_path
 
 MAGIC = b"TBS8B\x001\n"
 BLOCK = 1 << 13
 READ_BLOCKS = 64
 END_ID = 2
-PIECE = 1 << 20
+KEPT = 1 << 20
+BYTES = 1 << 23
 TOKENIZER = "byte_bpe_50k.json"
-_PLACE = re.compile(r"[^\s] (?=[^\s])")
+_DOUBLE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}] "
+_WORD = re.compile(r"\S+")
+_BEFORE = re.compile(r"(?<=\S)(?= )")
 
 
 def _file_system(path: str):
@@ -130,47 +135,135 @@ def read_file(source, blocks: int = READ_BLOCKS) -> Iterator[tuple[int | None, n
         rest = rest[used:]
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """A long text cut before single blanks between other characters, about every ``size`` characters.
+def pieces(text: str) -> list[str]:
+    """A text cut before every blank that follows another character than white space.
 
-    A byte-level tokenizer of this kind cuts there in any case, so the ids of the pieces are those of the text.
-    A stretch without such a blank stays whole.
+    A byte-level tokenizer of this kind cuts there in any case, whatever comes before, so the ids of the pieces one
+    after another are those of the text. A stretch without such a blank stays whole.
     """
-    first = 0
-    while len(text) - first > size:
-        found = _PLACE.search(text, first + size)
-        if not found:
-            break
-        yield text[first:found.start() + 1]
-        first = found.start() + 1
-    yield text[first:]
+    return _BEFORE.split(text) if text else []
 
 
-def load_tokenizer(name: str):
-    """A tokenizer file by its path, or by its name among the public vocabularies of the worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Coder:
+    """Ids of texts by a tokenizer file, given by its path or by its name among the public vocabularies of the worker.
 
-    if not os.path.isabs(name):
-        import public_tokenizers
-
-        name = public_tokenizers.path(name)
-    return Tokenizer.from_file(name)
-
-
-def encoder(name: str, end_id: int = END_ID) -> Callable[[list[str | None]], Iterator[np.ndarray]]:
-    """A function that gives the ids of each text, with ``end_id`` behind."""
-    tokenizer = load_tokenizer(name)
-
-    def run(texts: list[str | None]) -> Iterator[np.ndarray]:
-        for a, b in chars.batches(texts):
-            cut = [list(pieces(t or "")) for t in texts[a:b]]
-            coded = iter(tokenizer.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False))
-            for c in cut:
-                ids = [np.array(next(coded).ids, np.uint32) for _ in c]
-                yield np.concatenate([*ids, np.array([end_id], np.uint32)])
+    Words come again and again, so the ids of pieces are kept: each piece goes through the tokenizer once as long as it is
+    remembered. The memory is emptied when it holds ``KEPT`` pieces; one batch may go beyond that.
+    """
 
-    return run
+    def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        if not os.path.isabs(name):
+            import public_tokenizers
+
+            name = public_tokenizers.path(name)
+        self.tokenizer = Tokenizer.from_file(name)
+        self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.begin: dict[str, int] = {}
+        self.after: dict[str, int] = {}
+        self.pieces = 0
+        self.ids, self.end = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _coded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in a row, and how many each has.
+
+        A call for a piece costs far more than the piece. Pieces of one word are therefore joined by line feeds, which
+        such a tokenizer gives an id of their own there.
+        """
+        if not _WORD.fullmatch(new[0].removeprefix(" ")):
+            coded = [c.ids for c in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            return np.array([*itertools.chain.from_iterable(coded)], np.uint32), np.array([*map(len, coded)], np.int64)
+        whole, = self.tokenizer.encode_batch_fast(["\n".join(new)], add_special_tokens=False)
+        joined = np.array(whole.ids, np.uint32)
+        gap = joined == self.line_feed
+        stop = np.append(np.flatnonzero(gap), len(joined))
+        return joined[~gap], np.diff(stop, prepend=-1) - 1
+
+    def _learn(self, new: list[str], known: dict[str, int], blank: str) -> None:
+        words, other = [], []
+        for piece in new:
+            (words if _WORD.fullmatch(piece) else other).append(piece)
+        for part in (words, other):
+            for a in range(0, len(part), 4096):
+                ids, sizes = self._coded([blank + p for p in part[a:a + 4096]])
+                first, stop = self.pieces, self.used + len(ids)
+                self.pieces += len(sizes)
+                while stop > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                while self.pieces >= len(self.end):
+                    self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+                self.ids[self.used:stop] = ids
+                self.end[first + 1:self.pieces + 1] = self.used + np.cumsum(sizes)
+                known.update(zip(part[a:a + 4096], range(first, self.pieces)))
+                self.used = stop
+
+    def _places(self, found: list[str], blank: str) -> np.ndarray:
+        """Where the ids of each of some pieces are, that stand behind ``blank``; new ones are learned."""
+        known = self.after if blank else self.begin
+        get = known.get
+        place = np.array([get(p, -1) for p in found], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self._learn(list(dict.fromkeys([found[i] for i in new])), known, blank)
+            place[new] = [known[found[i]] for i in new]
+        return place
+
+    def code(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, with ``end_id`` behind.
+
+        Where no blank follows white space, pieces are what stands between blanks: Arrow cuts them and numbers the different
+        ones, so that only these are looked up one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        stop = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy()))
+        row = 0
+        while row < len(texts):
+            after = max(row + 1, int(np.searchsorted(stop, stop[row] + BYTES, side="right")) - 1)
+            part = texts.slice(row, after - row)
+            row = after
+            if self.pieces > KEPT:
+                self._forget()
+            plain = pc.invert(pc.match_substring_regex(part, _DOUBLE))
+            cut = pc.split_pattern(pc.if_else(plain, part, ""), " ")
+            start = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            named = cut.flatten().dictionary_encode()
+            kinds = named.dictionary.to_pylist()
+            at = named.indices.to_numpy()
+            head = at[start[:-1]]
+            later = np.ones(len(at), bool)
+            later[start[:-1]] = False  # what begins a text has no blank before it
+            place = np.zeros(len(kinds), np.int64)
+            used = np.flatnonzero(np.bincount(at[later], minlength=len(kinds)))
+            place[used] = self._places(kinds if len(used) == len(kinds) else [kinds[i] for i in used], " ")
+            place = place[at]
+            place[start[:-1]] = self._places([kinds[i] for i in head], "")
+            count = np.diff(start)
+            odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+            if len(odd):
+                own = [pieces(part[int(i)].as_py()) for i in odd]
+                own = [np.append(self._places(p[:1], ""), self._places([x[1:] for x in p[1:]], " ")) for p in own]
+                rows = np.split(place, start[1:-1])
+                for i, found in zip(odd, own):
+                    rows[i], count[i] = found, len(found)
+                place = np.concatenate(rows)
+            first = self.end[place]
+            size = self.end[place + 1] - first
+            ends = np.cumsum(size)
+            ids = self.ids[np.repeat(first - ends + size, size) + np.arange(size.sum())]
+            for own in np.split(ids, ends[np.cumsum(count)[:-1] - 1]):
+                yield np.append(own, np.uint32(end_id))
+
+
+@functools.cache
+def coder(name: str) -> Coder:
+    """One per worker: loading a vocabulary takes longer than coding many a small task's texts."""
+    return Coder(name)
 
 
 MANIFEST = "part int, file string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -191,7 +284,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
     ranged = rows.repartitionByRange(*[F.asc(c) for c in order]).sortWithinPartitions(*order).select("k", "t")
 
     def work(batches):
-        coded = encoder(tokenizer, end_id)
+        coded = functools.partial(coder(tokenizer).code, end_id=end_id)
         part = TaskContext.get().partitionId()
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
@@ -203,7 +296,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
 
         def rows():
             for batch in itertools.chain([first], batches):
-                yield from zip(batch.column(0).to_pylist(), coded(batch.column(1).to_pylist()))
+                yield from zip(batch.column(0).to_pylist(), coded(batch.column(1)))
 
         with disk.open_output_stream(f"{root}/{name}") as out:
             n_docs, n_ids = write_file(out, rows())

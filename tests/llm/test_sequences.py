@@ -142,15 +142,19 @@ def _empty():
     return out.getvalue()
 
 
-def test_pieces_keep_the_ids():
-    tokenizer = token_files.load_tokenizer(token_files.TOKENIZER)
+def test_coder_keeps_the_ids(monkeypatch):
+    """Whatever is cut, remembered or forgotten, the ids are those of the whole text."""
+    coder = token_files.Coder(token_files.TOKENIZER)
     rng = random.Random(2)
-    text = "".join(rng.choice(["word", " ", "  ", "\n", "é", "7", "!", "'s", " the", "\t x"]) for _ in range(3000))
-    for size in (1, 10, 500):
-        cut = list(token_files.pieces(text, size))
-        assert "".join(cut) == text
-        ids = [i for p in cut for i in tokenizer.encode(p, add_special_tokens=False).ids]
-        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+    parts = ["word", " ", "  ", "\n", "é", "7", "!", "'s", " the", "\t x", "\u00a0", "\x1c", "\u2003 ", " a", "\0", " Th'll"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 2, 5, 60]))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(["alpha", "b,", "c!"]) for _ in range(20_000)), None, ""]
+    want = [[*tokenized.ids, 2] for tokenized in coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert all("".join(token_files.pieces(t)) == t for t in texts if t)
+    for size, kept in ((1 << 23, 1 << 20), (50, 1 << 20), (500, 10)):
+        monkeypatch.setattr(token_files, "BYTES", size)
+        monkeypatch.setattr(token_files, "KEPT", kept)
+        assert [ids.tolist() for ids in coder.code(pa.array(texts), 2)] == want
 
 
 def test_token_files_by_brute_force(spark):
@@ -160,7 +164,7 @@ def test_token_files_by_brute_force(spark):
     table = spark.createDataFrame([(d, t, 1) for d, t in docs], f"{DOCS}, n_tokens int").repartition(5)
     manifest = token_files.write(table)
     got = [tuple(r) for r in token_files.read(manifest).orderBy("start").collect()]
-    tokenizer = token_files.load_tokenizer(token_files.TOKENIZER)
+    tokenizer = token_files.coder(token_files.TOKENIZER).tokenizer
     want = []
     for d, t in docs:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
