@@ -33,13 +33,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     widest, size = np.concatenate([_bits(values), np.zeros(60, np.uint8)]), 1
-    best = np.full(n, ESCAPE, np.uint8)
-    best[widest[:n] <= 60] = 14
+    best = ESCAPE - (widest[:n] <= 60).view(np.uint8)
     for selector in range(13, 0, -1):  # windows grow: the widest value of each comes from two shorter windows
         count = COUNTS[selector - 1]
         widest = np.maximum(widest[:len(widest) - (count - size)], widest[count - size:])
         size = count
-        best[widest[:n] <= WIDTHS[selector - 1]] = selector
+        best -= (widest[:n] <= WIDTHS[selector - 1]).view(np.uint8)  # what fits in a word fits in each with fewer places
     step = np.array([1, *COUNTS, 1], np.int64)[best]
     change = np.flatnonzero(np.append(values[1:] != values[:-1], True))
     if len(change) < n:

@@ -33,13 +33,14 @@ from tabloom.llm import common, simple8b
 from tabloom.session import staging_path
 
 MAGIC = b"TBS8B\x001\n"
-BLOCK = 1 << 13
-READ_BLOCKS = 64
+BLOCK = 1 << 15
+READ_BLOCKS = 16
 END_ID = 2
 KEPT = 1 << 20
 BYTES = 1 << 23
 TOKENIZER = "byte_bpe_50k.json"
 _DOUBLE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}] "
+_MARKS = ".,;:!?"
 _WORD = re.compile(r"\S+")
 _BEFORE = re.compile(r"(?<=\S)(?= )")
 
@@ -186,22 +187,38 @@ class Coder:
         return joined[~gap], np.diff(stop, prepend=-1) - 1
 
     def _learn(self, new: list[str], known: dict[str, int], blank: str) -> None:
-        words, other = [], []
+        """Keep the ids of new pieces. A word with marks behind has the ids of the word and then those of the marks."""
+        words, other, marked = [], [], []
         for piece in new:
-            (words if _WORD.fullmatch(piece) else other).append(piece)
+            bare = piece.rstrip(_MARKS)
+            if len(bare) < len(piece) and bare and bare[-1].isalnum() and _WORD.fullmatch(bare):
+                marked.append((piece, bare))
+            else:
+                (words if _WORD.fullmatch(piece) else other).append(piece)
         for part in (words, other):
             for a in range(0, len(part), 4096):
-                ids, sizes = self._coded([blank + p for p in part[a:a + 4096]])
-                first, stop = self.pieces, self.used + len(ids)
-                self.pieces += len(sizes)
-                while stop > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                while self.pieces >= len(self.end):
-                    self.end = np.concatenate([self.end, np.zeros_like(self.end)])
-                self.ids[self.used:stop] = ids
-                self.end[first + 1:self.pieces + 1] = self.used + np.cumsum(sizes)
-                known.update(zip(part[a:a + 4096], range(first, self.pieces)))
-                self.used = stop
+                self._keep(part[a:a + 4096], *self._coded([blank + p for p in part[a:a + 4096]]), known)
+        if marked:
+            place = np.stack([self._places([bare for _, bare in marked], blank),
+                              self._places([piece[len(bare):] for piece, bare in marked], "")], 1).ravel()
+            size = self.end[place + 1] - self.end[place]
+            self._keep([piece for piece, _ in marked], self._gather(place, size), size.reshape(-1, 2).sum(1), known)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray, known: dict[str, int]) -> None:
+        first, stop = self.pieces, self.used + len(ids)
+        self.pieces += len(sizes)
+        while stop > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.pieces >= len(self.end):
+            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+        self.ids[self.used:stop] = ids
+        self.end[first + 1:self.pieces + 1] = self.used + np.cumsum(sizes)
+        known.update(zip(pieces, range(first, self.pieces)))
+        self.used = stop
+
+    def _gather(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after another."""
+        return self.ids[np.repeat(self.end[place] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def _places(self, found: list[str], blank: str) -> np.ndarray:
         """Where the ids of each of some pieces are, that stand behind ``blank``; new ones are learned."""
@@ -252,11 +269,8 @@ class Coder:
                 for i, found in zip(odd, own):
                     rows[i], count[i] = found, len(found)
                 place = np.concatenate(rows)
-            first = self.end[place]
-            size = self.end[place + 1] - first
-            ends = np.cumsum(size)
-            ids = self.ids[np.repeat(first - ends + size, size) + np.arange(size.sum())]
-            for own in np.split(ids, ends[np.cumsum(count)[:-1] - 1]):
+            size = self.end[place + 1] - self.end[place]
+            for own in np.split(self._gather(place, size), np.cumsum(size)[np.cumsum(count)[:-1] - 1]):
                 yield np.append(own, np.uint32(end_id))
 
 
