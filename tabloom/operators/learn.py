@@ -10,11 +10,9 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,50 +152,6 @@ def dtree(label: str, seed: int = 66, **params) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(featuresCol="features", labelCol=label, seed=seed, **params)
 
 
-def tree_grid(tree: DecisionTreeClassifier, impurity: Sequence[str], depth: Sequence[int], leaf: Sequence[int]):
-    grid = ParamGridBuilder()
-    grid = grid.addGrid(tree.impurity, list(impurity)).addGrid(tree.maxDepth, list(depth))
-    return grid.addGrid(tree.minInstancesPerNode, list(leaf)).build()
-
-
-def _settings(params) -> str:
-    return ", ".join(sorted(f"{p.name}={v}" for p, v in params.items()))
-
-
-def grid_search(
-    df: DataFrame, tree: DecisionTreeClassifier, grid, label: str, folds: int, fold_col: str, parallelism: int = 4
-) -> DataFrame:
-    """(params, score, is_best): mean accuracy over given folds for each setting."""
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    search = CrossValidator(
-        estimator=tree, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol=fold_col,
-        parallelism=parallelism,
-    )
-    return _scores(df, grid, search.fit(df).avgMetrics)
-
-
-def grid_shuffle(
-    df: DataFrame, splits: Sequence[Column], tree: DecisionTreeClassifier, grid, label: str
-) -> DataFrame:
-    """(params, score, is_best): mean accuracy over splits, each an expression that is true for training rows."""
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    sums = [0.0] * len(grid)
-    for is_train in splits:
-        # Each split is read once and used by every setting.
-        part = df.withColumn("is_train", is_train).persist()
-        train, test = part.filter("is_train"), part.filter(~F.col("is_train"))
-        for j, model in tree.fitMultiple(train, grid):
-            sums[j] += judge.evaluate(model.transform(test))
-        part.unpersist()
-    return _scores(df, grid, [s / len(splits) for s in sums])
-
-
-def _scores(df: DataFrame, grid, scores: Sequence[float]) -> DataFrame:
-    best = max(scores)
-    rows = [(_settings(g), float(s), bool(s == best)) for g, s in zip(grid, scores)]
-    return inline_table(df.sparkSession, rows, "params string, score double, is_best boolean")
-
-
 def mlp(label: str, inputs: int, classes: int = 2, hidden: Sequence[int] = (6, 6), **params):
     """A small network: two hidden layers of six and one output per class."""
     return MultilayerPerceptronClassifier(

@@ -75,8 +75,11 @@ def train_test_split(df: DataFrame, key: str, test_share: float = 0.3, seed: int
 
 def kfold(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """Add ``fold`` in 0..k-1."""
-    fold = F.floor(key_hash(F.col(key), seed) * k / MODULUS).cast("int")
-    return df.withColumn("fold", fold)
+    return df.withColumn("fold", fold_of(F.col(key), k, seed))
+
+
+def fold_of(key: Column, k: int, seed: int = 0) -> Column:
+    return F.floor(key_hash(key, seed) * k / MODULUS).cast("int")
 
 
 def split_flags(key: str, splits: int = 10, test_share: float = 0.3, seeds: Sequence[int] | None = None) -> list[Column]:

@@ -10,6 +10,7 @@ from tabloom.operators import encode as en
 from tabloom.operators import learn as ml
 from tabloom.operators import sampling as sa
 from tabloom.operators import stats as st
+from tabloom.operators import trees as tr
 from tabloom.plans.registry import hash_sql, query, table
 from tabloom.plans.text import _STOP_SQL
 from tabloom.plans.views import BINNED_SQL, facts_view
@@ -201,20 +202,92 @@ def dtree_deep(spark, sf_dir):
     return st.classification_report(test, "high", "prediction")
 
 
+# The axes of the two grids, numbers of folds and splits, and their seeds.
+_SEARCH = tr.settings(["gini", "entropy"], [5, 10, 20, 25, 30], [2, 10, 20], [1, 5, 10], [2, 5, 10, 20])
+_WIDE = tr.settings(["gini", "entropy"], [4, 5, 6, 10, 15, 20], [2, 10, 20, 30], [1, 5, 10], [2, 5, 10, 20])
+_FOLDS, _WIDE_FOLDS, _SPLITS, _FOLD_SEED = 10, 5, 10, 1
+
+
+def _searched(spark, sf_dir, grid, folds, features=_ORDER_FEATURES):
+    """The training rows, their bins, the score of each setting over folds of them, and the best setting."""
+    rows = order_features(spark, sf_dir).filter(_train("o_orderkey"))
+    binned = tr.bins(rows, features)
+    fold = sa.fold_of(F.col("o_orderkey"), folds, _FOLD_SEED)
+    scores, best = tr.grid_search(rows, features, "high", grid, fold, folds, binned=binned)
+    return rows, binned, scores, best
+
+
 @query("grid_search")
 def grid_search(spark, sf_dir):
-    rows = sa.kfold(ml.assemble(order_features(spark, sf_dir), _ORDER_FEATURES), "o_orderkey", 3)
-    rows = rows.select("features", "high", "fold")
-    tree = ml.dtree("high")
-    return ml.grid_search(rows, tree, ml.tree_grid(tree, ["gini", "entropy"], [3, 5], [1, 20]), "high", 3, "fold")
+    """All 360 settings over 10 folds."""
+    rows, _, scores, _ = _searched(spark, sf_dir, _SEARCH, _FOLDS)
+    return tr.scores_table(rows, _SEARCH, scores)
+
+
+@query("grid_search_wide")
+def grid_search_wide(spark, sf_dir):
+    """All 576 settings of the second grid over 5 folds."""
+    rows, _, scores, _ = _searched(spark, sf_dir, _WIDE, _WIDE_FOLDS)
+    return tr.scores_table(rows, _WIDE, scores)
+
+
+def best_tree_scores(spark, sf_dir):
+    """Test orders with their class and the score of the best setting's tree, fitted on all training rows."""
+    rows, binned, _, best = _searched(spark, sf_dir, _WIDE, _WIDE_FOLDS)
+    tree = tr.fit(rows, _ORDER_FEATURES, "high", best, binned)
+    test = order_features(spark, sf_dir).filter(~_train("o_orderkey"))
+    return test.select("o_orderkey", "high", tree.predicted().alias("predicted"), tree.score(1.0).alias("score"))
+
+
+@query("grid_best_roc")
+def grid_best_roc(spark, sf_dir):
+    return st.roc_points(best_tree_scores(spark, sf_dir), "high", "score")
+
+
+@query("grid_best_auc")
+def grid_best_auc(spark, sf_dir):
+    return st.auc(best_tree_scores(spark, sf_dir), "high", "score")
 
 
 @query("grid_shuffle")
 def grid_shuffle(spark, sf_dir):
-    rows = ml.assemble(order_features(spark, sf_dir), _ORDER_FEATURES).select("o_orderkey", "features", "high")
-    splits = sa.split_flags("o_orderkey", splits=3)
-    tree = ml.dtree("high")
-    return ml.grid_shuffle(rows, splits, tree, ml.tree_grid(tree, ["gini", "entropy"], [3, 5], [1, 20]), "high")
+    """All 576 settings of the second grid over 10 random splits of the training rows."""
+    rows = order_features(spark, sf_dir).filter(_train("o_orderkey"))
+    splits = tr.mask(sa.split_flags("o_orderkey", splits=_SPLITS))
+    scores, _ = tr.grid_search(rows, _ORDER_FEATURES, "high", _WIDE, splits, _SPLITS, masks=True)
+    return tr.scores_table(rows, _WIDE, scores)
+
+
+_STUMPS = tr.settings(["gini", "entropy"], [1], [2], [1], [2])
+_ENTROPY = "coalesce({p} * ln({p} / nullif({n}, 0)), 0)"
+_STUMP_GRID_SQL = f"""
+    WITH o AS (SELECT month(o_orderdate::DATE) AS month, dayofweek(o_orderdate::DATE) + 1 AS weekday,
+        (o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INTEGER AS high,
+        {hash_sql("o_orderkey", _FOLD_SEED)} * {_WIDE_FOLDS} // 4294967296 AS fold
+        FROM orders WHERE {_HASH.format(k='o_orderkey')} < {_LIMIT}),
+      c AS (SELECT k, f, v, sum(high) AS p, count(*) AS n FROM (
+          SELECT fold, 'month' AS f, month AS v, high FROM o UNION ALL SELECT fold, 'weekday', weekday, high FROM o),
+          range({_WIDE_FOLDS}) r(k) WHERE fold <> k GROUP BY ALL),
+      s AS (SELECT k, f, v, sum(p) OVER w AS lp, sum(n) OVER w AS ln, sum(p) OVER (PARTITION BY k, f) AS tp, sum(n) OVER (PARTITION BY k, f) AS tn
+        FROM c WINDOW w AS (PARTITION BY k, f ORDER BY v)),
+      g AS (SELECT *, tp - lp AS rp, tn - ln AS rn FROM s WHERE ln < tn),
+      i AS (SELECT *, 'gini' AS criterion, lp * (ln - lp) / ln + rp * (rn - rp) / rn AS impurity FROM g
+        UNION ALL SELECT *, 'entropy', -({' + '.join(
+            _ENTROPY.format(p=p, n=n) for p, n in [("lp", "ln"), ("(ln - lp)", "ln"), ("rp", "rn"), ("(rn - rp)", "rn")])}) FROM g),
+      b AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY k, criterion ORDER BY round(impurity, 9), f, v) = 1),
+      a AS (SELECT criterion, k, avg((high = CASE WHEN CASE f WHEN 'month' THEN month ELSE weekday END <= v
+          THEN (2 * lp > ln)::INTEGER ELSE (2 * rp > rn)::INTEGER END)::INTEGER) AS score FROM o JOIN b ON fold = k GROUP BY ALL),
+      t AS (SELECT criterion, round(avg(score), 9) AS score FROM a GROUP BY criterion)
+    SELECT 'criterion=' || criterion || ', max_depth=1, min_split=2, min_leaf=1, max_leaves=2' AS params, score,
+      row_number() OVER (ORDER BY score DESC, criterion DESC) = 1 AS is_best FROM t
+"""
+
+
+@query("grid_stump", _STUMP_GRID_SQL)
+def grid_stump(spark, sf_dir):
+    """Trees of one split, which SQL can find too."""
+    rows, _, scores, _ = _searched(spark, sf_dir, _STUMPS, _WIDE_FOLDS, ["month", "weekday"])
+    return tr.scores_table(rows, _STUMPS, [round(s, 9) for s in scores])
 
 
 @query("mlp")
