@@ -287,14 +287,14 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
           folder: str | None = None) -> DataFrame:
     """Write the ids of every ``text`` and return the manifest: part, file, n_docs, n_ids and n_bytes of each file.
 
-    Documents are ordered by ``key``, null first, repeated keys by a hash of the text; a hot key is parted by that hash
-    and by row. A null or empty text has the end id alone. ``key`` is a whole number. An empty table has no files.
+    Documents are ordered by ``key``, null first, and rows of one key by their place in the table, so a hot key may span
+    several files. A null or empty text has the end id alone. ``key`` is a whole number. An empty table has no files.
     """
     spark = docs.sparkSession
     folder = folder or staging_path(spark, "token-files")
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"),
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"),
                        F.monotonically_increasing_id().alias("r"))
-    order = ["k", "h", "r"]
+    order = ["k", "r"]  # needs no text, so the ranges are found from the keys alone
     ranged = rows.repartitionByRange(*[F.asc(c) for c in order]).sortWithinPartitions(*order).select("k", "t")
 
     def work(batches):
