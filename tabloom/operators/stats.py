@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.operators.ordered import BLOCK_ROWS, running_sums, split_long
@@ -259,7 +260,8 @@ def roc_points(df: DataFrame, label: str, score: str, block_rows: int = BLOCK_RO
         F.try_divide(F.col("fp"), total["n"]).alias("fpr"),
         F.try_divide(F.col("tp"), total["p"]).alias("tpr"),
     )
-    start = inline_table(df.sparkSession, [(None, 0.0, 0.0)], points.schema)
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in points.schema])
+    start = inline_table(df.sparkSession, [(None, 0.0, 0.0)], nullable)
     return start.unionByName(points)
 
 
