@@ -145,6 +145,16 @@ def pieces(text: str) -> list[str]:
     return _BEFORE.split(text) if text else []
 
 
+def _byte_spelling() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the others from code point 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+_SPELLING = _byte_spelling()
+
+
 class Coder:
     """Ids of texts by a tokenizer file, given by its path or by its name among the public vocabularies of the worker.
 
@@ -186,15 +196,24 @@ class Coder:
         stop = np.append(np.flatnonzero(gap), len(joined))
         return joined[~gap], np.diff(stop, prepend=-1) - 1
 
+    def _spelled(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of letters alone, which are one word to the model: it gets them as it spells bytes."""
+        spelled = "\n".join(new).encode("utf-8", "surrogatepass").decode("latin-1").translate(_SPELLING).split(_SPELLING[10])
+        coded = [[t.id for t in self.tokenizer.model.tokenize(p)] for p in spelled]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
     def _learn(self, new: list[str], known: dict[str, int], blank: str) -> None:
         """Keep the ids of new pieces. A word with marks behind has the ids of the word and then those of the marks."""
-        words, other, marked = [], [], []
+        letters, words, other, marked = [], [], [], []
         for piece in new:
             bare = piece.rstrip(_MARKS)
             if len(bare) < len(piece) and bare and bare[-1].isalnum() and _WORD.fullmatch(bare):
                 marked.append((piece, bare))
             else:
-                (words if _WORD.fullmatch(piece) else other).append(piece)
+                (letters if piece.isalpha() else words if _WORD.fullmatch(piece) else other).append(piece)
+        if letters:
+            self._keep(letters, *self._spelled([blank + p for p in letters]), known)
         for part in (words, other):
             for a in range(0, len(part), 4096):
                 self._keep(part[a:a + 4096], *self._coded([blank + p for p in part[a:a + 4096]]), known)
