@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,16 +12,18 @@ from tabloom.functions import text as ft
 from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
 from tabloom.operators import text as ot
-from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL, analytics_events, event_time, events_of_raw
+from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL, analytics_events, event_time, events_of_raw, raw_events
 from tabloom.plans.registry import query, spread, table
 from tabloom.plans.rollups import _GENRES_SQL, rollups_sql
 from tabloom.plans.text import _FREQ, _WORDS
 from tabloom.plans.views import AS_OF_YEAR, BINNED_SQL, FACTS, RAW_SQL, as_facts, as_raw, facts_view, raw_view
 from tabloom.session import staging_path
-from tabloom.sources import readers, writers
+from tabloom.sources import readers, topics, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv as dirty
 from tabloom.sources.inline import inline_table as literal
+from tabloom.streaming import backoff, replay
 from tabloom.streaming import publish as pb
+from tabloom.streaming.intake import row_stream
 
 _LINES = "string_split_regex(text, '\\r\\n|\\r|\\n')"
 
@@ -179,8 +183,8 @@ def sink_kv_text(spark, sf_dir):
 def sink_events(spark, sf_dir):
     path = staging_path(spark, "events")
     movies = ev.movie_events(facts_view(spark, sf_dir), event_time())
-    writers.sink_events(movies.unionByName(analytics_events(spark, sf_dir)), path)
-    return spark.read.parquet(path).groupBy("topic").agg(F.count("*").alias("n"))
+    topics.write_batch(movies.unionByName(analytics_events(spark, sf_dir)), path, "first")
+    return topics.read(spark, path).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @query("byte_budget_extract", """
@@ -224,6 +228,26 @@ def stream_dead_letter(spark, sf_dir):
     return pb.publish_stream(spark, events, "dead-letters").select("row_key", "topic")
 
 
+@query("stream_replay", f"""
+    SELECT DISTINCT 'movie-' || v::BIGINT || '-{_EPOCH}' AS key, 'movie-events-raw' AS topic FROM ({_FAULT_SQL})
+    WHERE reason = 'missing title' AND v NOT IN (SELECT v FROM ({_FAULT_SQL}) WHERE reason IS NULL)
+""")
+def stream_replay(spark, sf_dir):
+    """Every dead letter arrives twice, and once more for a second run of the stream; each goes out once."""
+    events = staging_path(spark, "raw-events")
+    raw_events(spark, sf_dir).write.partitionBy("topic").parquet(events)
+    known = spark.read.parquet(events)
+    dead = known.where(F.col("topic") == ev.DEAD_LETTER_TOPIC)
+    source, out, progress = (staging_path(spark, n) for n in ("dead-letters", "replayed", "replay-progress"))
+    for copies in (2, 1):
+        for _ in range(copies):
+            dead.write.mode("append").parquet(source)
+        stream = pb.stream_table(spark, source)
+        published = known.where(F.col("topic") == ev.RAW_TOPIC)
+        replay.replay_stream(stream, lambda: published, F.col("reason") == "invalid id", out, progress).awaitTermination()
+    return spark.read.parquet(out).select("key", "topic")
+
+
 @query("stream_subscription", f"""
     SELECT 'movie-events-all' AS subscription, id FROM ({_ATTR_SQL})
     UNION ALL SELECT 'movie-events-high-rated', id FROM ({_ATTR_SQL}) WHERE rating_tier = 'high'
@@ -252,15 +276,26 @@ def windowed_counts(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query("throttled_intake", "SELECT count(*) AS n, ceil(count(DISTINCT ts::DATE) / 4)::BIGINT AS batches FROM events")
+_BATCH_ROWS = 3000
+
+
+@query("throttled_intake", f"""
+    SELECT count(*) AS n, ceil(count(*) / {_BATCH_ROWS})::BIGINT AS batches, least(count(*), {_BATCH_ROWS}) AS largest FROM events
+""")
 def throttled_intake(spark, sf_dir):
-    """One file a day, four files in flight."""
-    source = staging_path(spark, "intake")
-    events = table(spark, sf_dir, "events").select(
-        "event_id", F.lit("movie-events-raw").alias("topic"), F.col("ts").cast("date").alias("day"))
-    events.repartition("day").write.partitionBy("day").parquet(source)
-    written = pb.publish_stream(spark, pb.throttled_intake(spark, source, workers=2), "throttled")
-    return written.agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
+    """Files of any size, batches of a fixed number of messages."""
+    source, out, progress = (staging_path(spark, n) for n in ("intake", "throttled", "throttled-progress"))
+    events = table(spark, sf_dir, "events").select("event_id", F.lit("movie-events-raw").alias("topic"))
+    events.repartitionByRange(3, "event_id").write.parquet(source)
+    stream = row_stream(spark, source, _BATCH_ROWS, progress)
+    run = stream.writeStream.foreachBatch(pb.publish_to(out)).option("checkpointLocation", progress)
+    query = run.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    sizes = spark.read.parquet(out).groupBy("batch").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("n"), F.count("*").alias("batches"), F.max("n").alias("largest"))
 
 
 _RETRY_SQL = """
@@ -282,17 +317,19 @@ def retry_publish(spark, sf_dir):
 
 @query("stream_retry", _RETRY_SQL)
 def stream_retry(spark, sf_dir):
-    """The same sink behind a stream: each batch is delivered with its retries."""
+    """The same sink behind a stream: refused events wait for their timers, the others go through at once."""
     orders = pb.stream_table(spark, sf_dir, "orders.parquet")
     events = ev.movie_events(as_facts(orders), event_time(), keep=["id"])
-    path = staging_path(spark, "retried")
+    tried, settled, first, later = (staging_path(spark, n) for n in ("tried", "settled", "tried-progress", "settled-progress"))
 
-    def deliver(rows, attempt):
-        return rows.withColumn("ok", F.col("id") % 7 <= attempt)
+    def deliver(keys, rows, attempt):
+        return [json.loads(row)["id"] % 7 <= attempt for row in rows]
 
-    handle = pb.publish_with_retries(path, deliver, event_time(), pause=None)
-    pb.run_stream(events, handle, staging_path(spark, "retried-progress")).awaitTermination()
-    return spark.read.parquet(path).select("id", "attempts", "outcome", "topic")
+    backoff.first_attempt(events, deliver, tried, first).awaitTermination()
+    query = backoff.later_attempts(tried, deliver, settled, later, spark, base=0.2, every="0 seconds")
+    backoff.stop_when_idle(query)
+    out = backoff.outcomes(spark.read.parquet(tried), spark.read.parquet(settled), events.schema, event_time())
+    return out.select("id", "attempts", "outcome", "topic")
 
 
 _FACT_COLUMNS = ["id", "release_year", "release_decade", "vote_average", "revenue", "runtime", "adult", "rating_bin",
@@ -353,8 +390,8 @@ def film_job_events(spark, sf_dir):
     movies = ev.movie_events(_job_facts(spark, folder), event_time())
     totals = ev.analytics_events(rollups, event_time(), ro.grand_total(rollups).scalar())
     path = staging_path(spark, "film-events")
-    writers.sink_events(movies.unionByName(totals), path)
-    return spark.read.parquet(path).select("key", "topic")
+    topics.write_batch(movies.unionByName(totals), path, "film-job")
+    return topics.read(spark, path).select("key", "topic")
 
 
 @query("word_counts_csv", f"SELECT word, \"count\", row_number() OVER (ORDER BY \"count\" DESC, word) AS place FROM ({_FREQ})")

@@ -27,11 +27,6 @@ def sink_kv_text(counts: DataFrame, path: str, key: str = "word", value: str = "
     spread.write.mode("overwrite").options(**plain).csv(path)
 
 
-def sink_events(events: DataFrame, path: str) -> None:
-    """Envelopes in one folder per topic, so a reader of one topic reads nothing else."""
-    events.write.mode("overwrite").partitionBy("topic").parquet(path)
-
-
 def kafka_rows(events: DataFrame) -> DataFrame:
     """The columns a Kafka sink takes: topic, key, value and headers."""
     headers = F.transform(

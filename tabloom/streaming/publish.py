@@ -7,7 +7,6 @@ once.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from tabloom.session import staging_path
 
 # Publishing defaults.
 BATCH_WAIT = "10 seconds"
-MAX_RETRIES, BACKOFF_BASE, WORKERS = 3, 2, 5
+MAX_RETRIES, BACKOFF_BASE = 3, 2
 
 
 def stream_table(
@@ -32,11 +31,6 @@ def stream_table(
     return reader.parquet(folder)
 
 
-def throttled_intake(spark: SparkSession, folder: str, workers: int = WORKERS) -> DataFrame:
-    """Stream with at most twice as many files in flight as there are workers."""
-    return stream_table(spark, folder, files_per_trigger=2 * workers)
-
-
 def run_stream(
     events: DataFrame,
     handle: Callable[[DataFrame, int], None],
@@ -152,22 +146,3 @@ def retry_publish(
 def backoff_seconds(attempt: int) -> float:
     """Wait before a retry; the first try has none."""
     return 0.0 if attempt == 0 else float(BACKOFF_BASE**attempt)
-
-
-def publish_with_retries(
-    path: str,
-    deliver: Callable[[DataFrame, int], DataFrame],
-    failed_at: Column,
-    max_retries: int = MAX_RETRIES,
-    pause: Callable[[float], None] | None = time.sleep,
-) -> Callable[[DataFrame, int], None]:
-    """Batch handler that delivers with retries and writes outcomes by topic below ``path``.
-
-    A batch that is repeated after a failure is delivered again, so the sink must know events by their key.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        done = retry_publish(batch, deliver, failed_at, max_retries, pause)
-        done.write.mode("overwrite").partitionBy("topic").parquet(f"{path}/batch={batch_id}")
-
-    return handle
