@@ -15,7 +15,6 @@ from tabloom.llm import common
 MIN_SITES = 10
 NEAR = 0.2
 LG_K = 10
-MOST = 0.5
 
 
 def line_hash(line: Column) -> Column:
@@ -44,13 +43,13 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
         exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def strip(docs: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_removed`` appended.
+def strip(docs: DataFrame, min_sites: int = MIN_SITES, counters: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, and with ``counters`` ``n_lines`` and ``n_removed``.
 
-    A document that would lose more than the share ``most`` of its characters is left whole. Without ``most`` only
-    one that would lose all its lines is: of a text that stands on ``min_sites`` sites every line does, so its copies
-    are among these, and near-duplicate removal decides on them. Null text stays null with no lines, and blank
-    lines stay. Rows that repeat are treated alike. ``n_chars``, if there is one, follows the text.
+    A document that would lose all its lines but blank ones is left whole: of a text that stands on ``min_sites`` sites
+    every line does, so its copies are among these, and near-duplicate removal decides on them. Null text stays null
+    with no lines, and blank lines stay. Rows that repeat are treated alike. ``n_chars``, if there is one, follows the
+    text. The counters take the place of columns of their names.
     """
     keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64("doc_id", "source", "text").alias("__key"),
                         F.col("text").alias("__text"))
@@ -63,18 +62,19 @@ def strip(docs: DataFrame, min_sites: int = MIN_SITES, most: float | None = MOST
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bad", line_hash(x)), F.lit(False)))
     both = both.select("__row", "__text", F.size(lines).alias("__all"),
                        F.when(F.col("__bad").isNotNull(), kept).alias("__kept"))
-    new = F.array_join("__kept", "\n")
-    left = F.exists("__kept", lambda x: line_hash(x).isNotNull())
-    cut = F.col("__kept").isNotNull() & (left if most is None else F.length(new) >= (1 - most) * F.length("__text"))
-    both = both.withColumn("__cut", cut).withColumn("__new", F.when(F.col("__cut"), new).otherwise(F.col("__text")))
+    cut = F.col("__kept").isNotNull() & F.exists("__kept", lambda x: line_hash(x).isNotNull())
+    both = both.withColumn("__cut", cut).withColumn(
+        "__new", F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(F.col("__text")))
     changed = {"text": F.col("__new")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("__cut"), F.length("__new")).otherwise(F.col("__row.n_chars")).cast(
             docs.schema["n_chars"].dataType)
-    columns = [changed.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns]
-    n_lines = F.when(F.col("__text").isNull(), 0).otherwise(F.col("__all")).cast("long")
-    gone = F.when(F.col("__cut"), F.col("__all") - F.size("__kept")).otherwise(0).cast("long")
-    return both.select(*columns, n_lines.alias("n_lines"), gone.alias("n_removed"))
+    counted = {}
+    if counters:
+        counted["n_lines"] = F.when(F.col("__text").isNull(), 0).otherwise(F.col("__all")).cast("long")
+        counted["n_removed"] = F.when(F.col("__cut"), F.col("__all") - F.size("__kept")).otherwise(0).cast("long")
+    columns = [changed.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns if c not in counted]
+    return both.select(*columns, *[c.alias(name) for name, c in counted.items()])
 
 
 ORACLE = f"""
@@ -89,10 +89,8 @@ bare AS (
 bad AS (SELECT line FROM bare WHERE line IS NOT NULL GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 cut AS (
   SELECT rn, count(*) AS kept, string_agg(raw, chr(10) ORDER BY i) AS new
-  FROM bare WHERE line IS NULL OR line NOT IN (SELECT line FROM bad) GROUP BY rn)
-SELECT doc_id, len(parts) :: BIGINT AS n_lines,
-       CASE WHEN length(coalesce(new, '')) >= {1 - MOST} * length(text)
-            THEN len(parts) - coalesce(kept, 0) ELSE 0 END :: BIGINT AS n_removed,
-       CASE WHEN length(coalesce(new, '')) >= {1 - MOST} * length(text) THEN coalesce(new, '') ELSE text END AS text
+  FROM bare WHERE line IS NULL OR line NOT IN (SELECT line FROM bad) GROUP BY rn HAVING count(line) > 0)
+SELECT doc_id, len(parts) :: BIGINT AS n_lines, len(parts) - coalesce(kept, len(parts)) :: BIGINT AS n_removed,
+       coalesce(new, text) AS text
 FROM docs LEFT JOIN cut USING (rn)
 """

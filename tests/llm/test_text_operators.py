@@ -214,12 +214,18 @@ def test_mostly_boilerplate_loses_its_lines(spark):
     rows = [(i, f"{rule}\nown {i}\n", "en", f"s{i}") for i in range(12)] + [(50 + i, f"{rule}\n\nSame page everywhere.", "en", f"s{i}") for i in range(12)]
     d = docs(spark, [*rows, (90, f"{rule}\n \n", "en", "s1"), (91, None, "en", "s1"), (92, f"{rule}\nSame page everywhere.\nx", "en", "s2")])
     d = d.withColumn("n_chars", F.length("text").cast("long"))
-    by = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.strip(d, most=None).collect()}
+    by = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.strip(d).collect()}
     assert all(by[i] == (f"own {i}\n", 1) for i in range(12)) and by[92] == ("x", 2)
     assert all(by[50 + i] == (rows[12 + i][1], 0) for i in range(12))  # copies of one page on 12 sites
     assert by[90] == (f"{rule}\n \n", 0) and by[91] == (None, 0)
     staged = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, d, "").collect()}
     assert staged == {i: t for i, (t, _) in by.items()}
+    clash = d.withColumns({"n_lines": F.lit("mine"), "n_removed": F.lit(None), "line": F.lit(1), "site": F.lit(2)})
+    out = line_dedup.strip(clash)
+    assert out.columns == [*d.columns, "line", "site", "n_lines", "n_removed"]
+    assert {r.doc_id: (r.text, r.n_removed) for r in out.collect()} == by
+    staged = corpus_pipeline.line_stage(spark, clash, "")
+    assert staged.columns == clash.columns and {(r.n_lines, r.n_removed) for r in staged.collect()} == {("mine", None)}
 
 
 def test_line_removal_agrees_with_sql(spark, sf_dir, tmp_path):
