@@ -6,9 +6,9 @@ its pages show there, and of its contents. A place that looks and reads the same
 template, and its branch is left out of each page; what the page itself marks as menu, header, footer, sidebar, notice,
 advert, form or comments never counts as text.
 
-Pages that are copies of each other count once in the tree, and plain paragraphs that stand straight in the page's own
-article are its content however often the article is published, so copies and quotations are not mistaken for
-template. Hosts with fewer than `MIN_PAGES` different pages give no evidence, and nothing is removed by the tree there.
+Pages with the same text count once in the tree, whatever stands around it, and unstyled paragraphs and headings that
+stand straight in the page's own article are its content however often the article is published, so copies and quotations
+are not mistaken for template. On all else in the article, its sections, lists, tables and boxes, the tree decides. Hosts with fewer than `MIN_PAGES` different pages give no evidence, and nothing is removed by the tree there.
 """
 
 from __future__ import annotations
@@ -41,19 +41,39 @@ _NEVER = {"head", "script", "style", "noscript", "template", "iframe", "svg", "m
           "search", "title", "fieldset", "noembed", "noframes", "xmp", "applet", "map"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu",
           "menubar", "toolbar"}
-_CHROME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|submenu|topbar|breadcrumbs?|header|masthead|footer|foot|colophon|copyright"
-    r"|sidebar|side|aside|rail|widgets?|related|recommend(?:ed|ations)?|trending|popular|share|sharing|social|follow"
-    r"|ads?|adv|adverts?|advertisements?|adsense|banner|promo(?:tion)?s?|sponsor(?:ed)?s?|commercial|teaser"
-    r"|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|login"
-    r"|search|form|comments?|commentlist|disqus|replies|reply|respond|discussion|pager|pagination|tags|toolbar|skip)(?:$|[\s_-])")
-_ABOUT = re.compile(r"(?:^|[\s_-])(?:has|with|without|no|is|comments?-(?:open|closed))[\w-]*")  # says what is beside it, not what it is
+# A class or id name marks its element if each of its words is one of these or merely says where or how, and one is of these.
+_PURPOSES = set("""nav navbar navigation menu submenu topbar breadcrumb breadcrumbs header masthead footer foot colophon copyright
+    sidebar side aside rail widget widgets related recommend recommended recommendation recommendations trending popular share
+    sharing social follow ad ads adv advert adverts advertisement advertisements adsense banner promo promos promotion promotions
+    sponsor sponsors sponsored commercial teaser cookie cookies consent gdpr notice notices notification notifications alert popup
+    modal overlay newsletter subscribe subscription signup login search form comment comments commentlist disqus replies reply
+    respond discussion pager pagination tags toolbar skip""".split())
+_PLACES = set("""site main page top bottom left right upper lower global local mobile desktop primary secondary first last sticky
+    fixed floating inner outer wrapper wrap container box block area section panel group row col column bar list item items link
+    links button buttons icon icons slot unit zone label title more us me up down in on to the and by post posts article entry
+    story blog content body text media web js ui id new meta info inline""".split())
+_OWN_HEAD = {"article", "post", "entry", "story", "content", "body", "text"}
+_ABOUT = re.compile(r"(?:has|with|without|no|is)[-_].*|comments?[-_](?:open|closed)", re.S)  # says what is beside it, not what it is
 _CAMEL = re.compile(r"([a-z])([A-Z])")
-_PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table", "thead", "tbody", "tr",
-          "td", "th", "dl", "dt", "dd", "figure", "figcaption", "section", "article", "main", "div", "hgroup", "header"}
+_OWN = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 _SPACE = re.compile(r"\s+")
 
 
+def marked(name: str, inside: bool) -> bool:
+    """Whether one class or id name says that its element is something other than content.
+
+    A header of an article, by its name or because it stands inside one, holds the title and counts.
+    """
+    name = _CAMEL.sub(r"\1-\2", name).lower()
+    if _ABOUT.fullmatch(name):
+        return False
+    words = {w for w in re.split(r"[^a-z]+", name) if len(w) > 1}
+    purposes = words & _PURPOSES
+    if purposes == {"header"} and (inside or words & _OWN_HEAD):
+        return False
+    return bool(purposes) and words <= _PURPOSES | _PLACES
+
+
 def _style(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
     """The element's style and whether it is marked as something other than content.
 
@@ -69,9 +89,7 @@ def _style(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
         r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
     chrome = never or role in _ROLES or bool(hidden)
     if name and tag not in ("html", "body", "main"):
-        words = _ABOUT.sub(" ", _CAMEL.sub(r"\1-\2", name).lower())
-        words = words.replace("header", "") if inside else words
-        chrome = chrome or bool(_CHROME.search(words))
+        chrome = chrome or any(marked(n, inside) for n in name.split(" "))
     return f"{tag}.{name}#{role}" if name or role else tag, chrome
 
 
@@ -146,8 +164,8 @@ def parse(page: str | None) -> list[tuple[str, str, str, bool, bool, bool]]:
             continue
         up = stack[-1] if stack else ("", "", False, False, True)
         inside = up[3] or tag in ("article", "main")
-        plain = (up[4] or tag in ("article", "main")) and (tag not in _BLOCK or tag in _PLAIN and style == tag
-                                                           or tag in ("article", "main", "html", "body"))
+        plain = tag in ("article", "main") or up[4] and tag not in _BLOCK or (
+            up[0] in ("article", "main") and tag in _OWN and style == tag)
         path = f"{up[1]}/{style}" if tag in _BLOCK else up[1]
         stack.append((tag, path, chrome, inside, plain))
     flush()
@@ -162,7 +180,7 @@ _BLOCKS = "array<struct<path: long, parent: long, content: long, fixed: boolean,
 
 
 def _parsed(pages):
-    out = []
+    out, articles = [], []
     for page in pages:
         found = parse(page)
         main = any(inside and not chrome for _, _, _, chrome, inside, _ in found)
@@ -172,7 +190,8 @@ def _parsed(pages):
             fixed = bool(use and inside and plain)
             rows.append((_hash(path), _hash(parent), _hash(text), fixed, text if use else None))
         out.append(rows)
-    return [out]
+        articles.append(_hash("\n".join(r[4] for r in rows if r[4] is not None)))
+    return [out, articles]
 
 
 def template_places(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -212,11 +231,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]+)", 1))
     key = F.xxhash64("url", "html")
-    rows = pages.select("page_id", "url", F.when(host != "", host).alias("host"), F.xxhash64("html").alias("page"),
-                        key.alias("key"), "html")
+    rows = pages.select("page_id", "url", F.when(host != "", host).alias("host"), key.alias("key"), "html")
     # blocks take more memory than html: a few pages at a time
     parsed = common.staged(common.map_texts(
-        rows, ["page_id", "url", "host", "page", "key"], "html", f"blocks {_BLOCKS}", _parsed, _ROWS), "pages")
+        rows, ["page_id", "url", "host", "key"], "html", f"blocks {_BLOCKS}, page long", _parsed, _ROWS), "pages")
     places = common.staged(template_places(parsed), "template")
     loose = parsed.select("host", "key", F.explode(F.expr(
         "array_distinct(transform(filter(blocks, b -> b.text is not null and not b.fixed), b -> b.path))")).alias("path"))
