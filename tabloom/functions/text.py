@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The token rules of the word-count, Hadoop and vector jobs.
 WORD_PATTERN = "([a-z0-9']+)"
 WHITESPACE_PATTERN = "[ \\t\\n\\r\\f]+"
-VECTOR_PATTERN = "(?U)\\b(\\w\\w+)\\b"
+VECTOR_PATTERN = "(?U)\\w{2,}"
 NOT_HYPHEN_WORD = "[^A-Za-z0-9-]"
 
 # The English stop list of the vector jobs, in its own order.
@@ -40,7 +40,7 @@ def whitespace_tokens(line: Column) -> Column:
 
 def vector_tokens(text: Column) -> Column:
     """Lower-cased Unicode words of two characters or more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(VECTOR_PATTERN), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(VECTOR_PATTERN), 0)
 
 
 def hyphen_tokens(text: Column) -> Column:

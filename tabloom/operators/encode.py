@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import clean as cl
 from tabloom.functions.binning import count_above
-from tabloom.operators.ordered import BLOCK_ROWS, exact_quantiles
+from tabloom.operators.ordered import BLOCK_ROWS, attach, exact_quantiles, group_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -64,6 +64,16 @@ def qcut(
     return df.withColumn(out, code)
 
 
+def qcut_by(df: DataFrame, keys: Sequence[str], column: str, q: int, out: str = "qbin", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add the exact quantile bin within the row's group, right-closed with the minimum included; null keys are a group."""
+    cuts = group_quantiles(df, keys, column, [i / q for i in range(1, q)], block_rows)
+    marks = [f"_cut{i}" for i in range(q - 1)]
+    rows = attach(df, cuts.withColumnsRenamed({f"q{i}": m for i, m in enumerate(marks)}), keys)
+    c = F.col(column).cast("double")
+    code = F.when(c.isNotNull() & ~F.isnan(c), count_above(c, [F.col(m) for m in marks]))
+    return rows.withColumn(out, code).drop(*marks)
+
+
 def one_hot(df: DataFrame, column: str, max_values: int = 1000) -> DataFrame:
     """Indicator columns beside the original, in value order; null gives all zeros.
 

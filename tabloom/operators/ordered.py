@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabloom.session import staging_path
 from tabloom.sources.inline import inline_table
 
 MAX_BLOCKS = 16384
@@ -246,3 +247,57 @@ def exact_quantiles(
         low = at(i, math.floor(pos))
         out.append((low + (at(i, math.ceil(pos)) - low) * (pos - math.floor(pos))).alias(f"q{i}"))
     return ranked.agg(*out)
+
+
+SMALL_GROUP = 10_000
+
+
+def group_quantiles(
+    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], block_rows: int = BLOCK_ROWS,
+    accuracy: int = 10_000, small: int = SMALL_GROUP
+) -> DataFrame:
+    """(keys…, q0, q1, …): exact quantiles per group with linear interpolation; nulls and NaN are left out.
+
+    The first pass gathers one rank sketch per group; sketches of a group merge before and after the shuffle, whatever
+    its size. Of a group with more than ``small`` values, only those between the sketch's bounds around a wanted rank go
+    on; all others are counted in the second pass. What goes on is ranked by running sums, in blocks where a group
+    is long, so no group has to fit into one task.
+    """
+    keys = list(keys)
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    known = df.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
+    margin = 3 / accuracy + 2 / small  # the error of the sketch, and the values next to a rank
+    marks = [min(max(p + side * margin, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    ends = known.groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.percentile_approx("_v", marks, accuracy).alias("_ends"))
+    ends_path, path = staging_path(df.sparkSession, "group-ends"), staging_path(df.sparkSession, "group-values")
+    ends.write.parquet(ends_path)
+    ends = df.sparkSession.read.parquet(ends_path)
+    rows = attach(known, ends, keys)
+    v, few = F.col("_v"), F.col("_rows") <= small
+    spans = [v.between(F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1]) for i in range(len(probs))]
+    inside = functools.reduce(lambda a, b: a | b, spans, few)
+    below = [F.count_if(~inside & (v < F.col("_ends")[2 * i])).alias(f"_below{i}") for i in range(len(probs))]
+    kept = rows.withColumn("_kept", F.when(inside, v))
+    kept.groupBy(*keys, "_kept").agg(F.count("*").alias("_n"), *below).write.parquet(path)
+    counted = df.sparkSession.read.parquet(path)
+    skipped = counted.filter(F.col("_kept").isNull()).drop("_kept", "_n")
+    values = counted.filter(F.col("_kept").isNotNull()).select(*keys, "_kept", "_n")
+    ranked = running_sums(split_long(values, keys, "_kept", block_rows), {"_cum": F.col("_n")})
+    ranked = attach(attach(ranked, ends, keys), skipped, keys)
+    k = F.col("_kept")
+
+    def at(i: int, rank: Column) -> Column:
+        span = k.between(F.col("_ends")[2 * i], F.col("_ends")[2 * i + 1])
+        reached = (few | span) & (F.col("_cum") + F.coalesce(F.col(f"_below{i}"), F.lit(0)) > rank)
+        return F.min(F.when(reached, k))
+
+    out = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_rows") - 1)
+        out += [at(i, F.floor(pos)).alias(f"_low{i}"), at(i, F.ceil(pos)).alias(f"_high{i}")]
+    found = ranked.groupBy(*keys, "_rows").agg(*out)
+    share = [F.lit(float(p)) * (F.col("_rows") - 1) for p in probs]
+    return found.select(*keys, *[
+        (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (x - F.floor(x))).alias(f"q{i}")
+        for i, x in enumerate(share)])

@@ -229,12 +229,15 @@ def stop_step(errors: DataFrame, keys: Sequence[str], step: str, threshold: floa
 def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
     """(keys…, mid, half, coefs, n): least-squares polynomial in z = (x - mid) / half per series.
 
-    The rows are brought down to sums of powers of z, one short row per
-    series, by an ordinary aggregation. Only these rows are solved in Python.
+    Up to degree 6 the rows are brought down to sums of powers of z, one short row per series, by an ordinary
+    aggregation, and only these rows are solved in Python. Such sums square the condition number, so higher degrees
+    (up to 30) go by orthogonal triangles: see ``_triangles``.
     """
-    if not 0 <= degree <= 6:
-        raise ValueError("degree must be between 0 and 6")
+    if not 0 <= degree <= 30:
+        raise ValueError("degree must be between 0 and 30")
     keys = list(keys)
+    if degree > 6:
+        return _fit_by_triangles(df, keys, x, y, degree)
     ends = df.groupBy(*keys).agg(F.min(x).cast("double").alias("_a"), F.max(x).cast("double").alias("_b"))
     half = (F.col("_b") - F.col("_a")) / 2
     ends = ends.select(
@@ -267,6 +270,62 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) ->
     return sums.mapInPandas(solve, schema)
 
 
+def _triangles(columns: list[str], degree: int, merge: bool):
+    """Per series the triangle R of a QR factorisation of [Chebyshev polynomials of z | y], over some of its rows.
+
+    Stacked triangles of parts have the triangle of the whole, so they merge in any order, and the least-squares
+    problem of a series of any length comes down to a matrix of ``degree + 2`` columns.
+    """
+    width = degree + 2
+
+    def run(pdf):
+        if merge:
+            rows = np.stack(pdf["_r"].to_numpy()).reshape(-1, width)
+        else:
+            basis = np.polynomial.chebyshev.chebvander(pdf["_z"].to_numpy(float), degree)
+            rows = np.column_stack([basis, pdf["_y"].to_numpy(float)])
+        r = np.linalg.qr(np.vstack([rows, np.zeros((max(width - len(rows), 0), width))]), mode="r")
+        return pdf.iloc[:1][columns].assign(n=int(pdf["n"].sum()), _r=[r.ravel().tolist()])
+
+    return run
+
+
+def _fit_by_triangles(df: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
+    known = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    ends = known.groupBy(*keys).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    half = (F.col("_b") - F.col("_a")) / 2
+    ends = ends.select(
+        *keys, ((F.col("_a") + F.col("_b")) / 2).alias("mid"), F.when(half > 0, half).otherwise(1.0).alias("half"))
+    z = (F.col("_x") - F.col("mid")) / F.col("half")
+    rows = od.attach(known, ends, keys).select(*keys, "mid", "half", z.alias("_z"), "_y", F.lit(1).cast("bigint").alias("n"))
+    head = [*keys, "mid", "half"]
+    own = T.StructType([rows.schema[c] for c in head]).simpleString()[len("struct<"):-1].replace(":", " ")
+    schema = f"{own}, _part bigint, n bigint, _r array<double>"
+    first = _triangles([*head, "_part"], degree, False)
+
+    def within(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby(head, dropna=False, sort=False):
+                yield first(part)
+
+    # a triangle per series and batch, then per series and one of many parts, then per series
+    parts = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(256)).cast("bigint")).mapInPandas(within, schema)
+    parts = parts.groupBy(*head, "_part").applyInPandas(_triangles([*head, "_part"], degree, True), schema)
+    whole = parts.groupBy(*head).applyInPandas(_triangles([*head, "_part"], degree, True), schema)
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for flat in pdf["_r"]:
+                r = np.asarray(flat).reshape(degree + 2, degree + 2)
+                found = np.linalg.lstsq(r[: degree + 1, : degree + 1], r[: degree + 1, -1], rcond=1e-13)[0]
+                plain = np.polynomial.chebyshev.cheb2poly(found)
+                out.append(np.pad(plain, (0, degree + 1 - len(plain))).tolist())
+            yield pdf.drop(columns=["_part", "_r"]).assign(coefs=pd.Series(out, dtype=object))
+
+    return whole.mapInPandas(solve, f"{own}, n bigint, coefs array<double>")
+
+
 def poly_value(coefs: Column, mid: Column, half: Column, at: Column) -> Column:
     z = (at - mid) / half
     return F.aggregate(F.reverse(coefs), F.lit(0.0), lambda acc, c: acc * z + c)

@@ -286,6 +286,16 @@ def qcut(spark, sf_dir):
     return en.qcut(orders, "o_totalprice", 4).select("o_orderkey", "qbin")
 
 
+@query("qcut_by_group", """
+    SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > q[3] THEN 3 WHEN o_totalprice > q[2] THEN 2
+      WHEN o_totalprice > q[1] THEN 1 ELSE 0 END AS qbin
+    FROM orders JOIN (SELECT o_custkey, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders GROUP BY o_custkey) USING (o_custkey)
+""")
+def qcut_by_group(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return en.qcut_by(orders, ["o_custkey"], "o_totalprice", 4).select("o_orderkey", "o_custkey", "qbin")
+
+
 @query("qcut_labels", """
     SELECT qbin, count(*) AS n FROM (
       SELECT CASE WHEN c_acctbal > m THEN 'high' ELSE 'low' END AS qbin

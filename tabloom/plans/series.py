@@ -207,6 +207,14 @@ def poly_fit(spark, sf_dir):
     return fitted.select("user_id", "n", F.round(value, 5).alias("y_360"))
 
 
+@query("poly_fit_high")
+def poly_fit_high(spark, sf_dir):
+    """Degree 12, where sums of powers would lose the digits."""
+    fitted = se.poly_fit(user_series(spark, sf_dir), ["user_id"], "x", "y", 12)
+    value = se.poly_value(F.col("coefs"), F.col("mid"), F.col("half"), F.lit(360.0))
+    return fitted.select("user_id", "n", F.round(value, 5).alias("y_360"))
+
+
 @query("model_vs_actual", f"""
     SELECT a.user_id, a.x, round(a.y, 6) AS observed, round(m.y, 6) AS modelled FROM ({_DAILY_SQL}) a
     JOIN (SELECT user_id, x, count(*) * 50.0::DOUBLE AS y FROM (SELECT user_id, (ts::DATE - DATE '2024-01-01')::INTEGER AS x FROM events) GROUP BY 1, 2) m
