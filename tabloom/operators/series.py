@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from tabloom.operators import ordered as od
 from tabloom.operators.ordered import BLOCK_ROWS
+from tabloom.session import staging_path
 
-MAX_ORDER = 8
+MAX_ORDER, MAX_ORDERS = 8, 64
 
 
 def reset_index(df: DataFrame, keys: Sequence[str], x: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -65,14 +66,17 @@ def interp_join(
     return near.filter(~F.col("_knot")).withColumn(y, value).drop("_before", "_after", "_knot")
 
 
-def _difference(xs: Sequence[Column], ys: Sequence[Column]) -> list[Column]:
-    """Divided differences of order 0, 1, … starting at the first node."""
+def _difference(xs: Sequence[Column], ends: Sequence[Column], ys: Sequence[Column]) -> list[Column]:
+    """Divided differences of the orders after that of ``ys``, starting at the first node; the first entry is ``ys[0]``.
+
+    ``ys[i]`` is a difference over the nodes from ``xs[i]`` to ``ends[i]``; of order 0 both are the node itself.
+    """
     level, out = list(ys), [ys[0]]
     for j in range(1, len(xs)):
         level = [
             (level[i + 1] - level[i])
-            / F.when(xs[i + j] == xs[i], F.raise_error(F.lit("x must be unique in a series"))).otherwise(
-                xs[i + j] - xs[i]
+            / F.when(ends[i + j] == xs[i], F.raise_error(F.lit("x must be unique in a series"))).otherwise(
+                ends[i + j] - xs[i]
             )
             for i in range(len(level) - 1)
         ]
@@ -83,21 +87,31 @@ def _difference(xs: Sequence[Column], ys: Sequence[Column]) -> list[Column]:
 def divided_diff(
     df: DataFrame, keys: Sequence[str], x: str, y: str, order: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(keys…, x, ord, value): the divided-difference table up to the given order."""
-    if not 0 <= order <= MAX_ORDER:
-        raise ValueError(f"order must be between 0 and {MAX_ORDER}")
-    rows = df.select(*keys, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    ahead = od.with_following(od.split_long(rows, keys, x, block_rows), [x, y], max(order, 1))
-    xs = [F.col(x)] + [F.col(f"{x}_{i}") for i in range(1, order + 1)]
-    ys = [F.col(y)] + [F.col(f"{y}_{i}") for i in range(1, order + 1)]
-    table = F.array(
-        *[
-            F.struct(F.lit(j).alias("ord"), d.alias("value"))
-            for j, d in enumerate(_difference(xs, ys))
-        ]
-    )
-    long = ahead.select(*keys, x, F.explode(table).alias("d")).select(*keys, x, "d.ord", "d.value")
-    return long.filter(F.col("value").isNotNull())
+    """(keys…, x, ord, value): the divided-difference table up to the given order.
+
+    A pass gives ``MAX_ORDER`` orders, from the values of the last order before, whose last nodes go along; what a pass
+    hands on is written below the staging folder.
+    """
+    if not 0 <= order <= MAX_ORDERS:
+        raise ValueError(f"order must be between 0 and {MAX_ORDERS}")
+    value = F.col(y).cast("double")
+    rows = df.select(*keys, F.col(x).cast("double").alias(x), F.col(x).cast("double").alias("_end"), value.alias("_v"))
+    out, done = None, 0
+    while True:
+        step = min(order - done, MAX_ORDER)
+        ahead = od.with_following(od.split_long(rows, keys, x, block_rows), [x, "_end", "_v"], max(step, 1))
+        over = [[F.col(c)] + [F.col(f"{c}_{i}") for i in range(1, step + 1)] for c in (x, "_end", "_v")]
+        found = _difference(*over)
+        table = F.array(*[F.struct(F.lit(done + j).alias("ord"), d.alias("value")) for j, d in enumerate(found) if j or not done])
+        long = ahead.select(*keys, x, F.explode(table).alias("d")).select(*keys, x, "d.ord", "d.value")
+        out = long if out is None else out.unionByName(long)
+        done += step
+        if done >= order:
+            return out.filter(F.col("value").isNotNull())
+        path = staging_path(df.sparkSession, "differences")
+        last = ahead.select(*keys, x, F.col(f"_end_{step}").alias("_end"), found[-1].alias("_v"))
+        last.filter(F.col("_v").isNotNull()).write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
 
 
 def degree_by_dd(dd: DataFrame, keys: Sequence[str], threshold: float = 0.01) -> DataFrame:
@@ -130,7 +144,7 @@ def newton_coefficients(
     xs = [F.col(x)] + [F.col(f"{x}_{i}") for i in range(1, max_points)]
     ys = [F.col(y)] + [F.col(f"{y}_{i}") for i in range(1, max_points)]
     too_long = F.raise_error(F.lit("series has too many points for one polynomial"))
-    coefs = F.when(F.col(f"{x}_{max_points}").isNotNull(), too_long).otherwise(F.array(*_difference(xs, ys)))
+    coefs = F.when(F.col(f"{x}_{max_points}").isNotNull(), too_long).otherwise(F.array(*_difference(xs, xs, ys)))
     return ahead.filter(F.col("idx") == 0).select(
         *keys,
         F.filter(F.array(*xs), lambda v: v.isNotNull()).alias("nodes"),
@@ -153,6 +167,40 @@ def newton_interp(
     return joined.withColumn(y, newton_value(F.col("nodes"), F.col("coefs"), F.col(x))).drop("nodes", "coefs")
 
 
+def local_interp(
+    knots: DataFrame, probes: DataFrame, keys: Sequence[str], x: str, y: str, points: int = MAX_ORDER + 1,
+    block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Probes (keys…, x) with ``y``: the value of the polynomial through the ``points`` knots around the probe.
+
+    Half of the knots lie on either side; near an end, and outside, they are the first or last ones. A series with fewer
+    knots uses all of them, so up to ``points`` knots this is ``newton_interp``. Each knot carries the knots that follow
+    it, so a probe joins one row: that of the first knot of its stencil. Probes of series without a knot have no row.
+    """
+    if not 1 <= points <= MAX_ORDER + 1:
+        raise ValueError(f"points must be between 1 and {MAX_ORDER + 1}")
+    keys = list(keys)
+    rows = knots.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    indexed = reset_index(rows, keys, "_x", block_rows)
+    ahead = od.with_following(od.split_long(indexed, keys, "_x", block_rows), ["_x", "_y"], max(points - 1, 1))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    have = indexed.select(*keys, F.col("_x").alias(x), F.col("idx").cast("double").alias("_at"), F.lit(True).alias("_knot"))
+    ask = probes.withColumn("_asked", F.struct(*probes.columns)).select(
+        *keys, F.col(x).cast("double").alias(x), "_asked", F.lit(False).alias("_knot"))
+    both = ask.unionByName(have, allowMissingColumns=True)
+    near = od.with_nearest(od.split_long(both, keys, x, block_rows), F.col("_knot"), "_at").filter(~F.col("_knot"))
+    near = od.attach(near.select(*keys, x, "_asked", F.col("_before.y").alias("_at")), sizes, keys, "inner")
+    start = F.coalesce(F.col("_at"), F.lit(-1.0)) - (points // 2 - 1)
+    start = F.greatest(F.least(start, (F.col("_n") - points).cast("double")), F.lit(0.0)).cast("bigint")
+    stencils = ahead.withColumn("_first", F.col("idx").cast("bigint")).drop("idx")
+    found = od.attach(near.withColumn("_first", start).withColumnRenamed(x, "_probe"), stencils, [*keys, "_first"], "inner")
+    xs = [F.col("_x")] + [F.col(f"_x_{i}") for i in range(1, points)]
+    ys = [F.col("_y")] + [F.col(f"_y_{i}") for i in range(1, points)]
+    nodes = F.filter(F.array(*xs), lambda v: v.isNotNull())
+    coefs = F.filter(F.array(*_difference(xs, xs, ys)), lambda v: v.isNotNull())
+    return found.select("_asked.*", newton_value(nodes, coefs, F.col("_probe")).alias(y))
+
+
 def trapezoid(df: DataFrame, keys: Sequence[str], x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(keys…, area, n) under the sampled curve; spacing may vary."""
     ahead = od.with_following(od.split_long(df, keys, x, block_rows), [x, y], 1)

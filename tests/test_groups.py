@@ -62,3 +62,65 @@ def test_polynomials_of_high_degree(spark, degree):
         assert got[key][1] == pytest.approx(np.polynomial.chebyshev.chebval((1975 - mid) / half, dense), rel=1e-8)
     with pytest.raises(ValueError, match="degree"):
         se.poly_fit(df, ["k"], "x", "y", 31)
+
+
+def _lagrange(nodes, values, at):
+    return sum(v * np.prod([(at - b) / (a - b) for b in nodes if b != a]) for a, v in zip(nodes, values))
+
+
+@pytest.mark.parametrize("block", [2_000_000, 700])
+def test_long_series_are_interpolated_around_the_probe(spark, block):
+    rng = np.random.default_rng(1)
+    x = np.cumsum(0.5 + rng.random(10_000))
+    y = np.sin(x / 50) * 100
+    short = [("few", 0.0, 1.0), ("few", 1.0, 3.0), ("one", 5.0, 7.0)]
+    knots = spark.createDataFrame([("long", float(a), float(b)) for a, b in zip(x, y)] + short, "k string, x double, y double").repartition(5)
+    at = [float(x[0]) - 1, float(x[0]), float(x[3]) + 0.1, *map(float, rng.uniform(x[0], x[-1], 200)), float(x[77]), float(x[-1]), float(x[-1]) + 1]
+    probes = spark.createDataFrame([("long", a, i) for i, a in enumerate(at)] + [("few", 2.0, -1), ("one", 9.0, -2), ("none", 1.0, -3)], "k string, x double, id int")
+    for points in (9, 4, 1):
+        out = se.local_interp(knots, probes, ["k"], "x", "y", points, block)
+        assert out.columns == ["k", "x", "id", "y"]
+        got = {r.id: r.y for r in out.collect()}
+        assert set(got) == {*range(len(at)), -1, -2}
+        for i, a in enumerate(at):
+            before = int(np.searchsorted(x, a, side="right")) - 1
+            first = max(min(before - (points // 2 - 1), len(x) - points), 0)
+            want = _lagrange(x[first:first + points], y[first:first + points], a)
+            assert got[i] == pytest.approx(want, rel=1e-6, abs=1e-6)
+        assert got[-2] == 7.0 and (points == 1 or got[-1] == pytest.approx(5.0))
+
+
+def test_orders_beyond_one_pass(spark):
+    rng = random.Random(2)
+    x = sorted(rng.sample(range(100), 40))
+    y = [rng.gauss(0, 1) for _ in x]
+    df = spark.createDataFrame([("a", float(p), q) for p, q in zip(x, y)] + [("b", 1.0, 2.0)], "k string, x double, y double")
+    got = {(r.k, r.x, r.ord): r.value for r in se.divided_diff(df, ["k"], "x", "y", 20, 15).collect()}
+    level, want = list(y), {("b", 1.0, 0): 2.0}
+    for j in range(21):
+        want |= {("a", float(x[i]), j): v for i, v in enumerate(level)}
+        level = [(level[i + 1] - level[i]) / (x[i + j + 1] - x[i]) for i in range(len(level) - 1)]
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-300) for k, v in want.items())
+    cubic = spark.createDataFrame([("c", float(i), float(i**11)) for i in range(13)], "k string, x double, y double")
+    dd = se.divided_diff(cubic, ["k"], "x", "y", 12)
+    assert se.degree_by_dd(dd, ["k"], 0.5).first().degree == 11
+    with pytest.raises(ValueError, match="order"):
+        se.divided_diff(df, ["k"], "x", "y", 65)
+
+
+def test_heavy_inner_index_is_cut(spark):
+    from tabloom.operators import matrix as mx
+
+    rng = np.random.default_rng(5)
+    a, b = rng.random((300, 12)).round(3), rng.random((12, 200)).round(3)
+    a[:, 1:][rng.random((300, 11)) < 0.9] = 0  # index 0 has most cells
+    left = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "i long, j long, v double")
+    right = spark.createDataFrame([(int(i), int(j), float(b[i, j])) for i, j in zip(*np.nonzero(b))], "i long, j long, v double")
+    want = a @ b
+    for tile in (20, 64, 10_000):
+        got = {(r.i, r.j): r.v for r in mx.matmul_coo(left, right, tile).collect()}
+        assert len(got) == np.count_nonzero(want) and all(v == pytest.approx(want[c]) for c, v in got.items())
+    pieces = mx._tiles(left.select(F.col("j").alias("_k")), right.select(F.col("i").alias("_k")), 64)
+    assert {(r._k, r._rows, r._cols) for r in pieces.where("_k = 0").collect()} == {(0, 5, 4)}
+    assert {r._rows for r in pieces.where("_k > 0").collect()} == {1}

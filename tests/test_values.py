@@ -134,8 +134,8 @@ def test_matrix_product(spark):
 
     a, b = coo([[1, 5], [3, 10], [-4, 3]]), coo([[4, 3], [0.5, 2]])
     want = {(0, 0): 6.5, (0, 1): 13.0, (1, 0): 17.0, (1, 1): 29.0, (2, 0): -14.5, (2, 1): -6.0}
-    for salts in (1, 3):
-        assert {(r.i, r.j): r.v for r in mx.matmul_coo(a, b, salts).collect()} == want
+    for tile in (1, 2, 100):
+        assert {(r.i, r.j): r.v for r in mx.matmul_coo(a, b, tile).collect()} == want
     mx.check_sizes(a, b, 2)
     with pytest.raises(ValueError, match="does not fit"):
         mx.check_sizes(a, b, 1)
