@@ -19,7 +19,7 @@ def test_query(spark, con, sf_dir, name):
 
 def test_only_fitted_models_have_no_check():
     assert sorted(set(QUERIES) - set(ORACLES)) == [
-        "dtree_deep", "grid_best_auc", "grid_best_roc", "grid_search", "grid_search_wide", "grid_shuffle", "logreg", "logreg_auc", "mlp",
+        "dtree_deep", "grid_best_auc", "grid_best_roc", "grid_search", "grid_search_wide", "grid_shuffle", "logreg", "logreg_auc", "mlp", "mlp_steps",
         "poly_fit_high"
     ]
 
