@@ -150,13 +150,13 @@ def newton_interp(spark, sf_dir):
       t AS (SELECT b.user_id, b.x, i.x AS xi, any_value(i.y) * coalesce(product((b.x - j.x) / (i.x - j.x)), 1) AS v FROM b
         JOIN r i ON i.user_id = b.user_id AND i.idx BETWEEN b.start AND b.start + 3
         LEFT JOIN r j ON j.user_id = b.user_id AND j.idx BETWEEN b.start AND b.start + 3 AND j.x <> i.x GROUP BY b.user_id, b.x, i.x)
-    SELECT user_id, x, round(sum(v), 6) AS y FROM t GROUP BY user_id, x
+    SELECT user_id, x, round(sum(v), 8) AS y FROM t GROUP BY user_id, x
 """)
 def local_interp(spark, sf_dir):
     """Cubics through the four days around each half day."""
     series = daily_series(spark, sf_dir)
     probes = series.select("user_id", (F.col("x") + 0.5).alias("x"))
-    return _round(se.local_interp(series, probes, ["user_id"], "x", "y", 4), "y", digits=6)
+    return _round(se.local_interp(series, probes, ["user_id"], "x", "y", 4), "y", digits=8)
 
 
 @query("trapezoid", f"""
