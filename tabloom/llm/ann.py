@@ -5,19 +5,26 @@ sampled vector, in which parts its neighbours lie. Every row is indexed under it
 goes to its several likeliest parts, where all rows are compared with it in double precision. How many
 parts are asked is read off the sample: the least number that finds `RECALL` of the sample's own neighbours.
 
-Parts meet their queries in blocks of bounded size, so a part that holds a third of all rows is many tasks.
+Rows are sorted into files of their parts once, and so are queries, each under the parts it asks. A task takes a file of
+rows and a file of queries of the same part and reads both from the shared folder: nothing is copied to pair them up,
+and a part that holds a third of all rows is many files and tasks. What a task gives back is k rows a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import common
+from tabloom.session import staging_path
 
 SAMPLE = 8192
 ROWS_PER_PART = 1000
@@ -25,7 +32,9 @@ MAX_PARTS = 128
 NEIGHBOURS = 10
 RECALL = 0.96
 HIDDEN, EPOCHS = 128, 25
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 16, 1024
+BATCH_ROWS, PAIRS = 4096, 1 << 16
+MAX_TASKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -148,41 +157,108 @@ def _stack(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _search(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            ids, vectors = rows["vec_id"].to_numpy(), _stack(rows["embedding"])
-            order = np.lexsort((ids, *vectors.T[:1]))
-            ids, vectors = ids[order], vectors[order]
-            _, group = np.unique(vectors, axis=0, return_inverse=True)
-            group = group.ravel()
-            # of equal vectors only the k + 1 smallest ids can be among anybody's k nearest
-            by = np.lexsort((ids, group))
-            fresh = np.r_[True, (group[by][1:] != group[by][:-1]) | (ids[by][1:] != ids[by][:-1])]
-            by = by[fresh]
-            start = np.r_[True, group[by][1:] != group[by][:-1]]
-            rank = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
-            by = by[rank <= k]
-            ids, vectors = ids[by], vectors[by]
-            square = (vectors**2).sum(1)
-            asked = _stack(queries["embedding"])
-            rough = square - 2 * asked @ vectors.T
-            for q, vector, d in zip(queries["vec_id"].to_numpy(), asked, rough):
-                d = np.where(ids == q, np.inf, d)
-                bound = np.partition(d, min(2 * k, len(d) - 1))[min(2 * k, len(d) - 1)]
-                near = np.flatnonzero((d <= bound + 1e-9 * (1 + abs(bound))) & (ids != q))
-                exact = np.sqrt(((vectors[near] - vector) ** 2).sum(1))
-                best = np.lexsort((ids[near], exact))
-                _, first = np.unique(ids[near][best], return_index=True)
-                best = best[np.sort(first)][:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
-            {"query_id": "int64", "vec_id": "int64", "score": "float64"})
+def _fewer(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Of equal vectors the k + 1 smallest ids: no others can be among anybody's k nearest."""
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    group = group.ravel()
+    by = np.lexsort((ids, group))
+    fresh = np.r_[True, (group[by][1:] != group[by][:-1]) | (ids[by][1:] != ids[by][:-1])]
+    by = by[fresh]
+    start = np.r_[True, group[by][1:] != group[by][:-1]]
+    rank = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
+    return by[rank <= k]
+
+
+class Nearest:
+    """The k nearest rows so far of some queries, over any number of batches of rows.
+
+    A batch is compared by one matrix product. Pairs that this leaves within the k-th best distance are measured in double
+    precision from the original vectors. An id counts once, at its nearest; ties go to the smaller id.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.square = (vectors**2).sum(1)
+        self.owner, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bound = np.full(len(ids), np.inf)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        keep = _fewer(ids, vectors, self.k)
+        ids, vectors = ids[keep], vectors[keep]
+        square = (vectors**2).sum(1)
+        rough = self.square[:, None] + square - 2 * self.vectors @ vectors.T
+        slack = 1e-9 * (1 + self.square[:, None] + square)
+        rough[self.ids[:, None] == ids] = np.inf
+        unbound = np.flatnonzero(np.isinf(self.bound))
+        if len(unbound):
+            some = min(4 * self.k, len(ids))
+            near = np.argpartition(rough[unbound], some - 1, axis=1)[:, :some]
+            self._measure(np.repeat(unbound, some), near.ravel(), rough, ids, vectors)
+        self._measure(*np.nonzero(rough - slack <= (self.bound**2)[:, None]), rough, ids, vectors)
+
+    def _measure(self, query: np.ndarray, row: np.ndarray, rough: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        real = np.isfinite(rough[query, row])
+        query, row = query[real], row[real]
+        exact = [np.sqrt(((vectors[row[a:a + PAIRS]] - self.vectors[query[a:a + PAIRS]])**2).sum(1))
+                 for a in range(0, len(row), PAIRS)]
+        owner = np.concatenate([self.owner, query])
+        found = np.concatenate([self.found, ids[row]])
+        score = np.concatenate([self.score, *exact])
+        order = np.lexsort((score, found, owner))
+        owner, found, score = owner[order], found[order], score[order]
+        first = np.r_[True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])][:len(owner)]
+        owner, found, score = owner[first], found[first], score[first]
+        order = np.lexsort((found, score, owner))
+        owner, found, score = owner[order], found[order], score[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        best = rank < self.k
+        self.owner, self.found, self.score = owner[best], found[best], score[best]
+        self.bound[owner[rank == self.k - 1]] = score[rank == self.k - 1]
+
+
+def _read(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a file, `BATCH_ROWS` at a time."""
+    disk, name = common.file_system(unquote(path))
+    with disk.open_input_file(name) as source:
+        for batch in ParquetFile(source).iter_batches(BATCH_ROWS, columns=["vec_id", "embedding"]):
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                yield batch.column(0).to_numpy(), flat.reshape(batch.num_rows, -1)
+
+
+def _compare(k: int):
+    """The k nearest of a file of rows for each query of a file of queries."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = list(_read(asked))
+                nearest = Nearest(*map(np.concatenate, zip(*parts)), k)
+                for ids, vectors in _read(rows):
+                    nearest.add(ids, vectors)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nearest.ids[nearest.owner]), pa.array(nearest.found), pa.array(nearest.score)],
+                    ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _filed(df: DataFrame, block: int, label: str) -> DataFrame:
+    """(part, file) of files that hold the rows of ``df`` (part, vec_id, embedding), at most ``block`` of one part in each.
+
+    A part with more rows is cut by a hash, so its files are written by as many tasks as it has blocks.
+    """
+    spark = df.sparkSession
+    sizes = df.groupBy("part").count()  # at most MAX_PARTS rows
+    cut = df.join(F.broadcast(sizes), "part").withColumn(
+        "block", F.pmod(F.xxhash64("vec_id", "embedding"), F.ceil(F.col("count") / block)))
+    path = staging_path(spark, label)
+    cut.repartition("part", "block").select("part", "vec_id", "embedding").write.option(
+        "maxRecordsPerFile", block).partitionBy("part").parquet(path)
+    kind = f"vec_id bigint, embedding {df.schema['embedding'].dataType.simpleString()}, part bigint"
+    return spark.read.schema(kind).parquet(path).select("part", F.col("_metadata.file_path").alias("file")).distinct()
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, embedding) with an id and a finite, non-zero vector of the commonest length (ties: the least)."""
     x = F.col("embedding")
@@ -217,14 +293,16 @@ def search(vectors: DataFrame, queries, k: int = NEIGHBOURS, sample: int = SAMPL
         for frame in frames:
             odds = [model.value.odds(_stack(frame["embedding"].iloc[a : a + 4096])) for a in range(0, len(frame), 4096)]
             odds = np.concatenate(odds) if odds else np.zeros((0, parts))
-            yield frame.assign(part=odds.argmax(1).astype(np.int64), route=list(np.argsort(-odds, axis=1, kind="stable")))
+            route = [np.argsort(-o, kind="stable") if ask else None for o, ask in zip(odds, frame["ask"])]
+            yield frame.drop(columns="ask").assign(part=odds.argmax(1).astype(np.int64), route=route)
 
     kind = dict(rows.dtypes)["embedding"]
-    placed = rows.mapInPandas(place, f"vec_id long, embedding {kind}, part long, route array<long>")
-    asks = placed.where(queries).groupBy("vec_id").agg(F.min(F.struct("embedding", "route")).alias("q"))
-    asks = common.staged(asks.select("vec_id", "q.embedding", "q.route"), "queries")
-    index = common.staged(placed.drop("route"), "index")
-    held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # at most MAX_PARTS rows
+    asking = rows.withColumn("ask", F.coalesce(queries, F.lit(False)))
+    placed = asking.mapInPandas(place, f"vec_id long, embedding {kind}, part long, route array<long>")
+    placed = common.staged(placed, "placed")
+    asks = placed.where("route is not null").groupBy("vec_id").agg(F.min(F.struct("embedding", "route")).alias("q"))
+    asks = asks.select("vec_id", "q.embedding", "q.route")
+    held = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MAX_PARTS rows
     sizes = np.array([held.get(p, 0) for p in range(parts)])
     least = model.value.probes if model.value else 1
 
@@ -237,20 +315,12 @@ def search(vectors: DataFrame, queries, k: int = NEIGHBOURS, sample: int = SAMPL
         return pd.Series(out)
 
     sent = asks.select("vec_id", "embedding", F.explode(probes("route")).alias("part"))
-    sent = common.staged(sent, "sent")
-    asked = {r["part"]: r["count"] for r in sent.groupBy("part").count().collect()}
-    shape = spark.createDataFrame(
-        [(p, -(-held.get(p, 0) // BLOCK_ROWS) or 1, -(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)],
-        "part long, row_blocks long, query_blocks long")
-    h = F.xxhash64("vec_id", "embedding")
-    left = index.join(F.broadcast(shape), "part").withColumn("r", F.pmod(h, "row_blocks"))
-    left = left.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)))
-    right = sent.join(F.broadcast(shape), "part").withColumn("q", F.pmod(h, "query_blocks"))
-    right = right.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-    keys = ["part", "r", "q"]
-    found = left.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(
-        right.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInPandas(
-        _search(k), "query_id long, vec_id long, score double")
+    row_files = _filed(placed.drop("route"), BLOCK_ROWS, "index")
+    query_files = _filed(common.staged(sent, "sent"), BLOCK_QUERIES, "queries")
+    pairs = row_files.withColumnRenamed("file", "rows").join(query_files.withColumnRenamed("file", "asked"), "part")
+    pairs = common.staged(pairs.select("rows", "asked"), "pairs")
+    found = pairs.repartition(max(1, min(pairs.count(), MAX_TASKS))).mapInArrow(
+        _compare(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -62,3 +63,13 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: str, work:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def file_system(path: str):
+    """The Arrow file system of a path or address, and the path in it."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))

@@ -45,16 +45,6 @@ _WORD = re.compile(r"\S+")
 _BEFORE = re.compile(r"(?<=\S)(?= )")
 
 
-def _file_system(path: str):
-    """The Arrow file system of a path or address, and the path in it."""
-    from pyarrow import fs
-
-    path = re.sub(r"^file:/+", "/", path)
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
-
-
 def write_file(out, docs: Iterable[tuple[int | None, np.ndarray]], block: int = BLOCK) -> tuple[int, int]:
     """Write (id, token ids) pairs to the open stream ``out``; returns how many documents and ids that were.
 
@@ -323,7 +313,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: s
         first = next(batches, None)
         if first is None:
             return
-        disk, root = _file_system(folder)
+        disk, root = common.file_system(folder)
         disk.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.s8b"
 
@@ -356,7 +346,7 @@ def read(manifest: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                disk, name = _file_system(path)
+                disk, name = common.file_system(path)
                 rows: list[tuple] = []
                 with disk.open_input_file(name) as source:
                     for key, ids in read_file(source):
