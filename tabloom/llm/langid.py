@@ -40,7 +40,10 @@ class Model:
 
 
 def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case letters with one blank between words and around each text; text starts; which texts have letters."""
+    """Lower-case letters with one blank between words and around each text; text starts; which texts have letters.
+
+    What follows the last word of a text is a blank of its own.
+    """
     text, starts = chars.codes(texts)
     text = chars.lower_table()[text]
     letter = chars.letter_table()[text]

@@ -5,7 +5,8 @@ Confirmed toxic texts are the positives, all texts that may be learned from are
 share of positives has been taken out, and the bracket is kept from going below zero, where a flexible model
 would start to fit single examples.
 
-Word statistics come from every text. Only the fit itself uses a sample, bounded by `MAX_POSITIVE` and
+How many texts hold a word is counted over every text, and how many toxic ones over all confirmed ones up to about
+`MAX_POSITIVE`, beyond that over a sample of so many. The fit itself uses a sample, bounded by `MAX_POSITIVE` and
 `MAX_UNLABELLED` rows; each row of it is the list of its telling words.
 """
 
