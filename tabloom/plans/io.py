@@ -11,6 +11,7 @@ from tabloom.functions import clean as cl
 from tabloom.functions import text as ft
 from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
+from tabloom.operators import series as se
 from tabloom.operators import text as ot
 from tabloom.plans.events import _ATTR_SQL, _EPOCH, _FAULT_SQL, _ANALYTICS_SQL, analytics_events, event_time, events_of_raw, raw_events
 from tabloom.plans.registry import query, spread, table
@@ -21,6 +22,7 @@ from tabloom.session import staging_path
 from tabloom.sources import readers, topics, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv as dirty
 from tabloom.sources.inline import inline_table as literal
+from tabloom.sources.onefile import sink_csv_file
 from tabloom.streaming import backoff, replay
 from tabloom.streaming import publish as pb
 from tabloom.streaming.intake import row_stream
@@ -409,6 +411,17 @@ def word_counts_csv(spark, sf_dir):
     return lines.join(before, "part").select("word", "count", (place + F.col("before")).cast("bigint").alias("place"))
 
 
+@query("word_counts_file", f"SELECT word, \"count\", row_number() OVER (ORDER BY \"count\" DESC, word) AS place FROM ({_FREQ})")
+def word_counts_file(spark, sf_dir):
+    """The ordered counts as one CSV file written by many tasks, read back with each line's place."""
+    path = f"{staging_path(spark, 'word-counts')}/counts.csv"
+    freq = ot.word_freq(table(spark, sf_dir, "documents").select("text"), ft.word_tokens(F.col("text")))
+    sink_csv_file(freq, path, [F.desc("count"), F.asc("word")])
+    lines = readers.scan_csv(spark, path, "word string, count bigint", escape='"')
+    placed = se.reset_index(lines.withColumn("_at", F.monotonically_increasing_id()), [], "_at")
+    return placed.select("word", "count", (F.col("idx") + 1).cast("bigint").alias("place"))
+
+
 @query("top5_csv", f'{_FREQ} ORDER BY "count" DESC, word LIMIT 5')
 def top5_csv(spark, sf_dir):
     path = staging_path(spark, "top5")

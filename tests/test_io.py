@@ -12,7 +12,7 @@ from tabloom.functions import clean as cl
 from tabloom.operators import events as ev
 from tabloom.operators import rollup as ro
 from tabloom.session import staging_path, staging_root
-from tabloom.sources import readers, writers
+from tabloom.sources import onefile, readers, writers
 from tabloom.sources.dirty_csv import scan_dirty_csv
 from tabloom.sources.inline import inline_table
 from tabloom.streaming import publish as pb
@@ -119,6 +119,21 @@ def test_csv_and_json_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_one_ordered_file(spark, tmp_path, block):
+    rows = [(i * 7919 % 1009, f'é "q", {i}' if i % 3 else None) for i in range(1009)]
+    df = inline_table(spark, rows, "i int, s string").repartition(6)
+    path = tmp_path / "out" / "one.csv"
+    size = onefile.sink_csv_file(df, f"file://{path}", [F.asc("i")], block)
+    assert size == path.stat().st_size
+    back = list(csv.DictReader(io.StringIO(path.read_text(encoding="utf-8"))))
+    assert [(int(r["i"]), r["s"] or None) for r in back] == sorted(rows)
+    onefile.sink_csv_file(df.limit(0), str(path), [F.asc("i")], block)
+    assert path.read_text() == "i,s\n"
+    with pytest.raises(ValueError, match="mounted"):
+        onefile.sink_csv_file(df, "hdfs://x/one.csv", [F.asc("i")])
+
+
 def test_kv_text_is_sorted_within_files(spark, tmp_path):
     writers.sink_kv_text(spark.range(200).select(F.col("id").cast("string").alias("word"), F.lit(1).alias("count")), str(tmp_path / "kv"))
     for part in (tmp_path / "kv").glob("part-*"):
