@@ -329,7 +329,7 @@ def stream_retry(spark, sf_dir):
 
     backoff.first_attempt(events, deliver, tried, first).awaitTermination()
     query = backoff.later_attempts(tried, deliver, settled, later, spark, base=0.2, every="0 seconds")
-    backoff.stop_when_idle(query)
+    backoff.stop_when_settled(query, spark, tried, settled)
     out = backoff.outcomes(spark.read.parquet(tried), spark.read.parquet(settled), events.schema, event_time())
     return out.select("id", "attempts", "outcome", "topic")
 

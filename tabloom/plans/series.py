@@ -143,20 +143,20 @@ def newton_interp(spark, sf_dir):
 
 
 @query("local_interp", f"""
-    WITH s AS ({_DAILY_SQL}), q AS (SELECT user_id, (x + 0.5)::DOUBLE AS x FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS idx,
+    WITH s AS ({_DAILY_SQL}), q AS (SELECT user_id, x + 1::DOUBLE / 3 AS x FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x) - 1 AS idx,
         count(*) OVER (PARTITION BY user_id) AS n FROM s),
       b AS (SELECT q.user_id, q.x, any_value(r.n) AS n, greatest(least(max(r.idx) FILTER (r.x <= q.x) - 1, any_value(r.n) - 4), 0) AS start
         FROM q JOIN r ON r.user_id = q.user_id GROUP BY q.user_id, q.x),
       t AS (SELECT b.user_id, b.x, i.x AS xi, any_value(i.y) * coalesce(product((b.x - j.x) / (i.x - j.x)), 1) AS v FROM b
         JOIN r i ON i.user_id = b.user_id AND i.idx BETWEEN b.start AND b.start + 3
         LEFT JOIN r j ON j.user_id = b.user_id AND j.idx BETWEEN b.start AND b.start + 3 AND j.x <> i.x GROUP BY b.user_id, b.x, i.x)
-    SELECT user_id, x, round(sum(v), 8) AS y FROM t GROUP BY user_id, x
+    SELECT user_id, x, round(sum(v), 6) AS y FROM t GROUP BY user_id, x
 """)
 def local_interp(spark, sf_dir):
-    """Cubics through the four days around each half day."""
+    """Cubics through the four days around a third of each day."""
     series = daily_series(spark, sf_dir)
-    probes = series.select("user_id", (F.col("x") + 0.5).alias("x"))
-    return _round(se.local_interp(series, probes, ["user_id"], "x", "y", 4), "y", digits=8)
+    probes = series.select("user_id", (F.col("x") + 1 / 3).alias("x"))
+    return _round(se.local_interp(series, probes, ["user_id"], "x", "y", 4), "y", digits=6)
 
 
 @query("trapezoid", f"""

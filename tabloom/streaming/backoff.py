@@ -48,7 +48,9 @@ def later_attempts(tried: str, deliver: Deliver, path: str, checkpoint: str, spa
     """Try the refused events below ``tried`` again, ``base ** attempt`` seconds after their last attempt.
 
     Writes (key, event, ok, attempts) below ``path`` once an event is settled: taken, or refused ``max_retries`` times more.
-    An event that is settled leaves no state. Each batch looks at the timers, so ``every`` bounds how late one is.
+    An event that is settled leaves no state. Each batch looks at the timers, so ``every``, or a second if that is longer,
+    bounds how late one is: a source of ticks makes a batch due each second, since a query that is started again
+    runs none of its own accord before there is input.
     """
 
     def attempt(key, frames, state: GroupState):
@@ -67,24 +69,27 @@ def later_attempts(tried: str, deliver: Deliver, path: str, checkpoint: str, spa
         state.update((event, tries))
         state.setTimeoutDuration(max(1, round(1000 * base**tries)))
 
-    refused = spark.readStream.schema(_TRIED).parquet(tried).where(~F.col("ok"))
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+    ticks = ticks.select(F.lit("").alias("key"), F.lit("").alias("event"), F.lit(False).alias("ok"))
+    refused = spark.readStream.schema(_TRIED).parquet(tried).where(~F.col("ok")).unionByName(ticks)
     settled = refused.groupBy("key").applyInPandasWithState(
         attempt, _SETTLED, "event string, attempts int", "append", GroupStateTimeout.ProcessingTimeTimeout)
     writer = settled.writeStream.format("parquet").option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(processingTime=every).start(path)
 
 
-def stop_when_idle(query: StreamingQuery, timeout: float = 600) -> None:
-    """Wait until no event waits for an attempt and no input is new, then stop the query."""
+def stop_when_settled(query: StreamingQuery, spark, tried: str, settled: str, timeout: float = 600) -> None:
+    """Wait until every event that is refused by now has a last answer, then stop the query of the later attempts."""
+    waiting = spark.read.schema(_TRIED).parquet(tried).where(~F.col("ok")).select("key").distinct().count()
     end = time.monotonic() + timeout
     while time.monotonic() < end:
         if query.exception():
             raise query.exception()
-        seen = query.lastProgress
-        if seen and not seen["numInputRows"] and not sum(s["numRowsTotal"] for s in seen["stateOperators"]):
+        batches = query.lastProgress  # its sink is there once a batch has ended
+        if not waiting or batches and spark.read.schema(_SETTLED).parquet(settled).select("key").distinct().count() >= waiting:
             query.stop()
             return
-        time.sleep(0.1)
+        time.sleep(0.2)
     query.stop()
     raise TimeoutError("events are still waiting")
 

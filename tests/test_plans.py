@@ -25,7 +25,7 @@ def plan_of(df):
 def test_plan(spark, sf_dir, name):
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert ("MapInPandas" in plan) == (name == "poly_fit")
+    assert ("MapInPandas" in plan) == (name in ("poly_fit", "poly_fit_high"))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Scan ExistingRDD" not in plan
     bare = [w for w in re.findall(r"Window \[.*", plan) if re.search(r"\], \[[a-z_]+#?\w* (ASC|DESC)[^\]]*\]\s*$", w) and w.count("], [") == 1]

@@ -40,7 +40,7 @@ def test_refused_events_do_not_delay_others_and_outlive_a_stop(spark, tmp_path):
         time.sleep(0.05)
     query.stop()  # events wait in the state of the checkpoint
     query = backoff.later_attempts(tried, _deliver, settled, later, spark, base=1.5, every="0 seconds")
-    backoff.stop_when_idle(query, 120)
+    backoff.stop_when_settled(query, spark, tried, settled, 120)
     out = backoff.outcomes(spark.read.parquet(tried), spark.read.parquet(settled), events.schema, F.lit("2024-01-01").cast("timestamp")).collect()
     assert len(out) == len({r.key for r in out}) == 100
     assert {(r.id % 5, r.attempts, r.outcome) for r in out} == {
