@@ -19,6 +19,7 @@ from tabloom.operators.ordered import BLOCK_ROWS
 from tabloom.session import staging_path
 
 MAX_ORDER, MAX_ORDERS = 8, 64
+FIT_ROWS = 1024  # points of a series that one factorisation takes, if the series is not very long
 
 
 def reset_index(df: DataFrame, keys: Sequence[str], x: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -279,7 +280,7 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) ->
 
     Up to degree 6 the rows are brought down to sums of powers of z, one short row per series, by an ordinary
     aggregation, and only these rows are solved in Python. Such sums square the condition number, so higher degrees
-    (up to 30) go by orthogonal triangles: see ``_triangles``.
+    (up to 30) go by orthogonal triangles: see ``_fit_by_triangles``.
     """
     if not 0 <= degree <= 30:
         raise ValueError("degree must be between 0 and 30")
@@ -318,60 +319,57 @@ def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) ->
     return sums.mapInPandas(solve, schema)
 
 
-def _triangles(columns: list[str], degree: int, merge: bool):
-    """Per series the triangle R of a QR factorisation of [Chebyshev polynomials of z | y], over some of its rows.
-
-    Stacked triangles of parts have the triangle of the whole, so they merge in any order, and the least-squares
-    problem of a series of any length comes down to a matrix of ``degree + 2`` columns.
-    """
-    width = degree + 2
-
-    def run(pdf):
-        if merge:
-            rows = np.stack(pdf["_r"].to_numpy()).reshape(-1, width)
-        else:
-            basis = np.polynomial.chebyshev.chebvander(pdf["_z"].to_numpy(float), degree)
-            rows = np.column_stack([basis, pdf["_y"].to_numpy(float)])
-        r = np.linalg.qr(np.vstack([rows, np.zeros((max(width - len(rows), 0), width))]), mode="r")
-        return pdf.iloc[:1][columns].assign(n=int(pdf["n"].sum()), _r=[r.ravel().tolist()])
-
-    return run
+def _triangle(rows: np.ndarray, width: int) -> np.ndarray:
+    """The triangle R of a QR factorisation, ``width`` rows high however few rows there are."""
+    return np.linalg.qr(np.vstack([rows, np.zeros((max(width - len(rows), 0), width))]), mode="r")
 
 
 def _fit_by_triangles(df: DataFrame, keys: list[str], x: str, y: str, degree: int) -> DataFrame:
+    """Per block of a series the triangle R of a QR factorisation of [Chebyshev polynomials of z | y], then one of them all.
+
+    Stacked triangles of parts have the triangle of the whole, so the least-squares problem of a series of any length
+    comes down to a matrix of ``degree + 2`` columns. A series is one block unless it is long. Blocks go by the hash of
+    the point, equal points being one row with a weight, and grow with the root of the series, as do the triangles to stack.
+    """
+    width = degree + 2
     known = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
-    ends = known.groupBy(*keys).agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    points = known.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w"))
+    ends = points.groupBy(*keys).agg(
+        F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.count("*").alias("_points"), F.sum("_w").alias("n"))
     half = (F.col("_b") - F.col("_a")) / 2
+    size = F.greatest(F.lit(float(FIT_ROWS)), F.sqrt(F.col("_points") * width))
     ends = ends.select(
-        *keys, ((F.col("_a") + F.col("_b")) / 2).alias("mid"), F.when(half > 0, half).otherwise(1.0).alias("half"))
+        *keys, ((F.col("_a") + F.col("_b")) / 2).alias("mid"), F.when(half > 0, half).otherwise(1.0).alias("half"), "n",
+        F.ceil(F.col("_points") / size).alias("_blocks"))
     z = (F.col("_x") - F.col("mid")) / F.col("half")
-    rows = od.attach(known, ends, keys).select(*keys, "mid", "half", z.alias("_z"), "_y", F.lit(1).cast("bigint").alias("n"))
-    head = [*keys, "mid", "half"]
-    own = T.StructType([rows.schema[c] for c in head]).simpleString()[len("struct<"):-1].replace(":", " ")
-    schema = f"{own}, _part bigint, n bigint, _r array<double>"
-    first = _triangles([*head, "_part"], degree, False)
+    head = [*keys, "mid", "half", "n"]
+    rows = od.attach(points, ends, keys).select(
+        *head, F.pmod(F.xxhash64("_x", "_y"), F.col("_blocks")).alias("_block"), z.alias("_z"), "_y", "_w")
+    blocks = rows.groupBy(*head, "_block").agg(*[F.collect_list(c).alias(c) for c in ("_z", "_y", "_w")])
+    own = T.StructType([blocks.schema[c] for c in head]).simpleString()[len("struct<"):-1].replace(":", " ")
 
-    def within(batches):
+    def first(batches):
         for pdf in batches:
-            for _, part in pdf.groupby(head, dropna=False, sort=False):
-                yield first(part)
+            out = []
+            for zs, ys, weights in zip(pdf["_z"], pdf["_y"], pdf["_w"]):
+                basis = np.polynomial.chebyshev.chebvander(zs, degree)
+                out.append(_triangle(np.column_stack([basis, ys]) * np.sqrt(weights)[:, None], width).ravel())
+            yield pdf[head].assign(_r=pd.Series(out, dtype=object, index=pdf.index))
 
-    # a triangle per series and batch, then per series and one of many parts, then per series
-    parts = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(256)).cast("bigint")).mapInPandas(within, schema)
-    parts = parts.groupBy(*head, "_part").applyInPandas(_triangles([*head, "_part"], degree, True), schema)
-    whole = parts.groupBy(*head).applyInPandas(_triangles([*head, "_part"], degree, True), schema)
+    parts = blocks.mapInPandas(first, f"{own}, _r array<double>")
+    whole = parts.groupBy(*head).agg(F.collect_list("_r").alias("_r"))
 
     def solve(batches):
         for pdf in batches:
             out = []
-            for flat in pdf["_r"]:
-                r = np.asarray(flat).reshape(degree + 2, degree + 2)
+            for stacked in pdf["_r"]:
+                r = _triangle(np.concatenate(list(stacked)).reshape(-1, width), width)
                 found = np.linalg.lstsq(r[: degree + 1, : degree + 1], r[: degree + 1, -1], rcond=1e-13)[0]
                 plain = np.polynomial.chebyshev.cheb2poly(found)
-                out.append(np.pad(plain, (0, degree + 1 - len(plain))).tolist())
-            yield pdf.drop(columns=["_part", "_r"]).assign(coefs=pd.Series(out, dtype=object))
+                out.append(np.pad(plain, (0, degree + 1 - len(plain))))
+            yield pdf[head].assign(coefs=pd.Series(out, dtype=object, index=pdf.index))
 
-    return whole.mapInPandas(solve, f"{own}, n bigint, coefs array<double>")
+    return whole.mapInPandas(solve, f"{own}, coefs array<double>")
 
 
 def poly_value(coefs: Column, mid: Column, half: Column, at: Column) -> Column:

@@ -64,6 +64,24 @@ def test_polynomials_of_high_degree(spark, degree):
         se.poly_fit(df, ["k"], "x", "y", 31)
 
 
+def test_many_series_are_fitted_without_a_python_group_each(spark):
+    rng = np.random.default_rng(5)
+    long = [(0, float(a), float(np.sin(3 * a))) for a in rng.random(5000)]  # cut into blocks
+    same = [(1, float(a % 40), float(a % 7)) for a in range(400)] * 3  # points that come again, also with another y
+    short = [(k, float(a), float(a**2 + k)) for k in range(2, 400) for a in range(15)]
+    df = spark.createDataFrame(long + same + short, "k int, x double, y double").repartition(7)
+    fitted = se.poly_fit(df, ["k"], "x", "y", 12)
+    plan = fitted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+    got = {r.k: r for r in fitted.select("k", "n", *[se.poly_value(F.col("coefs"), F.col("mid"), F.col("half"), F.lit(v)).alias(c) for c, v in (("a", 0.5), ("b", 3.5))]).collect()}
+    assert len(got) == 400 and [got[k].n for k in (0, 1, 2)] == [5000, 1200, 15]
+    assert got[0].a == pytest.approx(np.sin(1.5), rel=1e-8)
+    x, y = np.array([p[1:] for p in same]).T
+    dense = np.polynomial.chebyshev.chebfit((x - 19.5) / 19.5, y, 12)
+    assert got[1].b == pytest.approx(np.polynomial.chebyshev.chebval((3.5 - 19.5) / 19.5, dense), rel=1e-8)
+    assert all(got[k].b == pytest.approx(3.5**2 + k, rel=1e-8) for k in range(2, 400))
+
+
 def _lagrange(nodes, values, at):
     return sum(v * np.prod([(at - b) / (a - b) for b in nodes if b != a]) for a, v in zip(nodes, values))
 
