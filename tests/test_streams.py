@@ -48,6 +48,32 @@ def test_refused_events_do_not_delay_others_and_outlive_a_stop(spark, tmp_path):
     assert all((r.topic == ev.DEAD_LETTER_TOPIC) == (r.attributes.get("error_reason") == "retries exhausted") for r in out)
 
 
+def test_refused_events_are_tried_again_many_at_a_time(spark, tmp_path):
+    source, tried, settled, first, later = _paths(tmp_path, "in", "tried", "settled", "p1", "p2")
+    calls = str(tmp_path / "calls")
+
+    def _deliver(keys, rows, attempt):
+        if attempt:
+            with open(calls, "a") as out:
+                out.write(f"{attempt} {len(keys)}\n")
+        return [json.loads(row)["id"] % 5 <= attempt for row in rows]
+
+    rows = spark.range(300).unionByName(spark.range(100))  # a third of the keys come twice
+    rows.withColumn("id", F.when(F.col("id") != 299, F.col("id"))).coalesce(2).write.parquet(source)  # and one has no key
+    events = _events(pb.stream_table(spark, source).withColumn("id", F.coalesce("id", F.lit(299))))
+    events = events.withColumn("key", F.when(F.col("id") != 299, F.col("key")))
+    backoff.first_attempt(events, _deliver, tried, first).awaitTermination()
+    query = backoff.later_attempts(tried, _deliver, settled, later, spark, base=0.1, every="0 seconds", groups=3)
+    backoff.stop_when_settled(query, spark, tried, settled, 120)
+    got = spark.read.parquet(settled).collect()
+    assert len(got) == len({r.key for r in got}) == 240 and any(r.key is None for r in got)
+    want = {1: (True, 2), 2: (True, 3), 3: (True, 4), 4: (False, 4)}
+    assert all((r.ok, r.attempts) == want[json.loads(r.event)["id"] % 5] for r in got)
+    made = [tuple(map(int, line.split())) for line in open(calls)]
+    assert {a: sum(n for b, n in made if b == a) for a in (1, 2, 3)} == {1: 240, 2: 180, 3: 120}
+    assert len(made) == 9  # a call per group and attempt
+
+
 def test_intake_counts_rows(spark, tmp_path):
     source, progress = _paths(tmp_path, "in", "p")
     spark.range(0, 2500, 1, 3).write.option("parquet.block.size", 1000).parquet(source)
