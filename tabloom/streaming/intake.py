@@ -2,6 +2,9 @@
 
 Spark's file source counts files. This source counts rows: an offset is a place in a folder of Parquet files (file and
 row), and each batch ends at most ``max_rows`` rows after the last. A batch is read in ranges of rows by as many tasks.
+
+A range in the middle of a row group is reached by decoding what lies before it. So that this is not done again for each
+batch, a Python worker that has read up to a place keeps the file open there and goes on from it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,54 @@ def _file(path: str):
     from pyarrow.parquet import ParquetFile
 
     disk, name = _disk(path)
-    return ParquetFile(disk.open_input_file(name))
+    return ParquetFile(disk.open_input_file(name), buffer_size=1 << 20)
+
+
+KEPT = 4
+PLACES: dict[tuple, _Place] = {}
+
+
+def _places() -> dict[tuple, _Place]:
+    """The places this worker keeps. This module's functions are sent by value, so its own names last for one task only."""
+    try:
+        from tabloom.streaming import intake
+    except ImportError:  # a worker without the package reads each range from the start of its row group
+        return {}
+    return intake.PLACES
+
+
+class _Place:
+    """A file read forwards; ``at`` is the next row."""
+
+    def __init__(self, path: str, columns: list[str]):
+        self.file, self.columns, self.at = _file(path), columns, 0
+        meta = self.file.metadata
+        sizes = [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+        self.ends = [sum(sizes[: g + 1]) for g in range(len(sizes))]
+        self.group, self.batches, self.rest = -1, iter(()), None
+
+    def rows(self, first: int, stop: int):
+        """The rows from ``first`` on up to ``stop``; ``first`` is not before ``at``."""
+        while self.at < stop:
+            if self.rest is None:
+                self._next(first)
+            batch, self.rest = self.rest, None
+            begin, end = max(first - self.at, 0), min(stop - self.at, batch.num_rows)
+            if end < batch.num_rows and begin < batch.num_rows:
+                self.rest = batch.slice(end)
+                self.at += end
+            else:
+                self.at += batch.num_rows
+            if end > begin:
+                yield batch.slice(begin, end - begin).select(self.columns)
+
+    def _next(self, first: int) -> None:
+        """The next rows, from the row group that holds ``first`` if that is a later one."""
+        here = next(g for g, end in enumerate(self.ends) if end > max(first, self.at))
+        if here != self.group:
+            self.group, self.at = here, self.ends[here - 1] if here else 0
+            self.batches = self.file.iter_batches(10_000, [here], self.columns)
+        self.rest = next(self.batches)
 
 
 class _Rows(InputPartition):
@@ -93,18 +143,16 @@ class RowRangeReader(DataSourceStreamReader):
 
     def read(self, partition: _Rows):
         """Only the row groups that hold the range are read, some rows at a time."""
-        file = _file(partition.path)
-        first = 0
-        for group in range(file.num_row_groups):
-            stop = first + file.metadata.row_group(group).num_rows
-            if first < partition.stop and stop > partition.first:
-                at = first
-                for batch in file.iter_batches(10_000, [group], self.columns):
-                    a, b = max(partition.first - at, 0), min(partition.stop - at, batch.num_rows)
-                    at += batch.num_rows
-                    if b > a:
-                        yield batch.slice(a, b - a).select(self.columns)
-            first = stop
+        disk, name = _disk(partition.path)
+        info = disk.get_file_info(name)
+        places, key = _places(), (partition.path, info.size, info.mtime_ns, tuple(self.columns))
+        place = places.pop(key, None)
+        if place is None or place.at > partition.first:
+            place = _Place(partition.path, self.columns)
+        yield from place.rows(partition.first, partition.stop)
+        places[key] = place
+        while len(places) > KEPT:
+            places.pop(next(iter(places)))
 
     def _files(self) -> list[str]:
         from pyarrow import fs

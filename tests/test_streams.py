@@ -102,6 +102,28 @@ def test_intake_counts_rows(spark, tmp_path):
     assert sorted(sizes.values()) == [100, 100] + [400] * 6 and set(seen) == set(range(2600))
 
 
+def test_ranges_of_a_row_group_go_on_where_the_last_one_ended(spark, tmp_path, monkeypatch):
+    spark.range(0, 100_000, 1, 1).write.option("compression", "none").parquet(str(tmp_path / "in"))
+    spark.range(100_000, 130_000, 1, 1).write.option("parquet.block.size", 50_000).mode("append").parquet(str(tmp_path / "in"))
+    options = {"path": str(tmp_path / "in"), "max_rows": "7000", "task_rows": "3000", "checkpoint": str(tmp_path / "p")}
+    reader = intake.RowRangeReader(options, spark.read.parquet(options["path"]).schema)
+    opened, file = [], intake._file
+    place, ranges = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != place:
+        ranges += reader.partitions(place, end)
+        place = end
+    monkeypatch.setattr(intake, "_file", lambda path: opened.append(path) or file(path))
+
+    def read(parts):
+        return [[v for batch in reader.read(p) for v in batch["id"].to_pylist()] for p in parts]
+
+    got = read(ranges)
+    assert sorted(v for part in got for v in part) == list(range(130_000)) and len(ranges) > 40
+    assert len(opened) == len(set(opened)) == 2  # not once for each range
+    assert read(ranges[::-1]) == got[::-1]  # a range that comes again
+    assert read(ranges[::3]) == got[::3]  # others are read elsewhere
+
+
 def test_batches_of_topics_are_whole(spark, tmp_path):
     path = str(tmp_path / "sink")
     events = _events(spark.range(0, 100, 1, 4)).withColumn(
