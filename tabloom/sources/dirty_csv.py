@@ -20,13 +20,21 @@ _BACKSLASH = "\ue000"
 _SPLIT = ["_file", "_start"]
 # A record that goes on over more splits than this is no record: strings end at 2 GB.
 MAX_SPLITS = 64
+# Bytes of records that go on in later splits, at most one a split, up to which they are sent to every task.
+SMALL_TAILS = 8 << 20
+
+
+def _once(df: DataFrame, row: Column) -> DataFrame:
+    """The fields of a struct as columns. What is done with them later is not worked out of ``row`` again for each use."""
+    return df.select(F.inline(F.array(row)))
 
 
 def _one_escape(text: Column) -> Column:
     r"""``\\`` to a backslash, ``\"`` to ``""`` and any other escaped character to itself."""
     kept = F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH))
     quotes = F.replace(kept, F.lit('\\"'), F.lit('""'))
-    return F.replace(F.regexp_replace(quotes, r"\\(.)", "$1"), F.lit(_BACKSLASH), F.lit("\\"))
+    plain = F.replace(F.regexp_replace(quotes, r"\\(.)", "$1"), F.lit(_BACKSLASH), F.lit("\\"))
+    return F.when(F.contains(text, F.lit("\\")) | F.contains(text, F.lit(_BACKSLASH)), plain).otherwise(text)
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +69,8 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
     begun = F.when(F.col("_last") > 0, F.struct("_start", "_last"))
     owner = last.select(*_SPLIT, F.last(begun, ignorenulls=True).over(along).alias("_owner"))
     parts = pieces.filter(F.col("_rec") == 0).join(owner, _SPLIT)
-    longest = parts.groupBy("_file", "_owner").count().agg(F.max("count")).first()[0]
+    sizes = parts.groupBy("_file", "_owner").agg(F.count("*").alias("_n"), F.sum(F.octet_length("text")).alias("_bytes"))
+    longest, carried = sizes.agg(F.max("_n"), F.sum("_bytes")).first()
     if (longest or 0) > MAX_SPLITS:
         raise ValueError(f"a record runs over {longest} splits: a quote is left open")
     tails = (
@@ -70,6 +79,8 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("_start", "text"))).alias("_t"))
         .select("_file", "_start", "_rec", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("_tail"))
     )
+    if (carried or 0) <= SMALL_TAILS:
+        tails = F.broadcast(tails)
     whole = pieces.filter(F.col("_rec") > 0).join(tails, [*_SPLIT, "_rec"], "left")
     return whole.select(*_SPLIT, "_rec", F.concat_ws("\n", "text", "_tail").alias("text"))
 
@@ -89,11 +100,11 @@ def scan_dirty_csv(
         records = records.filter((F.col("_start") != 0) | (F.col("_rec") != 1))
     body = records.filter(F.col("text") != "").select("text")
     bare = F.regexp_replace("text", '"[^"]*"', "")
-    body = body.withColumn("_fields", F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
+    body = _once(body, F.struct("text", F.size(F.split(bare, ",")).alias("_fields")))
     schema = ", ".join(f"`{c}` string" for c in names)
     options = {"escape": '"', "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"}
     good = body.filter(F.col("_fields") <= len(names))
-    parsed = good.select("_fields", F.from_csv("text", schema, options).alias("r"))
+    parsed = _once(good, F.struct("_fields", F.from_csv("text", schema, options).alias("r")))
     rows = parsed.select(
         *[
             F.when(F.col("_fields") > i, F.coalesce(F.col("r").getField(c), F.lit(""))).alias(c)

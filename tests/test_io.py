@@ -30,7 +30,7 @@ line","A",8
 
 
 def test_dirty_csv_probe(spark, tmp_path):
-    (tmp_path / "p.csv").write_text(PROBE, encoding="utf-8")
+    (tmp_path / "p.csv").write_text(PROBE)
     rows, bad = scan_dirty_csv(spark, str(tmp_path / "p.csv"))
     got = {r.id: r for r in rows.collect()}
     assert set(got) == {"1", "2", "3", "4.5", "x", "7"}
@@ -54,7 +54,7 @@ def test_dirty_csv_over_split_borders(spark, tmp_path, split):
         out.writerow(["id", "text", "n"])
         for r in rows:
             out.writerow([r[0], r[1].replace("\\", "\\\\"), r[2]])
-        (tmp_path / f"{part}.csv").write_text(buffer.getvalue(), encoding="utf-8")
+        (tmp_path / f"{part}.csv").write_text(buffer.getvalue())
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     try:
@@ -68,7 +68,7 @@ def test_dirty_csv_over_split_borders(spark, tmp_path, split):
 
 def test_open_quote_is_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tabloom.sources.dirty_csv.MAX_SPLITS", 3)
-    (tmp_path / "open.csv").write_text('id,t\n1,"left open\n' + "2,x\n" * 200, encoding="utf-8")
+    (tmp_path / "open.csv").write_text('id,t\n1,"left open\n' + "2,x\n" * 200)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
     try:
@@ -233,3 +233,16 @@ def test_staging_can_be_cleared(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(paths[0])
     assert clear_staging(spark) == 0
+
+
+def test_dirty_csv_is_parsed_once_a_row(spark, tmp_path):
+    lines = ["id,title,revenue", '1,"a, \\"b\\"",3', "2,x\\,y", "3,\ue000,1d", "", "x,bad id,1", "5", "6,a,b,c", '7,"two', 'lines",4']
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    rows, bad = scan_dirty_csv(spark, str(tmp_path / "in.csv"))
+    clean = ro.clean_movies(rows, 2024)
+    plan = clean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv(") == 1 and plan.count('"[^"]*"') == 1
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        ("1", 'a, "b"', "3"), ("2", "x", "y"), ("3", "\\", "1d"), ("x", "bad id", "1"), ("5", None, None), ("7", "two\nlines", "4")], key=str)
+    assert [r.text for r in bad.collect()] == ["6,a,b,c"]
+    assert sorted(map(tuple, clean.select("id", "revenue").collect())) == [(1, 3.0), (2, None), (3, None), (5, None), (7, 4.0)]
