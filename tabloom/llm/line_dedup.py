@@ -3,10 +3,15 @@
 Spread is the number of distinct sites of a line, gathered as one HyperLogLog sketch per line hash; sketches merge in
 the aggregation, so a line that a third of all documents have is no larger than any other. Lines whose estimate is
 near the threshold are counted exactly. Everything is DataFrame operations.
+
+The lines found are few as a rule. Up to ``LISTED`` of them go to the tasks as a list of hashes, and no text is moved. More
+are joined to the lines of the documents, and the texts meet their hits in a shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +20,12 @@ from tabloom.llm import common
 MIN_SITES = 10
 NEAR = 0.2
 LG_K = 10
+LISTED = 4_000
 
 
 def line_hash(line: Column) -> Column:
     """Null for a blank line; letter case and outer blanks do not matter."""
-    bare = F.lower(F.trim(F.regexp_replace(line, "\r", "")))
+    bare = F.lower(F.trim(F.replace(line, F.lit("\r"), F.lit(""))))
     return F.when(bare != "", F.xxhash64(bare))
 
 
@@ -38,31 +44,44 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
     band = max(1.0, near * min_sites)
     guess = common.staged(guess.where(F.col("sites") >= min_sites - band), "spread")
     close = guess.where(F.col("sites") <= min_sites + band).select("line")
-    exact = lines.distinct().join(close, "line").groupBy("line").agg(F.count("*").alias("sites"))
+    exact = lines.distinct().join(close, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     return guess.where(F.col("sites") > min_sites + band).select("line").unionByName(
         exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def strip(docs: DataFrame, min_sites: int = MIN_SITES, counters: bool = True) -> DataFrame:
+def _listed(few: list[int], line: Column) -> Column:
+    return line.isin(few)
+
+
+def _joined(line: Column) -> Column:
+    return F.array_contains("__bad", line)
+
+
+def strip(docs: DataFrame, min_sites: int = MIN_SITES, counters: bool = True, listed: int = LISTED) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and with ``counters`` ``n_lines`` and ``n_removed``.
 
     A document that would lose all its lines but blank ones is left whole: of a text that stands on ``min_sites`` sites
     every line does, so its copies are among these, and near-duplicate removal decides on them. Null text stays null
     with no lines, and blank lines stay. Rows that repeat are treated alike. ``n_chars``, if there is one, follows the
-    text. The counters take the place of columns of their names.
+    text. The counters take the place of columns of their names. More than ``listed`` boilerplate lines are joined.
     """
-    keyed = docs.select(F.struct("*").alias("__row"), F.xxhash64("doc_id", "source", "text").alias("__key"),
-                        F.col("text").alias("__text"))
     bad = common.staged(spread_lines(docs.select("text", "source"), min_sites), "boilerplate")
-    own = docs.select(F.xxhash64("doc_id", "source", "text").alias("__key"),
-                      F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_hash))).alias("line"))
-    hits = own.join(bad, "line").groupBy("__key").agg(F.collect_set("line").alias("__bad"))
-    both = keyed.join(hits, "__key", "left")
-    lines = F.split("__text", "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bad", line_hash(x)), F.lit(False)))
-    both = both.select("__row", "__text", F.size(lines).alias("__all"),
-                       F.when(F.col("__bad").isNotNull(), kept).alias("__kept"))
-    cut = F.col("__kept").isNotNull() & F.exists("__kept", lambda x: line_hash(x).isNotNull())
+    few = [r.line for r in bad.limit(listed + 1).collect()]
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # the text moves but once
+    both = docs.select(F.xxhash64("doc_id", "source", "text").alias("__key"), rest.alias("__row"),
+                       F.col("text").alias("__text"))
+    if len(few) <= listed:
+        is_bad = functools.partial(_listed, few)
+    else:
+        own = docs.select(F.xxhash64("doc_id", "source", "text").alias("__key"),  # before the lines part: once a text
+                          F.array_distinct(F.transform(F.split("text", "\n"), line_hash)).alias("lines"))
+        hits = own.select("__key", F.explode("lines").alias("line")).join(bad, "line")
+        both = both.join(hits.groupBy("__key").agg(F.collect_set("line").alias("__bad")), "__key", "left")
+        is_bad = _joined
+    both = both.withColumn("__lines", F.split("__text", "\n"))
+    both = both.withColumn("__kept", F.filter("__lines", lambda x: ~F.coalesce(is_bad(line_hash(x)), F.lit(False))))
+    both = both.select("__row", "__text", "__kept", F.size("__lines").alias("__all"))
+    cut = (F.size("__kept") < F.col("__all")) & F.exists("__kept", lambda x: line_hash(x).isNotNull())
     both = both.withColumn("__cut", cut).withColumn(
         "__new", F.when(F.col("__cut"), F.array_join("__kept", "\n")).otherwise(F.col("__text")))
     changed = {"text": F.col("__new")}
@@ -73,7 +92,8 @@ def strip(docs: DataFrame, min_sites: int = MIN_SITES, counters: bool = True) ->
     if counters:
         counted["n_lines"] = F.when(F.col("__text").isNull(), 0).otherwise(F.col("__all")).cast("long")
         counted["n_removed"] = F.when(F.col("__cut"), F.col("__all") - F.size("__kept")).otherwise(0).cast("long")
-    columns = [changed.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns if c not in counted]
+    columns = [(changed[c] if c in changed else F.col("__row").getField(c)).alias(c) for c in docs.columns
+               if c not in counted]
     return both.select(*columns, *[c.alias(name) for name, c in counted.items()])
 
 

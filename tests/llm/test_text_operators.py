@@ -240,6 +240,24 @@ def test_line_removal_agrees_with_sql(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and any(r.n_removed for r in got)
 
 
+def test_line_removal_moves_no_text_twice(spark, capsys):
+    rows = [(i, f"own {i}\n" + "\n".join(f"Rule {j}\r" for j in range(i // 12 % 4)), "en", f"s{i % 12}") for i in range(96)]
+    rows += [(200 + i, "rule 0\nRULE 1", "en", "s1") for i in range(2)] + [(300, None, "en", None), (None, "rule 0\nmine", "en", None)]
+    d = docs(spark, [*rows, *rows[:5]]).withColumn("n_chars", F.length("text").cast("long"))
+    listed, joined = line_dedup.strip(d), line_dedup.strip(d, listed=2)
+    got = sorted(map(str, listed.collect()))
+    assert got == sorted(map(str, joined.collect())) and len(got) == 105 and "text='mine'" in "".join(got)
+    capsys.readouterr()
+    listed.explain()
+    assert "Exchange" not in capsys.readouterr().out  # a few lines go to the texts
+    joined.explain()
+    plan = capsys.readouterr().out
+    moved = [line for line in plan.splitlines() if " AS __row#" in line and "struct(" in line]
+    assert moved and all("text, text#" not in line and line.count(" AS __text#") == 1 for line in moved)  # once a row
+    parted = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert parted and not any("text#" in line for line in parted)  # and not once a line
+
+
 def test_licenses_against_brute_force(spark):
     texts = ["Released under the MIT License.", "under the mit license under the MIT license", "Licensed under CC BY-NC 4.0.", "cc by nc sa",
              "the Apache License, Version 2.0", "GNU General Public License, version 3 or later", "x under the mit licenses", *ODD]
