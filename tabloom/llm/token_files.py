@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import os
 import re
 import uuid
@@ -39,8 +40,12 @@ END_ID = 2
 KEPT = 1 << 20
 BYTES = 1 << 23
 TOKENIZER = "byte_bpe_50k.json"
-_DOUBLE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}] "
+_BLANK = r"\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}"
+_GLUE = "\0"
+_ODD = f"[{_BLANK}] |\\x00"
+_LINE_END = f"([^{_BLANK}]\\n)([^{_BLANK}])"
 _MARKS = ".,;:!?"
+_MARKED = rf"([\p{{L}}\p{{N}}])([{_MARKS}])"
 _WORD = re.compile(r"\S+")
 _BEFORE = re.compile(r"(?<=\S)(?= )")
 
@@ -149,7 +154,8 @@ class Coder:
     """Ids of texts by a tokenizer file, given by its path or by its name among the public vocabularies of the worker.
 
     Words come again and again, so the ids of pieces are kept: each piece goes through the tokenizer once as long as it is
-    remembered. The memory is emptied when it holds ``KEPT`` pieces; one batch may go beyond that.
+    remembered. When the memory holds ``KEPT`` pieces, those of the last texts stay, or none if they are over half of that;
+    one batch may go beyond that.
     """
 
     def __init__(self, name: str):
@@ -162,14 +168,24 @@ class Coder:
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
         self.line_feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
         self.begin: dict[str, int] = {}
         self.after: dict[str, int] = {}
-        self.pieces = 0
+        self.pieces = self.used = 0
         self.ids, self.end = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.used = 0
+
+    def _forget(self, recent: np.ndarray) -> None:
+        """Keep no pieces but those at the places ``recent``."""
+        stay = np.unique(recent)
+        if len(stay) > KEPT // 2:
+            stay = stay[:0]
+        size = self.end[stay + 1] - self.end[stay]
+        self.ids, self.end = self._gather(stay, size), np.append(0, np.cumsum(size))
+        number = np.full(self.pieces, -1)
+        number[stay] = np.arange(len(stay))
+        number = number.tolist()
+        self.begin = {piece: number[i] for piece, i in self.begin.items() if number[i] >= 0}
+        self.after = {piece: number[i] for piece, i in self.after.items() if number[i] >= 0}
+        self.pieces, self.used = len(stay), len(self.ids)
 
     def _coded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in a row, and how many each has.
@@ -189,19 +205,29 @@ class Coder:
     def _spelled(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for pieces of letters alone, which are one word to the model: it gets them as it spells bytes."""
         spelled = "\n".join(new).encode("utf-8", "surrogatepass").decode("latin-1").translate(_SPELLING).split(_SPELLING[10])
-        coded = [[t.id for t in self.tokenizer.model.tokenize(p)] for p in spelled]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+        tokenize, number = self.tokenizer.model.tokenize, operator.attrgetter("id")
+        ids, sizes = [], []
+        for word in spelled:
+            found = tokenize(word)
+            sizes.append(len(found))
+            ids += map(number, found)
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
 
     def _learn(self, new: list[str], known: dict[str, int], blank: str) -> None:
-        """Keep the ids of new pieces. A word with marks behind has the ids of the word and then those of the marks."""
+        """Keep the ids of new pieces.
+
+        A word with marks or a line feed behind has the ids of the word and then those of the rest.
+        """
         letters, words, other, marked = [], [], [], []
         for piece in new:
-            bare = piece.rstrip(_MARKS)
-            if len(bare) < len(piece) and bare and bare[-1].isalnum() and _WORD.fullmatch(bare):
+            if piece.isalpha():
+                letters.append(piece)
+                continue
+            bare = piece[:-1] if piece[-1:] == "\n" else piece.rstrip(_MARKS)
+            if len(bare) < len(piece) and bare and (bare[-1].isalnum() or piece[-1] == "\n") and _WORD.fullmatch(bare):
                 marked.append((piece, bare))
             else:
-                (letters if piece.isalpha() else words if _WORD.fullmatch(piece) else other).append(piece)
+                (words if _WORD.fullmatch(piece) else other).append(piece)
         if letters:
             self._keep(letters, *self._spelled([blank + p for p in letters]), known)
         for part in (words, other):
@@ -216,10 +242,10 @@ class Coder:
     def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray, known: dict[str, int]) -> None:
         first, stop = self.pieces, self.used + len(ids)
         self.pieces += len(sizes)
-        while stop > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.pieces >= len(self.end):
-            self.end = np.concatenate([self.end, np.zeros_like(self.end)])
+        if stop > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(stop, np.uint32)])
+        if self.pieces >= len(self.end):
+            self.end = np.concatenate([self.end, np.zeros(self.pieces, np.int64)])
         self.ids[self.used:stop] = ids
         self.end[first + 1:self.pieces + 1] = self.used + np.cumsum(sizes)
         known.update(zip(pieces, range(first, self.pieces)))
@@ -233,7 +259,7 @@ class Coder:
         """Where the ids of each of some pieces are, that stand behind ``blank``; new ones are learned."""
         known = self.after if blank else self.begin
         get = known.get
-        place = np.array([get(p, -1) for p in found], np.int64)
+        place = np.fromiter(map(get, found, itertools.repeat(-1)), np.int64, len(found))
         new = np.flatnonzero(place < 0)
         if len(new):
             self._learn(list(dict.fromkeys([found[i] for i in new])), known, blank)
@@ -244,7 +270,9 @@ class Coder:
         """The ids of each text, with ``end_id`` behind.
 
         Where no blank follows white space, pieces are what stands between blanks: Arrow cuts them and numbers the different
-        ones, so that only these are looked up one by one.
+        ones, so that only these are looked up one by one. A line feed inside such a piece, with other characters than white
+        space around it, has an id of its own, so the text is cut behind it too, by a blank that is not coded. Within a
+        text no other piece ends with a line feed. A mark behind a letter or digit begins a piece that is glued to it.
         """
         texts = pc.fill_null(texts, "")
         stop = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy()))
@@ -253,22 +281,24 @@ class Coder:
             after = max(row + 1, int(np.searchsorted(stop, stop[row] + BYTES, side="right")) - 1)
             part = texts.slice(row, after - row)
             row = after
-            if self.pieces > KEPT:
-                self._forget()
-            plain = pc.invert(pc.match_substring_regex(part, _DOUBLE))
-            cut = pc.split_pattern(pc.if_else(plain, part, ""), " ")
+            plain = pc.invert(pc.match_substring_regex(part, _ODD))
+            lines = pc.replace_substring_regex(pc.if_else(plain, part, ""), _LINE_END, r"\1 \2")
+            lines = pc.replace_substring_regex(lines, _MARKED, rf"\1 {_GLUE}\2")
+            cut = pc.split_pattern(lines, " ")
             start = cut.offsets.to_numpy() - cut.offsets[0].as_py()
             named = cut.flatten().dictionary_encode()
-            kinds = named.dictionary.to_pylist()
+            kinds = named.dictionary.to_numpy(zero_copy_only=False).tolist()
             at = named.indices.to_numpy()
-            head = at[start[:-1]]
-            later = np.ones(len(at), bool)
-            later[start[:-1]] = False  # what begins a text has no blank before it
+            ended = pc.ends_with(named.dictionary, "\n").to_numpy(zero_copy_only=False)
+            begin = np.append(True, ended[at[:-1]])  # what begins a text or a line has no blank before it
+            begin[start[:-1]] = True
+            glued = pc.starts_with(named.dictionary, _GLUE).to_numpy(zero_copy_only=False)
             place = np.zeros(len(kinds), np.int64)
-            used = np.flatnonzero(np.bincount(at[later], minlength=len(kinds)))
-            place[used] = self._places(kinds if len(used) == len(kinds) else [kinds[i] for i in used], " ")
+            place[glued] = self._places([kinds[i][1:] for i in np.flatnonzero(glued)], "")
+            used = np.flatnonzero((np.bincount(at[~begin], minlength=len(kinds)) > 0) & ~glued)
+            place[used] = self._places([kinds[i] for i in used], " ")
             place = place[at]
-            place[start[:-1]] = self._places([kinds[i] for i in head], "")
+            place[begin] = self._places([kinds[i] for i in at[begin]], "")
             count = np.diff(start)
             odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
             if len(odd):
@@ -279,7 +309,10 @@ class Coder:
                     rows[i], count[i] = found, len(found)
                 place = np.concatenate(rows)
             size = self.end[place + 1] - self.end[place]
-            for own in np.split(self._gather(place, size), np.cumsum(size)[np.cumsum(count)[:-1] - 1]):
+            found = self._gather(place, size)
+            if self.pieces > KEPT:
+                self._forget(place)
+            for own in np.split(found, np.cumsum(size)[np.cumsum(count)[:-1] - 1]):
                 yield np.append(own, np.uint32(end_id))
 
 

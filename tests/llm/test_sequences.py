@@ -157,6 +157,28 @@ def test_coder_keeps_the_ids(monkeypatch):
         assert [ids.tolist() for ids in coder.code(pa.array(texts), 2)] == want
 
 
+def test_coder_cuts_behind_lines_and_keeps_recent_pieces(monkeypatch):
+    coder = token_files.Coder(token_files.TOKENIZER)
+    rng = random.Random(8)
+    ends = ["\n", ".\n", " ", " ", ", ", "\n\n", " \n", "\n ", "\u2003\n", "\n\u2003", "\x1c\n", "\x85\n", "\r\n", "\t"]
+    words = ["alpha", "Beta", "'s", "É", "a", "12", "$$", "x\ny", "don't", "\u200b", "語", "1,0.5", "a.'s?!", "x\0,", "\0"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends[:rng.choice([5, 14])]) for _ in range(rng.choice([0, 1, 3, 9]))) for _ in range(3000)]
+    texts += ["a\nb\nc\nd", "\n", "a\n", "\na", " a\n", "a \n", "a \nb c", "a\n'll\nthe", None, *(f"w{i} v{i % 50}.\nu{i}," for i in range(2000))]
+    want = [[*tokenized.ids, 2] for tokenized in coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for size, kept in ((1 << 23, 1 << 20), (300, 150), (2000, 1000)):
+        monkeypatch.setattr(token_files, "BYTES", size)
+        monkeypatch.setattr(token_files, "KEPT", kept)
+        assert [ids.tolist() for ids in coder.code(pa.array(texts), 2)] == want
+    lines = token_files.Coder(token_files.TOKENIZER)
+    text = " ".join(f"word{i % 7}.\nNext{i % 11} and" for i in range(1000))
+    monkeypatch.setattr(token_files, "KEPT", 30)
+    assert [*lines.code(pa.array([text]), 2)][0].tolist() == [*lines.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert lines.pieces < 25  # 7 + 11 words and some marks, not 77 pairs
+    texts = [f"some other words {i % 10}" for i in range(50)]
+    assert len([*lines.code(pa.array(texts), 2)]) == 50 and [*lines.begin] == ["some"]  # the last texts' pieces stay
+    assert sorted(lines.after) == sorted(["other", "words", *map(str, range(10))]) and lines.pieces == 13
+
+
 def test_token_files_by_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["alpha", "Beta", "ñandú", "12", "?!"]) for _ in range(rng.choice([0, 1, 40, 3000]))) for _ in range(60)]
