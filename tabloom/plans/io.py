@@ -25,7 +25,7 @@ from tabloom.sources.inline import inline_table as literal
 from tabloom.sources.onefile import sink_csv_file
 from tabloom.streaming import backoff, replay
 from tabloom.streaming import publish as pb
-from tabloom.streaming.intake import row_stream
+from tabloom.streaming.intake import start_lanes
 
 _LINES = "string_split_regex(text, '\\r\\n|\\r|\\n')"
 
@@ -278,24 +278,24 @@ def windowed_counts(spark, sf_dir):
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_BATCH_ROWS = 3000
+_BATCH_ROWS, _LANES = 3000, 5
 
 
 @query("throttled_intake", f"""
     SELECT count(*) AS n, ceil(count(*) / {_BATCH_ROWS})::BIGINT AS batches, least(count(*), {_BATCH_ROWS}) AS largest FROM events
 """)
 def throttled_intake(spark, sf_dir):
-    """Files of any size, batches of a fixed number of messages."""
+    """Files of any size, batches of a fixed number of messages, a fixed number of batches in flight."""
     source, out, progress = (staging_path(spark, n) for n in ("intake", "throttled", "throttled-progress"))
     events = table(spark, sf_dir, "events").select("event_id", F.lit("movie-events-raw").alias("topic"))
     events.repartitionByRange(3, "event_id").write.parquet(source)
-    stream = row_stream(spark, source, _BATCH_ROWS, progress)
-    run = stream.writeStream.foreachBatch(pb.publish_to(out)).option("checkpointLocation", progress)
-    query = run.trigger(processingTime="0 seconds").start()
+    runs = start_lanes(spark, source, _BATCH_ROWS, pb.publish_to(out), progress, _LANES)
     try:
-        query.processAllAvailable()
+        for run in runs:
+            run.processAllAvailable()
     finally:
-        query.stop()
+        for run in runs:
+            run.stop()
     sizes = spark.read.parquet(out).groupBy("batch").agg(F.count("*").alias("n"))
     return sizes.agg(F.sum("n").alias("n"), F.count("*").alias("batches"), F.max("n").alias("largest"))
 

@@ -5,6 +5,11 @@ row), and each batch ends at most ``max_rows`` rows after the last. A batch is r
 
 A range in the middle of a row group is reached by decoding what lies before it. So that this is not done again for each
 batch, a Python worker that has read up to a place keeps the file open there and goes on from it.
+
+A batch costs Spark some tenths of a second however small it is, so one query alone takes in only so many rows a second.
+Several queries, the lanes, share a folder: of the batches of ``max_rows`` rows the first lane takes the first, the second
+the second, and so on in turn. Each lane has a batch at work and a checkpoint of its own, so that as many batches as there
+are lanes are in flight at most.
 """
 
 from __future__ import annotations
@@ -12,10 +17,13 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
@@ -35,16 +43,16 @@ def _file(path: str):
     return ParquetFile(disk.open_input_file(name), buffer_size=1 << 20)
 
 
-KEPT = 4
-PLACES: dict[tuple, _Place] = {}
+KEPT = 16
+PLACES: list[tuple[tuple, _Place]] = []
 
 
-def _places() -> dict[tuple, _Place]:
+def _places() -> list[tuple[tuple, _Place]]:
     """The places this worker keeps. This module's functions are sent by value, so its own names last for one task only."""
     try:
         from tabloom.streaming import intake
     except ImportError:  # a worker without the package reads each range from the start of its row group
-        return {}
+        return []
     return intake.PLACES
 
 
@@ -89,7 +97,8 @@ class _Rows(InputPartition):
 
 class RowRangeSource(DataSource):
     """Options: ``path``, a folder of Parquet files that are added in the order of their names and never changed;
-    ``max_rows`` of a batch; ``task_rows``, how many of them one task reads; ``checkpoint``, that of the query.
+    ``max_rows`` of a batch; ``task_rows``, how many of them one task reads; ``checkpoint``, that of the query;
+    ``lane`` of how many ``lanes`` the query is.
     """
 
     @classmethod
@@ -108,6 +117,7 @@ class RowRangeReader(DataSourceStreamReader):
         self.path, self.columns = options["path"].rstrip("/"), schema.fieldNames()
         self.max_rows, self.task_rows = int(options["max_rows"]), int(options["task_rows"])
         self.checkpoint = options["checkpoint"].rstrip("/")
+        self.lane, self.lanes = int(options.get("lane", 0)), int(options.get("lanes", 1))
         self.place: dict | None = None
         self.sizes: dict[str, int] = {}
 
@@ -115,44 +125,68 @@ class RowRangeReader(DataSourceStreamReader):
         return {"file": "", "row": 0}
 
     def latestOffset(self) -> dict:
-        """``max_rows`` rows behind the last offset that was given out, or fewer where the files end."""
+        """The end of the next batch, or where the files end before that."""
         place = self.place or self._logged() or self.initialOffset()
-        left = self.max_rows
-        for name in self._files():
-            if name < place["file"]:
-                continue
-            first = place["row"] if name == place["file"] else 0
-            taken = min(left, self._size(name) - first)
-            if taken:
-                place = {"file": name, "row": first + taken}
-                left -= taken
-            if not left:
+        first, stop = self._batch(place)
+        for name, before in self._files_from(place):
+            size = self._size(name)
+            if before + size > first:
+                place = {"file": name, "row": min(stop - before, size)} | self._mark(before)
+            if before + size >= stop:
                 break
         self.place = place
         return place
 
     def partitions(self, start: dict, end: dict) -> list[_Rows]:
         self.place = end
+        begin, _ = self._batch(start)
         out = []
-        for name in self._files():
-            if start["file"] <= name <= end["file"]:
-                first = start["row"] if name == start["file"] else 0
-                stop = end["row"] if name == end["file"] else self._size(name)
-                out += [_Rows(f"{self.path}/{name}", a, min(a + self.task_rows, stop)) for a in range(first, stop, self.task_rows)]
+        for name, before in self._files_from(start):
+            if name > end["file"]:
+                break
+            first, stop = max(begin - before, 0), end["row"] if name == end["file"] else self._size(name)
+            out += [_Rows(f"{self.path}/{name}", a, min(a + self.task_rows, stop)) for a in range(first, stop, self.task_rows)]
         return out
 
+    def _batch(self, place: dict) -> tuple[int, int]:
+        """The rows of the batch behind a place, numbered as ``_files_from`` counts them.
+
+        Lanes take turns by the number of the row in the whole folder. A batch that the end of the files has cut short is
+        filled by its lane when there are more.
+        """
+        at = place.get("before", 0) + place["row"]
+        if place["file"] and place.get("lane") != self._mark(0).get("lane"):
+            raise ValueError(f"a checkpoint goes on with the lane, lanes and max_rows it began with: {place.get('lane')}")
+        if self.lanes == 1:
+            return at, at + self.max_rows
+        number = at // self.max_rows
+        number += (self.lane - number) % self.lanes
+        return max(at, number * self.max_rows), (number + 1) * self.max_rows
+
+    def _mark(self, before: int) -> dict:
+        """What the offset of a lane holds besides file and row: the rows of earlier files, and which lane it is."""
+        return {"before": before, "lane": [self.lane, self.lanes, self.max_rows]} if self.lanes > 1 else {}
+
+    def _files_from(self, place: dict) -> Iterator[tuple[str, int]]:
+        """The file of the place and the later ones, with the number of rows before each."""
+        before = place.get("before", 0)
+        for name in self._files():
+            if name >= place["file"]:
+                yield name, before
+                before += self._size(name)
+
     def read(self, partition: _Rows):
         """Only the row groups that hold the range are read, some rows at a time."""
         disk, name = _disk(partition.path)
         info = disk.get_file_info(name)
         places, key = _places(), (partition.path, info.size, info.mtime_ns, tuple(self.columns))
-        place = places.pop(key, None)
-        if place is None or place.at > partition.first:
-            place = _Place(partition.path, self.columns)
+        kept = max((p for p in places if p[0] == key and p[1].at <= partition.first), key=lambda p: p[1].at, default=None)
+        if kept:  # lanes read the same file at other places, the nearest one before the range has least to skip
+            places.remove(kept)
+        place = kept[1] if kept else _Place(partition.path, self.columns)
         yield from place.rows(partition.first, partition.stop)
-        places[key] = place
-        while len(places) > KEPT:
-            places.pop(next(iter(places)))
+        places.append((key, place))
+        del places[:-KEPT]
 
     def _files(self) -> list[str]:
         from pyarrow import fs
@@ -181,7 +215,9 @@ class RowRangeReader(DataSourceStreamReader):
             return json.loads(log.read().decode().splitlines()[2])
 
 
-def row_stream(spark: SparkSession, path: str, max_rows: int, checkpoint: str, task_rows: int = 100_000) -> DataFrame:
+def row_stream(
+    spark: SparkSession, path: str, max_rows: int, checkpoint: str, task_rows: int = 100_000, lane: int = 0, lanes: int = 1
+) -> DataFrame:
     """The Parquet files of a folder as a stream of batches of ``max_rows`` rows at most.
 
     ``checkpoint`` is the checkpoint location the query will be started with.
@@ -190,4 +226,53 @@ def row_stream(spark: SparkSession, path: str, max_rows: int, checkpoint: str, t
     spark.dataSource.register(RowRangeSource)
     table = spark.read.parquet(path).schema.json()
     return spark.readStream.format("row_ranges").options(
-        path=path, max_rows=max_rows, checkpoint=checkpoint, task_rows=task_rows, table=table).load()
+        path=path, max_rows=max_rows, checkpoint=checkpoint, task_rows=task_rows, table=table, lane=lane, lanes=lanes).load()
+
+
+_LOGS = "spark.sql.streaming.checkpointFileManagerClass"
+
+
+@contextmanager
+def _plain_logs(spark: SparkSession, checkpoint: str) -> Iterator[None]:
+    """For queries started meanwhile: a checkpoint on a mounted file system is written with a few calls.
+
+    There Spark's own choice starts ten processes (chmod, readlink) for each of a batch's two log entries, this one two. Both
+    write a file beside the entry and rename it.
+    """
+    was = spark.conf.get(_LOGS, None)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    disk = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if was or disk.getUri().getScheme() != "file":
+        yield
+        return
+    spark.conf.set(_LOGS, "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_LOGS)
+
+
+def start_lanes(
+    spark: SparkSession, path: str, max_rows: int, handle: Callable[[DataFrame, int], None], checkpoint: str, lanes: int
+) -> list[StreamingQuery]:
+    """Start a query for each lane; ``handle`` gets the batches of all of them, at once and each with a number of its own.
+
+    A folder is gone on with by as many lanes as it was begun with.
+    """
+
+    def numbered(lane: int) -> Callable[[DataFrame, int], None]:
+        return lambda batch, i: handle(batch, i * lanes + lane)
+
+    queries = []
+    try:
+        for lane in range(lanes):
+            progress = f"{checkpoint}/lane-{lane}"
+            stream = row_stream(spark, path, max_rows, progress, lane=lane, lanes=lanes)
+            writer = stream.writeStream.foreachBatch(numbered(lane)).option("checkpointLocation", progress)
+            with _plain_logs(spark, progress):
+                queries.append(writer.trigger(processingTime="0 seconds").start())
+    except Exception:
+        for query in queries:
+            query.stop()
+        raise
+    return queries

@@ -1,12 +1,14 @@
 """Back-off, row-limited intake, whole batches by topic, replay: also after a stop, and with lost tasks."""
 
 import json
+import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import events as ev
+from tabloom.plans import QUERIES
 from tabloom.sources import topics
 from tabloom.streaming import backoff, intake, replay
 from tabloom.streaming import publish as pb
@@ -124,6 +126,82 @@ def test_ranges_of_a_row_group_go_on_where_the_last_one_ended(spark, tmp_path, m
     assert read(ranges[::3]) == got[::3]  # others are read elsewhere
 
 
+def test_lanes_share_the_batches(spark, tmp_path):
+    source, progress = _paths(tmp_path, "in", "p")
+    spark.range(0, 2500, 1, 3).write.option("parquet.block.size", 1000).parquet(source)
+    batches, together, lock = {}, threading.Barrier(3), threading.Lock()
+
+    def handle(batch, i):
+        rows = [r.id for r in batch.collect()]
+        if i < 3:
+            together.wait(60)  # the first batches of all lanes are at work
+        with lock:
+            assert i not in batches
+            batches[i] = rows
+
+    def run():
+        queries = intake.start_lanes(spark, source, 400, handle, progress, 3)
+        try:
+            for query in queries:
+                query.processAllAvailable()
+        finally:
+            for query in queries:
+                query.stop()
+        assert spark.conf.get(intake._LOGS, None) is None
+
+    run()
+    assert {i: len(rows) for i, rows in batches.items()} == dict.fromkeys(range(6), 400) | {6: 100}
+    run()  # nothing new
+    assert sorted(sum(batches.values(), [])) == list(range(2500))
+    spark.range(2500, 3700).coalesce(1).write.parquet(f"{source}-more")
+    part, = (tmp_path / "in-more").glob("*.parquet")
+    part.rename(tmp_path / "in" / "part-99999.parquet")
+    run()  # the lane whose batch was cut short fills it, the others take their turns
+    assert sorted(map(len, batches.values())) == [100, 100, 300] + [400] * 8
+    assert sorted(sum(batches.values(), [])) == list(range(3700))
+    for query in intake.start_lanes(spark, source, 400, handle, progress, 2):
+        with pytest.raises(Exception, match="goes on with the lane"):
+            query.processAllAvailable()
+
+
+def test_ranges_that_lanes_read_in_turn_go_on_in_a_worker(spark, tmp_path, monkeypatch):
+    spark.range(0, 100_000, 1, 1).write.parquet(str(tmp_path / "in"))
+    schema, opened, file = spark.read.parquet(str(tmp_path / "in")).schema, [], intake._file
+    readers = [intake.RowRangeReader({"path": str(tmp_path / "in"), "max_rows": "1000", "task_rows": "3000", "lane": str(k), "lanes": "4",
+                                      "checkpoint": str(tmp_path / f"p{k}")}, schema) for k in range(4)]
+    ranges = [[], [], [], []]
+    for k, reader in enumerate(readers):
+        place = reader.initialOffset()
+        while (end := reader.latestOffset()) != place:
+            ranges[k] += reader.partitions(place, end)
+            place = end
+    assert all(p.stop - p.first == 1000 and p.first // 1000 % 4 == k for k in range(4) for p in ranges[k])
+    monkeypatch.setattr(intake, "PLACES", [])
+    monkeypatch.setattr(intake, "_file", lambda path: opened.append(path) or file(path))
+    turns = [p for a in range(0, 25, 5) for k in (3, 0, 2, 1) for p in ranges[k][a : a + 5]]  # each lane some batches ahead of another
+    got = [v for p in turns for batch in readers[0].read(p) for v in batch["id"].to_pylist()]
+    assert got == [v for p in turns for v in range(p.first, p.stop)] and sorted(got) == list(range(100_000))
+    assert len(opened) <= 4
+
+
+def test_batches_of_the_intake_are_in_flight_together(spark, tmp_path, monkeypatch):
+    together, publish_to = threading.Barrier(2), pb.publish_to
+
+    def slow(path):
+        write = publish_to(path)
+
+        def handle(batch, i):
+            if i < 2:
+                together.wait(60)
+            write(batch, i)
+
+        return handle
+
+    monkeypatch.setattr(pb, "publish_to", slow)
+    spark.range(7000).withColumnRenamed("id", "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    assert [tuple(r) for r in QUERIES["throttled_intake"](spark, str(tmp_path)).collect()] == [(7000, 3, 3000)]
+
+
 def test_batches_of_topics_are_whole(spark, tmp_path):
     path = str(tmp_path / "sink")
     events = _events(spark.range(0, 100, 1, 4)).withColumn(
